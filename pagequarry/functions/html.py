@@ -54,11 +54,11 @@ _OPEN = r"<[a-zA-Z][^\s/>]*+" + _OPEN_BODY + "/?+>"
 _RAW = (
     r"<(script|style)(?=[\s/>])" + _OPEN_BODY + r"(?<!/)>(?s:.*?)(?=</\s*+\1\s*+>|\z)"
 )
-_TEXT = r"(?:[^<]++|<(?![a-zA-Z/!?]))++"
+_TEXT = r"(?:[^<]++|<(?![a-zA-Z/!?])|</>)++"
 _SILENT = (
     r"<!--(?s:.*?)--\s*+>"  # comment
     r"|<!(?!--|\[cdata\[)[^>]*+>|<\?[^>]*+>"  # declaration, instruction
-    r"|</(?!\s*+[a-z])[^>]*+>"  # nameless end tag
+    r"|</(?!\s*+[a-z]|>)[^>]*+>"  # nameless end tag
 )
 _CDATA = r"<!\[cdata\[(?s:.*?)\]\s*+\]\s*+>"
 _CLOSE = r"</\s*+[a-zA-Z][^>]*+>"
@@ -229,7 +229,12 @@ def _character_data(toks: Column) -> Column:
         return (
             F.when(tok.startswith("<") & tok.rlike(no_text), F.lit(""))
             .when(tok.startswith("<![") & tok.rlike(cdata), F.regexp_extract(tok, cdata, 1))
-            .otherwise(decode_text(tok, at_end=i == F.size(toks) - 1))
+            .otherwise(
+                let(
+                    F.replace(tok, F.lit("</>"), F.lit("")),
+                    lambda t: decode_text(t, at_end=i == F.size(toks) - 1),
+                )
+            )
         )
 
     return F.transform(toks, one)
@@ -256,6 +261,29 @@ def _spans(nodes: Column, tags: list[str]) -> Column:
     return outermost(inner, span, "lo", "hi")
 
 
+def _innermost(tree: Column, n_tokens: Column) -> Column:
+    """Per token the tag of the innermost element that owns its text, or ''."""
+    owners = F.filter(tree, lambda e: e["tag"].isin(OWN_TEXT))
+    open_type = "struct<tag:string,t1:int>"
+
+    def run(own: Column) -> Column:
+        def step(st: Column, out: Column, i: Column, then) -> Column:
+            still = F.filter(st["open"], lambda o: o["t1"] > i)
+            nxt = F.get(own, st["k"])
+            starts = F.coalesce(nxt["t0"] == i, F.lit(False))
+            opened = F.struct(nxt["tag"].alias("tag"), nxt["t1"].alias("t1"))
+            stack = F.when(starts, F.concat(F.array(opened), still)).otherwise(still)
+            state = F.struct((st["k"] + starts.cast("int")).alias("k"), stack.alias("open"))
+            tag = F.coalesce(at(still, 0)["tag"], F.lit(""))
+            return then(state, F.concat(out, F.array(tag)))
+
+        init = F.struct(F.lit(0).alias("k"), empty(open_type).alias("open"))
+        every = F.sequence(F.lit(0), n_tokens - 1)
+        return scan(every, init, step, "string", lambda st, out: out)
+
+    return let(owners, run)
+
+
 def _has(nodes: Column, tags: list[str]) -> Column:
     return F.exists(nodes, lambda e: e["tag"].isin(tags))
 
@@ -294,26 +322,34 @@ def _parse(html: Column, markup: bool) -> Column:
                 let(_spans(tree, PRESERVE), lambda s: splice(_collapse_blank(texts), texts, s)),
             ).otherwise(_collapse_blank(texts))
 
-        def finish(texts: Column) -> Column:
+        def finish(t: Column) -> Column:
+            texts, owner = t["texts"], t["owner"]
+
+            def own_text(e: Column) -> Column:
+                both = F.arrays_zip(
+                    _between(texts, e).alias("text"), _between(owner, e).alias("tag")
+                )
+                mine = F.filter(both, lambda x: x["tag"] == e["tag"])
+                return F.array_join(F.transform(mine, lambda x: x["text"]), "")
+
             def full(e: Column) -> Column:
                 tok = F.get(toks, e["t0"])
-                tag = F.when(e["tag"].isin(RAW), _open_tag(tok)).otherwise(tok)
-                has_attrs = ~e["tag"].isin(RAW) & tok.rlike("^<[^\\s/]++>$")
+                is_raw = e["tag"].isin(RAW)
+                tag = F.when(is_raw, _open_tag(tok)).otherwise(tok)
                 attrs = F.when(
-                    has_attrs, F.create_map().cast(_NO_ATTRIBUTES)
+                    ~is_raw & tok.rlike("^<[^\\s/]++>$"), F.create_map().cast(_NO_ATTRIBUTES)
                 ).otherwise(let(tag, _attributes))
-                raw = F.when(
-                    e["tag"].isin(RAW), F.substr(tok, F.length(_open_tag(tok)) + 1)
-                ).when(e["tag"].isin(OWN_TEXT), F.array_join(_between(texts, e), ""))
+                raw = F.when(is_raw, F.substr(tok, F.length(_open_tag(tok)) + 1)).when(
+                    e["tag"].isin(OWN_TEXT), own_text(e)
+                )
                 names = [f.split(":")[0] for f in _NODE.split(",")]
                 return F.struct(
                     *[e[f].alias(f) for f in names], attrs.alias("attrs"), raw.alias("raw")
                 )
 
-            blank = F.array_repeat(F.lit(""), F.size(texts))
             shown = F.when(
-                _has(tree, OWN_TEXT),
-                let(_spans(tree, OWN_TEXT), lambda s: splice(texts, blank, s)),
+                owner.isNotNull(),
+                F.zip_with(texts, owner, lambda x, o: F.when(o == "", x).otherwise(F.lit(""))),
             ).otherwise(texts)
             fields = [F.transform(tree, full).alias("nodes"), shown.alias("texts")]
             if markup:
@@ -326,7 +362,10 @@ def _parse(html: Column, markup: bool) -> Column:
                 fields.append(kept.alias("markup"))
             return F.struct(*fields)
 
-        return let(let(data, with_texts), finish)
+        owner = F.when(_has(tree, OWN_TEXT), _innermost(tree, F.size(toks)))
+        return let(
+            F.struct(let(data, with_texts).alias("texts"), owner.alias("owner")), finish
+        )
 
     return let(
         tokens(html),
