@@ -108,7 +108,7 @@ def _join(base: Column, ref: Column) -> Column:
         base_scheme = p["b"]["scheme"]
         own_scheme, own_host = scheme(ref), netloc(ref)
         # the reference may itself look like a URL once its scheme is gone
-        params = F.regexp_extract(ref, r"(?s)^(?:.*/)?[^/;]*(;[^/]*.*)$", 1)
+        params = F.regexp_extract(ref, r"(?s)^(?:.*/)?[^/;]*(;[^/]*)$", 1)
         joined = _join_path(p["b"]["path"], p["path"])
         joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
         absolute = F.concat(base_scheme, F.lit("://"), p["b"]["netloc"], joined, params)
@@ -122,6 +122,7 @@ def _join(base: Column, ref: Column) -> Column:
         return (
             F.when((own_scheme != "") & (own_scheme != base_scheme), ref)
             .when(own_host != "", with_host)
+            .when((p["path"] == "") & (params == ""), F.regexp_replace(_clean(base), "#.*$", ""))
             .otherwise(absolute)
         )
 

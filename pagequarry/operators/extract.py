@@ -148,11 +148,11 @@ def element_html(page: Page, e: Column) -> Column:
             F.when(void, F.lit("/>")).otherwise(F.lit(">")),
             F.when(x["tag"].isin("script", "style"), F.coalesce(x["raw"], F.lit(""))).otherwise(F.lit("")),
         )
-        return piece(x["t0"], x["n"], head)
+        return piece(x["t0"], 2 * x["n"], head)
 
     def closing(x: Column) -> Column:
         # inner elements end first; an element that ends where it starts ends after its start
-        rank = F.when(x["t0"] == x["t1"], x["n"]).otherwise(-x["n"] - 1)
+        rank = F.when(x["t0"] == x["t1"], 2 * x["n"] + 1).otherwise(-x["n"] - 1)
         return piece(x["t1"], rank, F.concat(F.lit("</"), x["tag"], F.lit(">")))
 
     count = F.greatest(e["t1"] - e["t0"] - 1, F.lit(0))

@@ -1,0 +1,96 @@
+"""A whole run: discover links, extract articles, write them, remember the URLs."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.time import instant
+from ..operators.articles import articles, extract_groups, fetch_join, unique_ids
+from ..operators.links import discover
+from ..operators.seen import DEFAULT_TTL, mark_seen
+from ..sources.sinks import fan_out, write_done
+from .spec import Spec
+
+
+def scrape(
+    spec: Spec,
+    pages: DataFrame,
+    seen: DataFrame | None = None,
+    limit: int | None = None,
+    as_of: datetime | None = None,
+    strict: bool = True,
+    start: DataFrame | None = None,
+) -> DataFrame:
+    """The articles of a spec as one lazy plan."""
+    now = as_of or datetime.now()
+    links = discover(pages, spec, seen, limit, now, strict, start)
+    found = extract_groups(fetch_join(links, pages), spec, instant(now))
+    return articles(found, spec, now)
+
+
+def run_all(
+    specs: list[Spec],
+    pages: DataFrame,
+    seen: DataFrame | None = None,
+    limit: int | None = None,
+    as_of: datetime | None = None,
+) -> DataFrame:
+    """The articles of several specs, one per id."""
+    now = as_of or datetime.now()
+    out: DataFrame | None = None
+    for i, s in enumerate(specs):
+        part = scrape(s, pages, seen, limit, now)
+        part = part.withColumn(
+            "found_at",
+            F.struct(
+                F.lit(i).alias("spec"),
+                F.col("found_at.group_id"),
+                F.col("found_at.seed_pos"),
+                F.col("found_at.link_pos"),
+            ),
+        )
+        out = part if out is None else out.unionByName(part)
+    return unique_ids(out)
+
+
+@dataclass
+class Result:
+    """What a run left behind.  ``articles`` is cached until ``release``."""
+
+    articles: DataFrame
+    seen: DataFrame
+    outcome: dict[str, Exception | None]
+
+    def release(self) -> None:
+        self.articles.unpersist()
+
+
+def run(
+    spark: SparkSession,
+    spec: Spec,
+    pages: DataFrame,
+    seen: DataFrame | None = None,
+    limit: int | None = None,
+    ttl: timedelta = DEFAULT_TTL,
+    as_of: datetime | None = None,
+    sinks: list[tuple[str, dict]] | None = None,
+    done_path: str | None = None,
+    run_id: str = "0",
+    strict: bool = True,
+) -> Result:
+    """Run a spec and write to every sink.
+
+    The seen table of the result covers every article, also one that a sink
+    failed to store.  The caller decides where to keep it.
+    """
+    now = as_of or datetime.now()
+    found = scrape(spec, pages, seen, limit, now, strict).persist(StorageLevel.MEMORY_AND_DISK)
+    outcome = fan_out(found, sinks or [("noop", {})], run_id)
+    if done_path is not None:
+        write_done(found, done_path, run_id)
+    return Result(found, mark_seen(seen, found.select("url"), ttl, now), outcome)
