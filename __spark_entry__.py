@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.functions.arrays import with_once
 from pagequarry.functions.dates import epoch_iso, iso_date
 from pagequarry.functions.jsonpath import json_matches
 from pagequarry.functions.modifiers import regex_modifier
@@ -29,7 +30,7 @@ from pagequarry.operators.links import absolute_links, cap_links, distinct_links
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
 from pagequarry.plans.pipeline import scrape
 from pagequarry.plans.spec import Spec, parse_selector
-from pagequarry.sources.pages import decode_pages
+from pagequarry.sources.pages import decode_pages, read_pages, spread
 from pagequarry.sources.sinks import absent, last_per_file, log_entries
 
 AS_OF = datetime(2024, 1, 20)
@@ -70,11 +71,11 @@ SPEC = {
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/pages.parquet")
+    return read_pages(spark, f"{d}/pages.parquet")
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _values(spark: SparkSession, d: str, **selectors: dict) -> DataFrame:
@@ -82,8 +83,8 @@ def _values(spark: SparkSession, d: str, **selectors: dict) -> DataFrame:
     trees = {name: parse_selector({"key": "k", **s}) for name, s in selectors.items()}
     markup = any(uses_markup(t) for t in trees.values())
     dom = shred(_pages(spark, d).select("page_id", "html"), markup)
-    cols = [components(F.col("dom"), t).alias(name) for name, t in trees.items()]
-    return dom.select("page_id", *cols)
+    found = F.struct(*[components(F.col("dom"), t).alias(name) for name, t in trees.items()])
+    return with_once(dom, "found", found).select("page_id", "found.*")
 
 
 def _one(column: str, selector: dict):

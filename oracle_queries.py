@@ -5,10 +5,10 @@ The pages share one layout, so patterns over the text can stand in for a parser.
 
 
 def text(x: str) -> str:
-    """Decode the four references that occur."""
-    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+    """Decode the four references that occur; the last one may lack its ';' where a title is cut."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"')):
         x = f"replace({x}, '&{name};', '{char}')"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 def between(open_: str, close: str) -> str:

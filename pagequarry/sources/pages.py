@@ -9,9 +9,20 @@ PAGES = "page_id bigint, url string, html string"
 SEEN = "url string, expiration_date timestamp_ntz"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on an input too small to be split.
+
+    Parsing costs far more than reading.  A scan with fewer partitions than
+    the cluster has cores is redistributed; a large one already has more and
+    is left alone, so nothing is shuffled there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages as Parquet: ``url``, ``html`` and whatever else there is."""
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
 
 
 def read_raw_files(spark: SparkSession, path: str) -> DataFrame:
