@@ -11,6 +11,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import lru_cache
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -70,10 +71,12 @@ SPEC = {
 }
 
 
+@lru_cache(maxsize=8)
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return read_pages(spark, f"{d}/pages.parquet")
 
 
+@lru_cache(maxsize=64)
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
@@ -83,7 +86,7 @@ def _values(spark: SparkSession, d: str, **selectors: dict) -> DataFrame:
     trees = {name: parse_selector({"key": "k", **s}) for name, s in selectors.items()}
     markup = any(uses_markup(t) for t in trees.values())
     dom = shred(_pages(spark, d).select("page_id", "html"), markup)
-    found = F.struct(*[components(F.col("dom"), t).alias(name) for name, t in trees.items()])
+    found = F.struct(*[components("dom", t).alias(name) for name, t in trees.items()])
     return with_once(dom, "found", found).select("page_id", "found.*")
 
 

@@ -10,11 +10,31 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def per_application(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Remember a column built from hashable arguments.
+
+    A large expression takes thousands of calls into the JVM to build; a column
+    refers to names only, so one copy serves every DataFrame of an application.
+    """
+
+    @lru_cache(maxsize=256)
+    def cached(application: str, *args) -> Column:
+        return build(*args)
+
+    @wraps(build)
+    def call(*args) -> Column:
+        return cached(SparkContext._active_spark_context.applicationId, *args)
+
+    return call
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 

@@ -11,13 +11,10 @@ of the slice between the two.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import at, empty, let, outermost, scan, splice
+from .arrays import at, empty, let, outermost, per_application, scan, splice
 from .text import decode_attribute, decode_text, escape_markup
 
 # Elements without content, raw-text elements, elements whose text is
@@ -298,14 +295,11 @@ def parse(html: Column | str, markup: bool = False) -> Column:
     ``markup`` also keeps comments and the like, needed only to write elements
     back as HTML.
     """
-    if isinstance(html, str):
-        return _parse_column(html, markup, SparkContext._active_spark_context.applicationId)
-    return _parse(html, markup)
+    return _parse_named(html, markup) if isinstance(html, str) else _parse(html, markup)
 
 
-@lru_cache(maxsize=16)
-def _parse_column(name: str, markup: bool, app: str) -> Column:
-    """Building the expression takes a second or two, so it is built once per application."""
+@per_application
+def _parse_named(name: str, markup: bool) -> Column:
     return _parse(F.col(name), markup)
 
 

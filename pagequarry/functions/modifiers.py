@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.spec import Modifier, java_regex
+from ..plans.spec import Modifier, java_regex, may_match_empty
 from .arrays import let
 from .dates import iso_date
 
@@ -19,16 +19,19 @@ def regex_modifier(c: Column, patterns: list[str], returns: str = "original") ->
 
     Patterns are tried in order.  A pattern that is not valid is skipped.
     """
-    out: Column | None = None
+    tries: list[Column] = []
     for p in patterns:
         java = java_regex(p)
         if java is None:
             log.warning("skipping invalid pattern %r", p)
-            continue
-        value = c if returns == "original" else F.regexp_extract(c, java, 0)
-        found = c.rlike(java)
-        out = F.when(found, value) if out is None else out.when(found, value)
-    return F.lit(None).cast("string") if out is None else out
+        elif returns == "original":
+            tries.append(F.when(c.rlike(java), c))
+        else:
+            tries.append(F.regexp_substr(c, F.lit(java)))
+            if may_match_empty(p):
+                # regexp_substr cannot tell an empty match from none
+                tries.append(F.when(c.rlike(java), F.lit("")))
+    return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
 
 def apply_modifiers(c: Column, modifiers: tuple[Modifier, ...], as_of: Column | None) -> Column:

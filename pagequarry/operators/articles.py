@@ -8,11 +8,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, with_once
+from ..functions.arrays import with_once
 from ..functions.time import instant
 from ..functions.urls import netloc
 from ..plans.spec import Spec
-from .extract import components, shred, to_json_text, uses_markup
+from .extract import components_json, shred, uses_markup
 from .links import by_group
 
 
@@ -32,7 +32,7 @@ def article_id(url: Column, components_json: Column) -> Column:
     return F.sha1(F.concat(netloc(url), F.lit("-"), components_json))
 
 
-def extract_groups(fetched: DataFrame, spec: Spec, as_of: Column | None = None) -> DataFrame:
+def extract_groups(fetched: DataFrame, spec: Spec, as_of: datetime | None = None) -> DataFrame:
     """Evaluate each row with the selectors of its group, in one pass over the pages.
 
     ``components`` is JSON text, so that all groups share a schema.  Rows
@@ -40,11 +40,7 @@ def extract_groups(fetched: DataFrame, spec: Spec, as_of: Column | None = None)
     """
     rest = [c for c in fetched.columns if c != "html"]
     parsed = shred(fetched, any(uses_markup(g.selectors) for g in spec.groups))
-    value = by_group(
-        spec.groups,
-        "selectors",
-        lambda s: let(components(F.col("dom"), s, as_of), lambda v: to_json_text(s, v)),
-    )
+    value = by_group(spec.groups, "selectors", lambda s: components_json("dom", s, as_of))
     once = with_once(parsed.select(*rest, "dom"), "components", value).select(*rest, "components")
     return once.filter(F.col("components").isNotNull())
 

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at, let, null_if_empty, with_once
+from ..functions.arrays import at, let, null_if_empty, per_application, with_once
 from ..functions.css import Matcher
 from ..functions.html import (
     LIST_ATTRIBUTES,
@@ -32,6 +33,7 @@ from ..functions.html import (
 from ..functions.jsonpath import json_matches
 from ..functions.modifiers import apply_modifiers
 from ..functions.text import escape_markup, strip
+from ..functions.time import instant
 from ..plans.spec import Selector
 
 
@@ -270,8 +272,13 @@ def _one_per_child(names: list[str], values: list[Column]) -> Column:
     return let(F.struct(*[v.alias(n) for n, v in zip(names, values)]), expand)
 
 
-def components(dom: Column, s: Selector, as_of: Column | None = None) -> Column:
-    """Value of a resolved selector tree on a parsed page; null without an ``html`` element."""
+@per_application
+def components(dom: str, s: Selector, as_of: datetime | None = None) -> Column:
+    """Value of a resolved selector tree on the parsed page in column ``dom``.
+
+    Null without an ``html`` element.
+    """
+    now = instant(as_of)
 
     def run(d: Column) -> Column:
         root = at(F.filter(d["nodes"], lambda e: e["tag"] == "html"), 0)
@@ -279,11 +286,17 @@ def components(dom: Column, s: Selector, as_of: Column | None = None) -> Column:
 
         def on_root(r: Column) -> Column:
             page = Page(d["nodes"], d["texts"], markup, {})
-            return F.when(r.isNotNull(), _with_all_flags(page, s, r, as_of))
+            return F.when(r.isNotNull(), _with_all_flags(page, s, r, now))
 
         return let(root, on_root)
 
-    return let(dom, run)
+    return run(F.col(dom))
+
+
+@per_application
+def components_json(dom: str, s: Selector, as_of: datetime | None = None) -> Column:
+    """The same as JSON text ``{"key": value}``."""
+    return let(components(dom, s, as_of), lambda v: to_json_text(s, v))
 
 
 def _with_all_flags(page: Page, s: Selector, root: Column, as_of: Column | None) -> Column:
@@ -364,7 +377,7 @@ def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def extract(
-    pages: DataFrame, selector: Selector, as_of: Column | None = None, as_json: bool = False
+    pages: DataFrame, selector: Selector, as_of: datetime | None = None, as_json: bool = False
 ) -> DataFrame:
     """Add ``components``, typed after the tree or as JSON text; drop the HTML.
 
@@ -372,7 +385,5 @@ def extract(
     """
     rest = [c for c in pages.columns if c != "html"]
     parsed = shred(pages, uses_markup(selector))
-    value = components(F.col("dom"), selector, as_of)
-    if as_json:
-        value = let(value, lambda v: to_json_text(selector, v))
+    value = (components_json if as_json else components)("dom", selector, as_of)
     return with_once(parsed.select(*rest, "dom"), "components", value).select(*rest, "components")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, with_once
+from ..functions.arrays import let, per_application, with_once
 from ..functions.urls import absolute_url, is_malformed, is_valid_url
 from ..plans.spec import PageGroup, Selector, Spec
 from .extract import components, shred, uses_markup, value_shape
@@ -19,7 +19,7 @@ def seeds(spark: SparkSession, spec: Spec, strict: bool = True) -> DataFrame:
     """``(group_id, seed_pos, base_url)`` of the valid seed URLs of a spec."""
     rows = [(g, p, u) for g, group in enumerate(spec.groups) for p, u in enumerate(group.urls)]
     df = spark.createDataFrame(rows, "group_id int, seed_pos int, base_url string")
-    return df.filter(is_valid_url(F.col("base_url"), strict))
+    return df.filter(_valid("base_url", strict))
 
 
 def _as_list(selector: Selector, value: Column) -> Column:
@@ -64,6 +64,19 @@ def by_group(groups: tuple[PageGroup, ...], tree: str, value_of) -> Column:
     return out
 
 
+@per_application
+def _links_of(dom: str, selector: Selector) -> Column:
+    def readable(links: Column) -> Column:
+        bad = F.filter(
+            F.transform(links, lambda x, i: F.when(is_malformed(x), i)), lambda i: i.isNotNull()
+        )
+        return F.slice(links, F.lit(1), F.coalesce(F.get(bad, F.lit(0)), F.size(links)))
+
+    return let(
+        let(components(dom, selector), lambda v: _as_list(selector, v)), readable
+    )
+
+
 def page_links(listing: DataFrame, spec: Spec) -> DataFrame:
     """All links of listing pages ``(group_id, seed_pos, base_url, html)``, one row each.
 
@@ -71,27 +84,26 @@ def page_links(listing: DataFrame, spec: Spec) -> DataFrame:
     strings; what came before is kept.
     """
     parsed = shred(listing, any(uses_markup(g.url_selectors) for g in spec.groups))
-    found = by_group(
-        spec.groups,
-        "url_selectors",
-        lambda s: let(components(F.col("dom"), s), lambda v: _as_list(s, v)),
-    )
-
-    def readable(links: Column) -> Column:
-        bad = F.filter(
-            F.transform(links, lambda x, i: F.when(is_malformed(x), i)), lambda i: i.isNotNull()
-        )
-        return F.slice(links, F.lit(1), F.coalesce(F.get(bad, F.lit(0)), F.size(links)))
-
+    found = by_group(spec.groups, "url_selectors", lambda s: _links_of("dom", s))
     keys = ["group_id", "seed_pos", "base_url"]
-    once = with_once(parsed.select(*keys, "dom"), "links", let(found, readable))
+    once = with_once(parsed.select(*keys, "dom"), "links", found)
     return once.select(*keys, F.posexplode("links").alias("link_pos", "href"))
 
 
+@per_application
+def _absolute(href: str, base: str) -> Column:
+    return absolute_url(F.col(href), F.col(base))
+
+
+@per_application
+def _valid(url: str, strict: bool) -> Column:
+    return is_valid_url(F.col(url), strict)
+
+
 def absolute_links(links: DataFrame, strict: bool = True) -> DataFrame:
     """Add ``abs_url`` and keep the valid ones."""
-    full = with_once(links, "abs_url", absolute_url(F.col("href"), F.col("base_url")))
-    return full.filter(is_valid_url(F.col("abs_url"), strict))
+    full = with_once(links, "abs_url", _absolute("href", "base_url"))
+    return full.filter(_valid("abs_url", strict))
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
@@ -152,7 +164,7 @@ def discover(
     if start is None:
         start = seeds(pages.sparkSession, spec, strict)
     else:
-        start = start.filter(is_valid_url(F.col("base_url"), strict))
+        start = start.filter(_valid("base_url", strict))
     listing = start.join(pages.select("url", "html"), start["base_url"] == F.col("url"))
     links = distinct_links(absolute_links(page_links(listing, spec), strict))
     return cap_links(unseen(links, seen, as_of), limit)

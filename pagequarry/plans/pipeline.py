@@ -9,7 +9,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import instant
 from ..operators.articles import articles, extract_groups, fetch_join, unique_ids
 from ..operators.links import discover
 from ..operators.seen import DEFAULT_TTL, mark_seen
@@ -29,7 +28,7 @@ def scrape(
     """The articles of a spec as one lazy plan."""
     now = as_of or datetime.now()
     links = discover(pages, spec, seen, limit, now, strict, start)
-    found = extract_groups(fetch_join(links, pages), spec, instant(now))
+    found = extract_groups(fetch_join(links, pages), spec, now)
     return articles(found, spec, now)
 
 

@@ -284,3 +284,8 @@ def java_regex(pattern: str) -> str | None:
         out.append(c)
         i += 1
     return "(?dU)" + "".join(out)
+
+
+def may_match_empty(pattern: str) -> bool:
+    """Whether a valid pattern can match without taking a character."""
+    return re._parser.parse(pattern).getwidth()[0] == 0

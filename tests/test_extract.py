@@ -3,8 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from pagequarry.operators.extract import components, extract, shred
 from pagequarry.plans.spec import parse_selector, resolve
 
@@ -285,7 +283,7 @@ def test_css(spark):
     for start in range(0, len(names), 8):
         part = names[start : start + 8]
         cols = [
-            components(F.col("dom"), parse_selector(leaf("k", css, **ALL))).alias(f"v{i}")
+            components("dom", parse_selector(leaf("k", css, **ALL))).alias(f"v{i}")
             for i, css in enumerate(part)
         ]
         row = df.select(*cols).collect()[0]
