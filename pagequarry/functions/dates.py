@@ -48,7 +48,7 @@ _TIME = r"(?i)(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(?:(a
 _HOUR_ONLY = r"(?i)(?<![\d:.])(\d{1,2})\s*(a|p)\.?\s?m\b"
 _ISO = r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
 _COMPACT = r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
-_MONTH_FIRST = rf"(?i)\b{_MONTH}\b\.?\s*(\d{{1,2}})(?:st|nd|rd|th)?\b(?!:)(?:\s*,?\s*'?(\d{{4}})(?![\d:]))?"
+_MONTH_FIRST = rf"(?i)\b{_MONTH}\b\.?\s*(0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?\b(?!:)(?:\s*,?\s*'?(\d{{4}})(?![\d:]))?"
 _DAY_FIRST = rf"(?i)(?<![\d:])(\d{{1,2}})(?:st|nd|rd|th)?(?:\s+of)?[\s\-]*{_MONTH}\b\.?(?:[\s,\-]*'?(\d{{4}}|\d{{2}}(?!:))(?![\d:]))?"
 _MONTH_YEAR = rf"(?i)\b{_MONTH}\b\.?\s*,?\s*(\d{{4}})(?![\d:])"
 _NUMERIC = r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})(?!\d)"
@@ -94,10 +94,6 @@ def _date(x: Column, as_of: Column) -> Column:
 
     return (
         F.when(x.rlike(_ISO), _ymd(_int(x, _ISO, 1), _int(x, _ISO, 2), _int(x, _ISO, 3)))
-        .when(
-            x.rlike(_MONTH_FIRST),
-            _ymd(_int(x, _MONTH_FIRST, 3), _month(x, _MONTH_FIRST, 1), _int(x, _MONTH_FIRST, 2)),
-        )
         .when(
             x.rlike(_DAY_FIRST),
             _ymd(
@@ -106,6 +102,10 @@ def _date(x: Column, as_of: Column) -> Column:
                 _int(x, _DAY_FIRST, 1),
             ),
         )
+        .when(
+            x.rlike(_MONTH_FIRST),
+            _ymd(_int(x, _MONTH_FIRST, 3), _month(x, _MONTH_FIRST, 1), _int(x, _MONTH_FIRST, 2)),
+        )
         .when(
             x.rlike(_MONTH_YEAR), _ymd(_int(x, _MONTH_YEAR, 2), _month(x, _MONTH_YEAR, 1), none)
         )
