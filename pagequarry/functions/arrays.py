@@ -84,40 +84,75 @@ def scan(
 
     ``step(state, out, item, then)`` returns ``then(next_state, next_out)``,
     possibly chosen by ``when``; ``finish(state, emitted)`` builds the result.
+    """
+    return scan_in_blocks(
+        items,
+        init,
+        lambda st: st,
+        lambda st, out, item, then, _: step(st, out, item, then),
+        lambda _, st: st,
+        out_type,
+        finish,
+    )
+
+
+def scan_in_blocks(
+    items: Column,
+    init: Column,
+    enter: Callable[[Column], Column],
+    step: Callable,
+    leave: Callable[[Column, Column], Column],
+    out_type: str,
+    finish: Callable[[Column, Column], Column],
+) -> Column:
+    """``scan`` with a state of two parts: one for the block at hand, one for all before.
 
     ``aggregate`` copies its accumulator at every step, so one growing array
-    would be quadratic.  The fold therefore runs block by block: a step copies
-    only the state and the rows of its own block, and finished blocks are
-    appended once each.  With blocks of about the square root of the input the
-    copying stays small next to the other work, for any page size.
+    would be quadratic.  The fold therefore runs in blocks of blocks, each of
+    about the cube root of the input: a step copies only the rows and the state
+    of its own block, and what a block leaves is appended once per level.  A
+    block starts with ``enter(state)``; its steps see the state before the block
+    as fifth argument without copying it; ``leave(state, local)`` merges the two.
     """
 
     def run(src: Column, block: Column) -> Column:
-        blocks = F.when(
-            F.size(src) > 0,
-            F.sequence(F.lit(0), F.floor((F.size(src) - 1) / block).cast("int")),
-        ).otherwise(empty("int"))
+        last = F.floor((F.size(src) - 1) / block).cast("int")
 
-        def one_item(a: Column, item: Column) -> Column:
-            return step(a["st"], a["out"], item, _state)
+        def indices(start: Column, stop: Column) -> Column:
+            return F.when(start <= stop, F.sequence(start, stop)).otherwise(empty("int"))
 
         def one_block(acc: Column, b: Column) -> Column:
+            def one_item(a: Column, item: Column) -> Column:
+                return step(a["st"], a["out"], item, _state, acc["st"])
+
             return F.aggregate(
                 F.slice(src, b * block + 1, block),
-                _state(acc["st"], empty(out_type)),
+                _state(enter(acc["st"]), empty(out_type)),
                 one_item,
-                lambda a: _state(a["st"], F.concat(acc["out"], F.array(a["out"]))),
+                lambda a: _state(
+                    leave(acc["st"], a["st"]), F.concat(acc["out"], F.array(a["out"]))
+                ),
+            )
+
+        def many_blocks(acc: Column, s: Column) -> Column:
+            return F.aggregate(
+                indices(s * block, F.least(s * block + block - 1, last)),
+                _state(acc["st"], empty(f"array<{out_type}>")),
+                one_block,
+                lambda a: _state(
+                    a["st"], F.concat(acc["out"], F.array(F.flatten(a["out"])))
+                ),
             )
 
         return F.aggregate(
-            blocks,
+            indices(F.lit(0), F.floor(last / block).cast("int")),
             _state(init, empty(f"array<{out_type}>")),
-            one_block,
+            many_blocks,
             lambda a: finish(a["st"], F.flatten(a["out"])),
         )
 
     def sized(src: Column) -> Column:
-        block = F.greatest(F.lit(16), F.sqrt(F.size(src)).cast("int"))
+        block = F.greatest(F.lit(16), F.cbrt(F.size(src)).cast("int"))
         return let(block, lambda b: run(src, b))
 
     return let(items, sized)
@@ -130,22 +165,27 @@ def _state(st: Column, out: Column) -> Column:
 def splice(base: Column, patch: Column, spans: Column) -> Column:
     """``base`` with the half-open index ranges ``spans`` taken from ``patch``.
 
-    ``spans`` is an ordered array of disjoint ``struct<lo, hi>``; both arrays
-    have the same length.  Linear: the result is a flatten of slices.
+    ``spans`` is a bound, ordered array of disjoint ``struct<lo, hi>``; both
+    arrays have the same length.  Linear: the result is a flatten of slices.
     """
 
-    def piece(span: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["hi"])
+    def run(both: Column) -> Column:
+        old, new = both["old"], both["new"]
+
+        def piece(span: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["hi"])
+            return F.concat(
+                F.slice(old, start + 1, span["lo"] - start),
+                F.slice(new, span["lo"] + 1, span["hi"] - span["lo"]),
+            )
+
+        tail = F.coalesce(F.get(spans, F.size(spans) - 1)["hi"], F.lit(0))
         return F.concat(
-            F.slice(base, start + 1, span["lo"] - start),
-            F.slice(patch, span["lo"] + 1, span["hi"] - span["lo"]),
+            F.flatten(F.transform(spans, piece)),
+            F.slice(old, tail + 1, F.size(old) - tail),
         )
 
-    tail = F.coalesce(F.get(spans, F.size(spans) - 1)["hi"], F.lit(0))
-    return F.concat(
-        F.flatten(F.transform(spans, piece)),
-        F.slice(base, tail + 1, F.size(base) - tail),
-    )
+    return let(F.struct(base.alias("old"), patch.alias("new")), run)
 
 
 def outermost(intervals: Column, element_type: str, lo: str, hi: str) -> Column:

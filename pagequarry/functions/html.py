@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import at, empty, let, outermost, per_application, scan, splice
+from .arrays import at, empty, let, outermost, per_application, scan, scan_in_blocks, splice
 from .text import decode_attribute, decode_text, escape_markup
 
 # Elements without content, raw-text elements, elements whose text is
@@ -101,54 +101,81 @@ def _attributes(tag: Column) -> Column:
 _NO_ATTRIBUTES = "map<string,string>"
 
 
-def _tags(toks: Column) -> Column:
-    """Tag tokens as ``struct<p, k, t>``: k = 1 opens, 2 closes, 3 opens and closes."""
+# token classes
+_TEXTUAL, _NOTHING, _OPENS, _CLOSES, _ALONE, _CDATA_TEXT = -1, 0, 1, 2, 3, 4
 
-    def classify(tok: Column, p: Column) -> Column:
-        is_tag = tok.startswith("<") & tok.rlike("^</?\\s*+[a-zA-Z]")
-        name = F.lower(F.regexp_extract(tok, r"^</?\s*+([a-zA-Z][^\s/>]*+)", 1))
 
-        def kind(t: Column) -> Column:
-            # '/>' that belongs to an unquoted value does not close
-            self_closed = tok.endswith("/>") & ~tok.rlike(r"=\s*+[^\s\"'>/][^\s>\"']*/>$")
-            return (
-                F.when(tok.startswith("</"), F.when(t.isin(VOID), F.lit(0)).otherwise(F.lit(2)))
-                .when(tok.rlike("^(?i)" + _OPEN) == F.lit(False), F.lit(0))
-                .when(t.isin(VOID), F.lit(3))
-                .when(t.isin(RAW) & ~tok.endswith(">"), F.lit(1))
-                .when(self_closed & ~t.isin(RAW), F.lit(3))
-                .when(t.isin(RAW) & (_open_tag(tok) == tok) & self_closed, F.lit(3))
-                .otherwise(F.lit(1))
+def _classify(toks: Column) -> Column:
+    """One ``struct<p, k, t>`` per token: position, class, tag name."""
+
+    def row(p: Column, k: Column, t: Column) -> Column:
+        return F.struct(p.alias("p"), k.alias("k"), t.alias("t"))
+
+    def tag_class(tok: Column, t: Column) -> Column:
+        # '/>' that belongs to an unquoted value does not close
+        self_closed = tok.endswith("/>") & ~tok.rlike(r"=\s*+[^\s\"'>/][^\s>\"']*/>$")
+        # only stray quotes can keep a '<name' from being a tag
+        quoted = tok.contains('"') | tok.contains("'")
+        is_raw = t.isin(RAW)
+        return (
+            F.when(
+                tok.startswith("</"), F.when(t.isin(VOID), _NOTHING).otherwise(F.lit(_CLOSES))
             )
+            .when(quoted & ~tok.rlike("^(?i)" + _OPEN), F.lit(_TEXTUAL))
+            .when(t.isin(VOID), F.lit(_ALONE))
+            .when(is_raw & (_open_tag(tok) != tok), F.lit(_OPENS))
+            .when(self_closed, F.lit(_ALONE))
+            .otherwise(F.lit(_OPENS))
+        )
 
-        return F.when(
-            is_tag,
-            let(
-                name,
-                lambda t: F.struct(p.alias("p"), kind(t).alias("k"), t.alias("t")),
-            ),
+    def marked_up(tok: Column, p: Column) -> Column:
+        other = (
+            F.when(tok.rlike("^(?i:" + _CDATA + ")"), F.lit(_CDATA_TEXT))
+            .when(tok.rlike("^(?i:" + _SILENT + ")"), F.lit(_NOTHING))
+            .otherwise(F.lit(_TEXTUAL))
+        )
+        name = F.lower(F.regexp_extract(tok, r"^</?\s*+([a-zA-Z][^\s/>]*+)", 1))
+        return let(
+            name,
+            lambda t: F.when(t != "", row(p, tag_class(tok, t), t)).otherwise(row(p, other, t)),
         )
 
-    return F.filter(F.transform(toks, classify), lambda t: t["k"] > 0)
+    return F.transform(
+        toks,
+        lambda tok, p: F.when(tok.startswith("<"), marked_up(tok, p)).otherwise(
+            row(p, F.lit(_TEXTUAL), F.lit(""))
+        ),
+    )
 
 
-def _tree(toks: Column) -> Column:
+def _tree(classes: Column, n_tokens: Column) -> Column:
     """Match opening and closing tags with a stack; one pass over the tags.
 
     A closing tag closes the nearest open element of that name and everything
     opened since; without such an element it is ignored.  Elements still open
     at the end are closed there.
     """
-    return let(_tags(toks), lambda tags: _match(tags, F.size(toks)))
+    tags = F.filter(classes, lambda c: c["k"].between(_OPENS, _ALONE))
+    return let(tags, lambda t: _match(t, n_tokens))
 
 
 def _match(tags: Column, n_tokens: Column) -> Column:
+    """The fold behind ``_tree``.
+
+    The stack (innermost element first) has two parts: what was opened before
+    the current block of tags, and what was opened in it.  Only the second part
+    and the number of elements dropped from the first change from tag to tag,
+    so thousands of elements that are never closed do not slow the fold down.
+    """
     entry = "struct<n:int,parent:int,depth:int,t0:int,tag:string>"
     node = "struct<n:int,last:int,parent:int,depth:int,t0:int,t1:int>"
 
     def state(n: Column, stack: Column) -> Column:
         return F.struct(n.alias("n"), stack.alias("stack"))
 
+    def local(n: Column, stack: Column, gone: Column) -> Column:
+        return F.struct(n.alias("n"), stack.alias("stack"), gone.alias("gone"))
+
     def ended(e: Column, last: Column, t1: Column) -> Column:
         return F.struct(
             e["n"].alias("n"),
@@ -159,48 +186,80 @@ def _match(tags: Column, n_tokens: Column) -> Column:
             t1.alias("t1"),
         )
 
-    def pop(st: Column, k: Column, t1: Column) -> Column:
-        """The ``k`` innermost open elements, closed at token ``t1``."""
-        return F.transform(
-            F.slice(st["stack"], F.lit(1), k), lambda e: ended(e, st["n"] - 1, t1)
-        )
+    def pop(elements: Column, n: Column, t1: Column) -> Column:
+        return F.transform(elements, lambda e: ended(e, n - 1, t1))
 
-    def step(st: Column, out: Column, tag: Column, then) -> Column:
+    def step(st: Column, out: Column, tag: Column, then, before: Column) -> Column:
+        outer = before["stack"]
+        depth = F.size(st["stack"]) + F.size(outer) - st["gone"]
+        inner_most = F.coalesce(at(st["stack"], 0)["n"], F.get(outer, st["gone"])["n"])
         opened = F.struct(
             st["n"].alias("n"),
-            F.coalesce(at(st["stack"], 0)["n"], F.lit(-1)).alias("parent"),
-            F.size(st["stack"]).alias("depth"),
+            F.coalesce(inner_most, F.lit(-1)).alias("parent"),
+            depth.alias("depth"),
             tag["p"].alias("t0"),
             tag["t"].alias("tag"),
         )
 
-        def close(k: Column) -> Column:
-            left = state(st["n"], F.slice(st["stack"], k + 1, F.size(st["stack"])))
-            return F.when(k > 0, then(left, F.concat(out, pop(st, k, tag["p"])))).otherwise(
-                then(st, out)
+        def nearest(elements: Column) -> Column:
+            return at(F.filter(elements, lambda e: e["tag"] == tag["t"]), 0)["depth"]
+
+        def close_here(k: Column) -> Column:
+            rest = F.slice(st["stack"], k + 1, F.size(st["stack"]))
+            ends = pop(F.slice(st["stack"], F.lit(1), k), st["n"], tag["p"])
+            return then(local(st["n"], rest, st["gone"]), F.concat(out, ends))
+
+        def close_outer(k: Column) -> Column:
+            ends = pop(F.slice(outer, st["gone"] + 1, k), st["n"], tag["p"])
+            return then(
+                local(st["n"], empty(entry), st["gone"] + k),
+                F.concat(out, pop(st["stack"], st["n"], tag["p"]), ends),
             )
 
-        same = F.filter(st["stack"], lambda e: e["tag"] == tag["t"])
-        nearest = F.coalesce(F.size(st["stack"]) - at(same, 0)["depth"], F.lit(0))
+        remaining = F.slice(outer, st["gone"] + 1, F.size(outer))
         return (
             F.when(
-                tag["k"] == 1,
-                then(state(st["n"] + 1, F.concat(F.array(opened), st["stack"])), out),
+                tag["k"] == _OPENS,
+                then(
+                    local(st["n"] + 1, F.concat(F.array(opened), st["stack"]), st["gone"]), out
+                ),
             )
             .when(
-                tag["k"] == 3,
+                tag["k"] == _ALONE,
                 then(
-                    state(st["n"] + 1, st["stack"]),
+                    local(st["n"] + 1, st["stack"], st["gone"]),
                     F.concat(out, F.array(ended(opened, st["n"], tag["p"]))),
                 ),
             )
-            .otherwise(let(nearest, close))
+            .otherwise(
+                let(
+                    depth - nearest(st["stack"]),
+                    lambda here: F.when(here.isNotNull(), close_here(here)).otherwise(
+                        let(
+                            F.size(outer) - st["gone"] - nearest(remaining),
+                            lambda there: F.when(there.isNotNull(), close_outer(there)).otherwise(
+                                then(st, out)
+                            ),
+                        )
+                    ),
+                )
+            )
         )
 
-    def finish(st: Column, out: Column) -> Column:
-        return F.sort_array(F.concat(out, pop(st, F.size(st["stack"]), n_tokens)))
-
-    found = scan(tags, state(F.lit(0), empty(entry)), step, node, finish)
+    def leave(before: Column, st: Column) -> Column:
+        outer = before["stack"]
+        kept = F.slice(outer, st["gone"] + 1, F.size(outer))
+        return state(st["n"], F.concat(st["stack"], kept))
+
+    found = scan_in_blocks(
+        tags,
+        state(F.lit(0), empty(entry)),
+        lambda before: local(before["n"], empty(entry), F.lit(0)),
+        step,
+        leave,
+        node,
+        lambda st, out: F.sort_array(F.concat(out, pop(st["stack"], st["n"], n_tokens))),
+    )
     # the n-th element is the n-th opening tag, which also knows its name
     opens = F.transform(F.filter(tags, lambda g: g["k"] != 2), lambda g: g["t"])
     fields = [f.split(":")[0] for f in _NODE.split(",")]
@@ -216,22 +275,24 @@ def _match(tags: Column, n_tokens: Column) -> Column:
     return let(opens, named)
 
 
-def _character_data(toks: Column) -> Column:
+def _character_data(toks: Column, classes: Column) -> Column:
     """Decoded text per token, empty for tags, comments and raw text."""
-
-    no_text = "^(?i:" + "|".join([_CLOSE, _RAW, _OPEN, _SILENT]) + ")"
     cdata = r"(?is)^<!\[cdata\[(.*?)\]\s*\]\s*>$"
 
     def one(tok: Column, i: Column) -> Column:
+        at_end = i == F.size(toks) - 1
+        # '</>' is skipped without ending the text around it
+        whole = F.when(
+            tok.contains("</>"),
+            let(
+                F.replace(tok, F.lit("</>"), F.lit("")), lambda t: decode_text(t, at_end=at_end)
+            ),
+        ).otherwise(decode_text(tok, at_end=at_end))
+        k = F.get(classes, i)["k"]
         return (
-            F.when(tok.startswith("<") & tok.rlike(no_text), F.lit(""))
-            .when(tok.startswith("<![") & tok.rlike(cdata), F.regexp_extract(tok, cdata, 1))
-            .otherwise(
-                let(
-                    F.replace(tok, F.lit("</>"), F.lit("")),
-                    lambda t: decode_text(t, at_end=i == F.size(toks) - 1),
-                )
-            )
+            F.when(k == _TEXTUAL, whole)
+            .when(k == _CDATA_TEXT, F.regexp_extract(tok, cdata, 1))
+            .otherwise(F.lit(""))
         )
 
     return F.transform(toks, one)
@@ -307,7 +368,7 @@ def _parse(html: Column, markup: bool) -> Column:
 
     def build(b: Column) -> Column:
         toks, tree = b["toks"], b["tree"]
-        data = _character_data(toks)
+        data = _character_data(toks, b["classes"])
 
         def with_texts(texts: Column) -> Column:
             # blank text is kept as it is inside <pre> and <textarea>
@@ -331,7 +392,8 @@ def _parse(html: Column, markup: bool) -> Column:
                 is_raw = e["tag"].isin(RAW)
                 tag = F.when(is_raw, _open_tag(tok)).otherwise(tok)
                 attrs = F.when(
-                    ~is_raw & tok.rlike("^<[^\\s/]++>$"), F.create_map().cast(_NO_ATTRIBUTES)
+                    F.length(tok) == F.length(e["tag"]) + 2,
+                    F.create_map().cast(_NO_ATTRIBUTES),
                 ).otherwise(let(tag, _attributes))
                 raw = F.when(is_raw, F.substr(tok, F.length(_open_tag(tok)) + 1)).when(
                     e["tag"].isin(OWN_TEXT), own_text(e)
@@ -361,9 +423,16 @@ def _parse(html: Column, markup: bool) -> Column:
             F.struct(let(data, with_texts).alias("texts"), owner.alias("owner")), finish
         )
 
+    def with_tree(b: Column) -> Column:
+        tree = _tree(b["classes"], F.size(b["toks"]))
+        parts = [b["toks"].alias("toks"), b["classes"].alias("classes"), tree.alias("tree")]
+        return let(F.struct(*parts), build)
+
     return let(
         tokens(html),
-        lambda toks: let(F.struct(toks.alias("toks"), _tree(toks).alias("tree")), build),
+        lambda toks: let(
+            F.struct(toks.alias("toks"), _classify(toks).alias("classes")), with_tree
+        ),
     )
 
 
