@@ -28,6 +28,7 @@ from pagequarry.functions.urls import absolute_url, file_key, is_valid_url, netl
 from pagequarry.operators.articles import article_id, domain_counts, done_message, unique_ids
 from pagequarry.operators.extract import components, extract, nodes, shred, uses_markup
 from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
+from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
 from pagequarry.plans.pipeline import scrape
 from pagequarry.plans.spec import Spec, parse_selector
@@ -386,6 +387,25 @@ def utf8_pages(spark: SparkSession, d: str) -> DataFrame:
     return decode_pages(raw).select("page_id", F.length("html").cast("bigint").alias("n_chars"))
 
 
+def spec_quality(spark: SparkSession, d: str) -> DataFrame:
+    """One spec per part, broken in several ways; every broken rule is reported."""
+    k = F.col("p_partkey") % 6
+    version = F.when(k == 1, F.lit("0.9")).otherwise(F.lit("1.0.0"))
+    urls = F.when(k == 2, F.lit("[]")).otherwise(F.lit('["http://h.com/"]'))
+    select = F.when(k.isin(2, 3), F.lit("some")).otherwise(F.lit("all"))
+    leaf = F.when(k == 4, F.lit('{"selector": "p"}')).otherwise(
+        F.concat(F.lit('{"key": "'), "p_name", F.lit('", "extract": {"type": "'),
+                 F.when(k == 5, F.lit("xml")).otherwise(F.lit("text")), F.lit('"}}'))
+    )
+    text = F.concat(
+        F.lit('{"version": "'), version, F.lit('", "pages": [{"urls": '), urls,
+        F.lit(', "url_selectors": {"key": "l", "select": "'), select,
+        F.lit('"}, "selectors": '), leaf, F.lit("}]}"),
+    )
+    specs = _table(spark, d, "part").select("p_partkey", text.alias("spec"))
+    return broken_rules(specs, "p_partkey", "spec").select("p_partkey", "rule")
+
+
 # ---------------------------------------------------------------- articles
 
 
@@ -578,6 +598,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_recursive": json_recursive,
     "strip_unicode": strip_unicode,
     "utf8_pages": utf8_pages,
+    "spec_quality": spec_quality,
     "article_ids": article_ids,
     "article_log": article_log,
     "file_key_last_wins": file_key_last_wins,

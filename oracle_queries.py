@@ -187,6 +187,8 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
     "json_recursive": "SELECT event_id, json_extract_string(props, '$.k') || ',' || event_type || ',' || event_id AS ks FROM events",
     "strip_unicode": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^{SPACE}+', ''), '{SPACE}+$', '')) AS digest FROM documents",
     "utf8_pages": "SELECT page_id, length(html) AS n_chars FROM pages WHERE page_id % 7 <> 0",
+    "spec_quality": "SELECT p_partkey, unnest(CASE p_partkey % 6 WHEN 1 THEN ['version'] WHEN 2 THEN ['urls', 'select'] WHEN 3 THEN ['select'] "
+    "WHEN 4 THEN ['key'] WHEN 5 THEN ['extract.type'] ELSE [] END) AS rule FROM part",
     "article_ids": f"WITH {HEAD} SELECT id, url FROM uniq",
     "article_log": f"WITH {HEAD} SELECT url AS key, '{{\"id\":\"' || id || '\",\"url\":' || {js('url')} || ',\"scrape_time\":\"2024-01-20T00:00:00.000000\",\"components\":' || components || '}}' AS value FROM ident",
     "file_key_last_wins": f"WITH {HEAD}, f AS (SELECT *, regexp_extract(url, '^(https?://[^/]*/[^/?#]*)', 1) AS cut FROM ident) "

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import with_once
+from ..functions.arrays import fixed_map, with_once
 from ..functions.time import instant
 from ..functions.urls import netloc
 from ..plans.spec import Spec
@@ -21,7 +21,8 @@ def fetch_join(links: DataFrame, pages: DataFrame) -> DataFrame:
 
     URLs are unique per group on the link side and unique on the page side, so
     the join has no hot key; a small link side is broadcast by its measured
-    size when the query runs.
+    size when the query runs.  For pages saved with ``save_bucketed`` only the
+    links are shuffled.
     """
     html = pages.select(F.col("url"), F.col("html"))
     return links.join(html, links["abs_url"] == html["url"]).drop("url")
@@ -49,10 +50,10 @@ def articles(
     extracted: DataFrame, spec: Spec, as_of: Column | datetime | None = None
 ) -> DataFrame:
     """``metadata, id, url, scrape_time, components``, plus discovery order."""
-    known = {i: g.metadata for i, g in enumerate(spec.groups) if g.metadata is not None}
-    metadata = F.lit(None).cast("string")
-    for i, m in known.items():
-        metadata = F.when(F.col("group_id") == i, F.lit(json.dumps(m))).otherwise(metadata)
+    known = {str(i): json.dumps(g.metadata) for i, g in enumerate(spec.groups) if g.metadata is not None}
+    metadata = F.try_element_at(
+        fixed_map(known, "map<string,string>"), F.col("group_id").cast("string")
+    )
     return extracted.select(
         metadata.alias("metadata"),
         article_id(F.col("abs_url"), F.col("components")).alias("id"),

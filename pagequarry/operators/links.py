@@ -107,40 +107,65 @@ def absolute_links(links: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
-    """One row per group and URL: the first occurrence in discovery order."""
-    first = F.min(F.struct("seed_pos", "link_pos", "base_url", "href")).alias("first")
+    """One row per group and URL, at the first place it was found.
+
+    The place is packed into one number, so the aggregate hashes (a minimum
+    over a struct would sort), and each task reduces its links before the
+    shuffle.
+    """
+    place = F.shiftleft(F.col("seed_pos").cast("bigint"), 32) + F.col("link_pos")
     return (
         links.groupBy("group_id", "abs_url")
-        .agg(first)
-        .select("group_id", "first.*", "abs_url")
+        .agg(F.min(place).alias("place"))
+        .select(
+            "group_id",
+            F.shiftright("place", 32).cast("int").alias("seed_pos"),
+            F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("link_pos"),
+            "abs_url",
+        )
     )
 
 
-def cap_links(links: DataFrame, limit: int | None) -> DataFrame:
+def cap_links(links: DataFrame, limit: int | None, bucket: int = 4096) -> DataFrame:
     """The first ``limit`` links of each group in discovery order (at least one).
 
-    Ranks are made of two parts, the links of earlier seeds and the rank within
-    the page, so no task ever holds a whole group.
+    A rank is the number of links on earlier seeds plus the rank within the
+    page.  The first part comes from counts, summed over buckets of seeds and
+    then within a bucket, so no task holds all links, or all seeds, of a group,
+    however large it is.  Seeds beyond the limit are dropped before any link is
+    sorted.
     """
     if limit is None:
         return links
     cap = max(limit, 1)
-    in_page = W.partitionBy("group_id", "seed_pos").orderBy("link_pos")
-    ranked = links.withColumn("in_page", F.row_number().over(in_page)).filter(
-        F.col("in_page") <= cap
-    )
-    earlier = W.partitionBy("group_id").orderBy("seed_pos").rowsBetween(W.unboundedPreceding, -1)
-    before = (
+
+    def sum_before(n: str, by: list[str], order: str) -> Column:
+        rows = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(n).over(rows), F.lit(0))
+
+    counts = (
         links.groupBy("group_id", "seed_pos")
         .agg(F.count("*").alias("n"))
+        .withColumn("bucket", F.floor(F.col("seed_pos") / bucket))
+    )
+    buckets = (
+        counts.groupBy("group_id", "bucket")
+        .agg(F.sum("n").alias("n"))
         .select(
-            "group_id",
-            "seed_pos",
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+            "group_id", "bucket", sum_before("n", ["group_id"], "bucket").alias("before_bucket")
         )
+        .filter(F.col("before_bucket") < cap)
+    )
+    before = F.col("before_bucket") + sum_before("n", ["group_id", "bucket"], "seed_pos")
+    wanted = (
+        counts.join(buckets, ["group_id", "bucket"])
+        .select("group_id", "seed_pos", before.alias("before"))
+        .filter(F.col("before") < cap)
     )
+    in_page = W.partitionBy("group_id", "seed_pos").orderBy("link_pos")
     return (
-        ranked.join(before.filter(F.col("before") < cap), ["group_id", "seed_pos"])
+        links.join(wanted, ["group_id", "seed_pos"])
+        .withColumn("in_page", F.row_number().over(in_page))
         .filter(F.col("before") + F.col("in_page") <= cap)
         .select(*links.columns)
     )
@@ -155,7 +180,7 @@ def discover(
     strict: bool = True,
     start: DataFrame | None = None,
 ) -> DataFrame:
-    """``(group_id, seed_pos, link_pos, base_url, href, abs_url)`` to fetch.
+    """``(group_id, seed_pos, link_pos, abs_url)`` to fetch.
 
     Valid, distinct per group, not seen, capped per group: cheap filters come
     before anything touches an article page.  ``start`` replaces the seed URLs

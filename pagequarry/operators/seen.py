@@ -52,19 +52,17 @@ def mark_seen(
     with very many rows cheap.
     """
     at = F.col(stored).cast("timestamp_ntz") if stored else moment(as_of)
-    new = urls.select(
-        F.col(url).alias("url"), F.lit(1).alias("fresh"), at.alias("at")
-    ).withColumn("expiration_date", expiry(F.col("at"), ttl))
+    none = F.lit(None).cast("timestamp_ntz")
+    rows = urls.select(F.col(url).alias("url"), at.alias("at"), none.alias("old"))
     if seen is not None:
-        old = seen.select(
-            "url",
-            F.lit(0).alias("fresh"),
-            F.col("expiration_date").alias("at"),
-            "expiration_date",
+        rows = rows.unionByName(
+            seen.select("url", none.alias("at"), F.col("expiration_date").alias("old"))
         )
-        new = old.unionByName(new)
-    latest = F.max(F.struct("fresh", "at", "expiration_date"))
-    return new.groupBy("url").agg(latest.alias("m")).select("url", "m.expiration_date")
+    # two plain maxima, so the aggregate hashes
+    latest = rows.groupBy("url").agg(F.max("at").alias("at"), F.max("old").alias("old"))
+    return latest.select(
+        "url", F.coalesce(expiry(F.col("at"), ttl), F.col("old")).alias("expiration_date")
+    )
 
 
 def prune(seen: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:

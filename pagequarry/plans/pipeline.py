@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.articles import articles, extract_groups, fetch_join, unique_ids
 from ..operators.links import discover
 from ..operators.seen import DEFAULT_TTL, mark_seen
-from ..sources.sinks import fan_out, write_done
+from ..sources.seen_store import SeenStore
+from ..sources.sinks import NOTIFIERS, fan_out
 from .spec import Spec
 
 
@@ -78,18 +79,24 @@ def run(
     ttl: timedelta = DEFAULT_TTL,
     as_of: datetime | None = None,
     sinks: list[tuple[str, dict]] | None = None,
-    done_path: str | None = None,
+    notify: tuple[str, dict] = ("noop", {}),
+    seen_store: SeenStore | None = None,
     run_id: str = "0",
     strict: bool = True,
 ) -> Result:
-    """Run a spec and write to every sink.
+    """Run a spec, write to every sink, send the completion notice.
 
-    The seen table of the result covers every article, also one that a sink
-    failed to store.  The caller decides where to keep it.
+    What counts as seen comes from ``seen``, or from ``seen_store``, which then
+    also gets the new entries.  They cover every article, also one that a sink
+    failed to store.
     """
     now = as_of or datetime.now()
+    if seen_store is not None:
+        seen = seen_store.read(spark, run_id)
     found = scrape(spec, pages, seen, limit, now, strict).persist(StorageLevel.MEMORY_AND_DISK)
     outcome = fan_out(found, sinks or [("noop", {})], run_id)
-    if done_path is not None:
-        write_done(found, done_path, run_id)
+    name, options = notify
+    NOTIFIERS[name](found, run_id=run_id, **options)
+    if seen_store is not None:
+        seen_store.add(mark_seen(None, found.select("url"), ttl, now), run_id, now)
     return Result(found, mark_seen(seen, found.select("url"), ttl, now), outcome)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -26,6 +27,21 @@ class SpecError(ValueError):
         self.rule, self.where = rule, where
 
 
+class Problems(list):
+    """Broken rules found so far; each ``attempt`` covers one independent part of a spec."""
+
+    @contextmanager
+    def attempt(self):
+        try:
+            yield
+        except SpecError as e:
+            self.append(e)
+
+    def raise_first(self) -> None:
+        if self:
+            raise self[0]
+
+
 @dataclass(frozen=True)
 class Extract:
     type: str = "text"
@@ -130,36 +146,52 @@ def _modifier(raw, where: str) -> Modifier:
 
 
 def parse_selector(raw, where: str = "selector") -> Selector:
-    _typed(raw, dict, "selector", where)
+    """A selector tree from its JSON form; the first broken rule is raised."""
+    problems = Problems()
+    selector = _selector(raw, where, problems)
+    problems.raise_first()
+    return selector
+
+
+def _selector(raw, where: str, problems: Problems) -> Selector:
+    if not isinstance(raw, dict):
+        problems.append(SpecError("selector", where, f"must be a dict, got {raw!r}"))
+        return Selector()
     ref = raw.get("common_selector")
     if ref is not None:
-        return Selector(ref=_typed(ref, str, "common_selector", where))
+        with problems.attempt():
+            return Selector(ref=_typed(ref, str, "common_selector", where))
+        return Selector()
 
-    key = _typed(raw.get("key"), str, "key", where)
+    key, css, select, own = "", raw.get("selector"), raw.get("select"), raw.get("include_self")
+    with problems.attempt():
+        key = _typed(raw.get("key"), str, "key", where)
     where = f"{where}/{key}"
-    css = raw.get("selector")
-    css = "*" if css is None else _typed(css, str, "selector.css", where)
-    select = raw.get("select")
-    if select is None:
-        select = "first"
-    else:
-        _one_of(select, ("first", "all"), "select", where)
-    own = raw.get("include_self")
-    if own is not None:
-        _need(own is True or own == "true", "include_self", where, "must be 'true' or true")
+    with problems.attempt():
+        css = "*" if css is None else _typed(css, str, "selector.css", where)
+    with problems.attempt():
+        select = "first" if select is None else _one_of(select, ("first", "all"), "select", where)
+    with problems.attempt():
+        _need(own in (None, True, "true"), "include_self", where, "must be 'true' or true")
 
     base = Selector(key=key, css=css, select=select, include_self=own is not None)
     if raw.get("child") is not None:
-        return replace(base, child=parse_selector(raw["child"], where))
+        return replace(base, child=_selector(raw["child"], where, problems))
     if raw.get("children") is not None:
-        items = _typed(raw["children"], list, "children", where)
-        return replace(base, children=tuple(parse_selector(c, where) for c in items))
-    mods = raw.get("modifiers")
-    if mods is not None:
-        mods = [_modifier(m, where) for m in _filled(mods, list, "modifiers", where)]
-    return replace(
-        base, extract=_extract(raw.get("extract"), where), modifiers=tuple(mods or ())
-    )
+        items = []
+        with problems.attempt():
+            items = _typed(raw["children"], list, "children", where)
+        return replace(base, children=tuple(_selector(c, where, problems) for c in items))
+    extract, listed, mods = Extract(), raw.get("modifiers"), []
+    with problems.attempt():
+        extract = _extract(raw.get("extract"), where)
+    if listed is not None:
+        with problems.attempt():
+            _filled(listed, list, "modifiers", where)
+            for m in listed:
+                with problems.attempt():
+                    mods.append(_modifier(m, where))
+    return replace(base, extract=extract, modifiers=tuple(mods))
 
 
 def resolve(selector: Selector, common: dict[str, Selector], path: tuple = ()) -> Selector:
@@ -187,23 +219,32 @@ def _check_links(selector: Selector, where: str) -> None:
     _need(node.is_leaf, "url_selectors.shape", where, "must end in a leaf, not in 'children'")
 
 
-def _group(raw, index: int, common: dict[str, Selector]) -> PageGroup:
+def _group(raw, index: int, common: dict[str, Selector], problems: Problems) -> PageGroup:
     where = f"pages[{index}]"
-    _typed(raw, dict, "pages.item", where)
-    metadata = raw.get("metadata")
-    if metadata is not None:
-        _typed(metadata, dict, "metadata", where)
-    urls = _strings(raw.get("urls"), "urls", where)
-    links = _filled(raw.get("url_selectors"), dict, "url_selectors", where)
-    what = _typed(raw.get("selectors"), dict, "selectors", where)
-    group = PageGroup(
-        urls=urls,
-        url_selectors=resolve(parse_selector(links, f"{where}.url_selectors"), common),
-        selectors=resolve(parse_selector(what, f"{where}.selectors"), common),
-        metadata=metadata,
-    )
-    _check_links(group.url_selectors, f"{where}.url_selectors")
-    return group
+    if not isinstance(raw, dict):
+        problems.append(SpecError("pages.item", where, f"must be a dict, got {raw!r}"))
+        return PageGroup((), Selector(), Selector())
+    metadata, urls = raw.get("metadata"), ()
+    with problems.attempt():
+        metadata is None or _typed(metadata, dict, "metadata", where)
+    with problems.attempt():
+        urls = _strings(raw.get("urls"), "urls", where)
+
+    def tree(name: str, check) -> Selector:
+        found = Problems()
+        out = Selector()
+        with found.attempt():
+            body = check(raw.get(name), dict, name, where)
+            out = _selector(body, f"{where}.{name}", found)
+        if not found:
+            with found.attempt():
+                out = resolve(out, common)
+                if name == "url_selectors":
+                    _check_links(out, f"{where}.{name}")
+        problems.extend(found)
+        return out
+
+    return PageGroup(urls, tree("url_selectors", _filled), tree("selectors", _typed), metadata)
 
 
 @dataclass(frozen=True)
@@ -213,20 +254,9 @@ class Spec:
 
     @staticmethod
     def from_dict(raw: dict) -> "Spec":
-        _typed(raw, dict, "spec", "spec")
-        _one_of(raw.get("version"), (VERSION,), "version", "version")
-        pages = _filled(raw.get("pages"), list, "pages", "pages")
-        common: dict[str, Selector] = {}
-        listed = raw.get("common_selectors")
-        if listed is not None:
-            for item in _filled(listed, list, "common_selectors", "common_selectors"):
-                _typed(item, dict, "common_selectors", "common_selectors")
-                name = _typed(item.get("name"), str, "common_selectors.name", "common_selectors")
-                body = _typed(
-                    item.get("selector"), dict, "common_selectors.selector", f"common:{name}"
-                )
-                common[name] = parse_selector(body, f"common:{name}")
-        return Spec(tuple(_group(g, i, common) for i, g in enumerate(pages)), common)
+        spec, problems = check_spec(raw)
+        problems.raise_first()
+        return spec
 
     @staticmethod
     def from_json(text: str) -> "Spec":
@@ -247,6 +277,33 @@ class Spec:
         raise SpecError("file", path, "spec file must end in .json or .yaml")
 
 
+def check_spec(raw) -> tuple[Spec, Problems]:
+    """The spec and every rule it breaks."""
+    problems = Problems()
+    if not isinstance(raw, dict):
+        problems.append(SpecError("spec", "spec", f"must be a dict, got {raw!r}"))
+        return Spec(()), problems
+    pages, listed = [], raw.get("common_selectors")
+    with problems.attempt():
+        _one_of(raw.get("version"), (VERSION,), "version", "version")
+    with problems.attempt():
+        pages = _filled(raw.get("pages"), list, "pages", "pages")
+    common: dict[str, Selector] = {}
+    if listed is not None:
+        with problems.attempt():
+            for item in _filled(listed, list, "common_selectors", "common_selectors"):
+                with problems.attempt():
+                    _typed(item, dict, "common_selectors", "common_selectors")
+                    name = _typed(
+                        item.get("name"), str, "common_selectors.name", "common_selectors"
+                    )
+                    where = f"common:{name}"
+                    body = _typed(item.get("selector"), dict, "common_selectors.selector", where)
+                    common[name] = _selector(body, where, problems)
+    groups = tuple(_group(g, i, common, problems) for i, g in enumerate(pages))
+    return Spec(groups, common), problems
+
+
 def java_regex(pattern: str) -> str | None:
     """A Python pattern in Java's dialect; None if it is not a valid pattern."""
     try:

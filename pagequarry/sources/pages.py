@@ -25,6 +25,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.parquet(path))
 
 
+def save_bucketed(pages: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Keep fetched pages as a table bucketed by URL.
+
+    Joining links to it moves the links only; the HTML, nearly all of the data,
+    is read where it lies.  Choose buckets so that one fits a task comfortably.
+    """
+    writer = pages.write.mode("overwrite").bucketBy(buckets, "url").sortBy("url")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def read_raw_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw page files as ``(url, body)``; the file's path stands for the URL."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

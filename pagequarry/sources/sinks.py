@@ -149,3 +149,7 @@ def fan_out(
 def write_done(df: DataFrame, path: str, run_id: str = "0") -> None:
     """The completion notice of one run."""
     done_message(df).write.mode("overwrite").json(f"{path}/run={run_id}")
+
+
+# name -> function (articles, run_id=..., **options)
+NOTIFIERS: dict[str, Sink] = {"noop": lambda df, run_id="0": None, "file": write_done}

@@ -12,12 +12,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.seen import DEFAULT_TTL
 from ..plans.pipeline import run
 from ..plans.spec import Spec
 from ..sources.pages import PAGES
+from ..sources.seen_store import SeenStore
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -28,49 +28,36 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def latest_seen(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The seen table as it was before this batch."""
-    for earlier in range(batch_id - 1, -1, -1):
-        try:
-            return spark.read.parquet(f"{path}/version={earlier}")
-        except AnalysisException:
-            continue
-    return None
-
-
 def run_stream(
     spec: Spec,
     pages: DataFrame,
-    state_path: str,
+    seen_store: SeenStore,
     checkpoint: str,
     sinks: list[tuple[str, dict]],
-    done_path: str | None = None,
+    notify: tuple[str, dict] = ("noop", {}),
     limit: int | None = None,
     ttl: timedelta = DEFAULT_TTL,
     as_of: datetime | None = None,
 ) -> StreamingQuery:
     """Run the spec on everything that has arrived, then stop.
 
-    Each micro-batch reads the seen table of the one before, writes its articles
-    and its completion notice, and leaves a new version of the seen table.
+    Each micro-batch reads what earlier ones have stored as seen, writes its
+    articles and its completion notice, and adds its own URLs.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = latest_seen(spark, state_path, batch_id)
         result = run(
-            spark,
+            batch.sparkSession,
             spec,
             batch,
-            seen=seen,
             limit=limit,
             ttl=ttl,
             as_of=as_of,
             sinks=sinks,
-            done_path=done_path,
+            notify=notify,
+            seen_store=seen_store,
             run_id=str(batch_id),
         )
-        result.seen.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
         result.release()
 
     return (

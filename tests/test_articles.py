@@ -4,10 +4,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators.articles import domain_counts, done_message, unique_ids
+from pagequarry.operators.articles import domain_counts, done_message, fetch_join, unique_ids
 from pagequarry.plans.pipeline import run, run_all, scrape
 from pagequarry.plans.spec import Spec
 from pagequarry.sources import sinks
+from pagequarry.sources.pages import save_bucketed
+from pagequarry.sources.seen_store import SEEN_STORES, SeenFiles
 from pagequarry.streaming.continuous import run_stream, stream_pages
 from pagequarry.operators.extract import extract
 from pagequarry.plans.spec import parse_selector
@@ -91,7 +93,7 @@ def test_second_run_admits_nothing(spark, pages, tmp_path):
     def broken(df, run_id="0"):
         raise RuntimeError("down")
 
-    first = run(spark, spec, pages, as_of=NOW, sinks=targets, done_path=f"{tmp_path}/done", run_id="1")
+    first = run(spark, spec, pages, as_of=NOW, sinks=targets, notify=("file", {"path": f"{tmp_path}/done"}), run_id="1")
     assert [k for k, e in first.outcome.items() if e is not None] == ["broken"]
     first.seen.write.parquet(f"{tmp_path}/seen")
     first.release()
@@ -108,7 +110,7 @@ def test_second_run_admits_nothing(spark, pages, tmp_path):
     done = spark.read.json(f"{tmp_path}/done").collect()
     assert len(done) == 1 and len(json.loads(done[0].done)) == 3
 
-    again = run(spark, spec, pages, seen, as_of=NOW + timedelta(days=1), sinks=targets, done_path=f"{tmp_path}/done", run_id="2")
+    again = run(spark, spec, pages, seen, as_of=NOW + timedelta(days=1), sinks=targets, notify=("file", {"path": f"{tmp_path}/done"}), run_id="2")
     assert again.articles.count() == 0
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4
     assert spark.read.json(f"{tmp_path}/done").count() == 1
@@ -172,8 +174,8 @@ def test_stream_equals_batch(spark, pages, tmp_path):
 
     def go():
         q = run_stream(
-            spec, stream_pages(spark, src), f"{tmp_path}/seen", f"{tmp_path}/cp",
-            [("log", {"path": out})], done_path=f"{tmp_path}/done", as_of=NOW,
+            spec, stream_pages(spark, src), SeenFiles(f"{tmp_path}/seen"), f"{tmp_path}/cp",
+            [("log", {"path": out})], notify=("file", {"path": f"{tmp_path}/done"}), as_of=NOW,
         )
         q.awaitTermination()
 
@@ -199,3 +201,39 @@ def test_extraction_on_a_stream(spark, pages, tmp_path):
     q.awaitTermination()
     got = {r.url: r.components for r in spark.table("extracted").collect()}
     assert got["http://h.com/a"] == '{"t":"A"}' and got["http://h.com/c"] is None
+
+
+@pytest.mark.parametrize("kind", ["file", "table"])
+def test_seen_store(spark, pages, tmp_path, kind):
+    store = SEEN_STORES[kind](f"{tmp_path}/seen")
+    spec = Spec.from_dict(SPEC)
+
+    def count(run_id, when):
+        r = run(spark, spec, pages, as_of=when, seen_store=store, run_id=run_id)
+        n = r.articles.count()
+        r.release()
+        return n
+
+    assert store.read(spark) is None
+    assert count("1", NOW) == 4
+    assert count("1", NOW) == 4  # a repeated run does not see its own entries
+    assert count("2", NOW + timedelta(days=1)) == 0
+    assert count("3", NOW + timedelta(days=8)) == 4
+    assert {r.expiration_date for r in store.read(spark).collect()} == {NOW + timedelta(days=15)}
+    fresh = store.compact(spark, f"{tmp_path}/compact", NOW + timedelta(days=15))
+    assert fresh.read(spark).count() == 0
+    assert SEEN_STORES["noop"]().read(spark) is None
+
+
+def test_bucketed_pages_are_not_shuffled(spark, pages, tmp_path):
+    save_bucketed(pages, "bucketed_pages", 4, f"{tmp_path}/pages")
+    links = spark.createDataFrame([(0, 0, i, u) for i, u, _ in PAGES], "group_id int, seed_pos int, link_pos int, abs_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = fetch_join(links, spark.table("bucketed_pages"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+        assert joined.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_pages")

@@ -80,6 +80,7 @@ def test_cap_against_sorting(spark):
     for limit in (1, 7, 60, 1000):
         want = [r for g in range(3) for r in [x for x in rows if x[0] == g][:limit]]
         assert sorted(tuple(r) for r in cap_links(df, limit).collect()) == want
+        assert sorted(tuple(r) for r in cap_links(df, limit, bucket=3).collect()) == want
 
 
 def test_seen_filter_and_prune(spark, pages):

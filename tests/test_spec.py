@@ -4,6 +4,7 @@ import json
 import pytest
 
 from pagequarry.functions.css import CssError, parse_css
+from pagequarry.operators.quality import broken_rules
 from pagequarry.plans.spec import Spec, SpecError, java_regex, may_match_empty, parse_selector
 
 GOOD = {
@@ -70,6 +71,15 @@ def test_broken_rules(rule):
     assert e.value.rule == rule
 
 
+def test_all_broken_rules_are_reported(spark):
+    bad = changed(("version",), "9")
+    bad["pages"][0]["urls"] = []
+    bad["pages"][0]["selectors"] = {"key": "k", "children": [{"select": "x"}, {"key": "m", "modifiers": [{"type": "regex"}]}]}
+    df = spark.createDataFrame([(1, json.dumps(bad)), (2, json.dumps(GOOD)), (3, "{")], "id int, spec string")
+    got = sorted((r.id, r.rule) for r in broken_rules(df, "id", "spec").collect())
+    assert got == [(1, "key"), (1, "modifier.regex"), (1, "select"), (1, "urls"), (1, "version"), (3, "json")]
+
+
 def test_good_spec_in_all_forms(tmp_path):
     spec = Spec.from_dict(GOOD)
     assert spec.groups[0].selectors.child.css == "p"
