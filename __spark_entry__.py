@@ -164,11 +164,9 @@ def article_paragraph_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _listing(spark: SparkSession, d: str) -> DataFrame:
     """Every page as a listing page of group 0, in page order."""
+    place = F.struct(F.lit(0).alias("group_id"), F.col("page_id").cast("int").alias("seed_pos"))
     return _pages(spark, d).select(
-        F.lit(0).alias("group_id"),
-        F.col("page_id").cast("int").alias("seed_pos"),
-        F.col("url").alias("base_url"),
-        "html",
+        F.col("url").alias("base_url"), "html", F.array(place).alias("wanted_by")
     )
 
 

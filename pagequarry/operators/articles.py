@@ -13,19 +13,27 @@ from ..functions.time import instant
 from ..functions.urls import netloc
 from ..plans.spec import Spec
 from .extract import components_json, shred, uses_markup
-from .links import by_group
+from .links import per_tree
 
+# a broadcast of this many URLs stays in the tens of megabytes
+BROADCAST_LINKS = 50_000
 
-def fetch_join(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """The page of each link; links without a page drop out.
 
-    URLs are unique per group on the link side and unique on the page side, so
-    the join has no hot key; a small link side is broadcast by its measured
-    size when the query runs.  For pages saved with ``save_bucketed`` only the
-    links are shuffled.
+def fetch_join(links: DataFrame, pages: DataFrame, at_most: int | None = None) -> DataFrame:
+    """``(abs_url, html, wanted_by)``: the page of each link; links without a page drop out.
+
+    Links are gathered per URL first (at most one per group of the spec), so a
+    page moves, and is later parsed, once.  URLs are then unique on both sides
+    of the join.  ``at_most`` is a bound on the number of links; only a small
+    one makes this a broadcast.  For pages saved with ``save_bucketed`` only
+    the links are shuffled.
     """
+    place = F.struct("group_id", "seed_pos", "link_pos")
+    wanted = links.groupBy("abs_url").agg(F.collect_list(place).alias("wanted_by"))
+    if at_most is not None and at_most <= BROADCAST_LINKS:
+        wanted = F.broadcast(wanted)
     html = pages.select(F.col("url"), F.col("html"))
-    return links.join(html, links["abs_url"] == html["url"]).drop("url")
+    return wanted.join(html, wanted["abs_url"] == html["url"]).drop("url")
 
 
 def article_id(url: Column, components_json: Column) -> Column:
@@ -34,16 +42,18 @@ def article_id(url: Column, components_json: Column) -> Column:
 
 
 def extract_groups(fetched: DataFrame, spec: Spec, as_of: datetime | None = None) -> DataFrame:
-    """Evaluate each row with the selectors of its group, in one pass over the pages.
+    """Evaluate each page with the selectors of the groups that want it, in one pass.
 
     ``components`` is JSON text, so that all groups share a schema.  Rows
     without a result are dropped.
     """
-    rest = [c for c in fetched.columns if c != "html"]
     parsed = shred(fetched, any(uses_markup(g.selectors) for g in spec.groups))
-    value = by_group(spec.groups, "selectors", lambda s: components_json("dom", s, as_of))
-    once = with_once(parsed.select(*rest, "dom"), "components", value).select(*rest, "components")
-    return once.filter(F.col("components").isNotNull())
+    trees, value = per_tree(spec.groups, "selectors", lambda s: components_json("dom", s, as_of))
+    once = with_once(parsed.select("abs_url", "wanted_by", "dom"), "trees", trees)
+    rows = once.select("abs_url", "trees", F.inline("wanted_by"))
+    return rows.select(
+        "group_id", "seed_pos", "link_pos", "abs_url", value.alias("components")
+    ).filter(F.col("components").isNotNull())
 
 
 def articles(

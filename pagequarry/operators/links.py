@@ -15,13 +15,33 @@ from .extract import components, shred, uses_markup, value_shape
 from .seen import unseen
 
 
+WANTED_BY = "array<struct<group_id:int,seed_pos:int>>"
+
+
 def seeds(spark: SparkSession, spec: Spec, strict: bool = True) -> DataFrame:
-    """``(group_id, seed_pos, base_url)`` of the valid seed URLs of a spec."""
-    rows = [(g, p, u) for g, group in enumerate(spec.groups) for p, u in enumerate(group.urls)]
-    df = spark.createDataFrame(rows, "group_id int, seed_pos int, base_url string")
+    """``(base_url, wanted_by)``: the valid seed URLs of a spec and the groups that list them.
+
+    A group that repeats a URL keeps the first position.
+    """
+    wanted: dict[str, dict[int, int]] = {}
+    for g, group in enumerate(spec.groups):
+        for p, u in enumerate(group.urls):
+            wanted.setdefault(u, {}).setdefault(g, p)
+    rows = [(u, list(by.items())) for u, by in wanted.items()]
+    df = spark.createDataFrame(rows, f"base_url string, wanted_by {WANTED_BY}")
     return df.filter(_valid("base_url", strict))
 
 
+def group_seeds(start: DataFrame) -> DataFrame:
+    """The same from a table ``(group_id, seed_pos, base_url)``.
+
+    The array per URL has at most one entry per group of the spec.
+    """
+    first = start.groupBy("base_url", "group_id").agg(F.min("seed_pos").alias("seed_pos"))
+    by = F.collect_list(F.struct("group_id", "seed_pos")).alias("wanted_by")
+    return first.groupBy("base_url").agg(by)
+
+
 def _as_list(selector: Selector, value: Column) -> Column:
     """The links of one page as an array, cut at the first value that is not a string."""
     path = []
@@ -51,17 +71,25 @@ def _as_list(selector: Selector, value: Column) -> Column:
     return let(value, strings)
 
 
-def by_group(groups: tuple[PageGroup, ...], tree: str, value_of) -> Column:
-    """One value per row, from the selector tree of the row's group; equal trees share a branch."""
+def per_tree(groups: tuple[PageGroup, ...], tree: str, value_of) -> tuple[Column, Column]:
+    """One value per distinct selector tree, and the choice among them for a group.
+
+    The first column is a struct with a field per tree, null unless a group in
+    ``wanted_by`` uses it; the second picks the field for ``group_id``.
+    """
     shared: dict[Selector, list[int]] = {}
     for i, g in enumerate(groups):
         shared.setdefault(getattr(g, tree), []).append(i)
-    out = None
-    for selector, ids in shared.items():
-        value = value_of(selector)
-        test = F.col("group_id").isin(ids)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    fields, choice = [], F
+    for i, (selector, ids) in enumerate(shared.items()):
+        asked = F.exists("wanted_by", _is_one_of(ids))
+        fields.append(F.when(asked, value_of(selector)).alias(f"t{i}"))
+        choice = choice.when(F.col("group_id").isin(ids), F.col(f"trees.t{i}"))
+    return F.struct(*fields), choice
+
+
+def _is_one_of(ids: list[int]):
+    return lambda w: w["group_id"].isin(ids)
 
 
 @per_application
@@ -78,16 +106,19 @@ def _links_of(dom: str, selector: Selector) -> Column:
 
 
 def page_links(listing: DataFrame, spec: Spec) -> DataFrame:
-    """All links of listing pages ``(group_id, seed_pos, base_url, html)``, one row each.
+    """All links of listing pages ``(base_url, html, wanted_by)``, one row each and group.
 
-    A link that cannot even be split ends its page, as do values that are not
-    strings; what came before is kept.
+    A page is parsed once, however many groups list it.  A link that cannot
+    even be split ends its page, as do values that are not strings; what came
+    before is kept.
     """
     parsed = shred(listing, any(uses_markup(g.url_selectors) for g in spec.groups))
-    found = by_group(spec.groups, "url_selectors", lambda s: _links_of("dom", s))
-    keys = ["group_id", "seed_pos", "base_url"]
-    once = with_once(parsed.select(*keys, "dom"), "links", found)
-    return once.select(*keys, F.posexplode("links").alias("link_pos", "href"))
+    trees, links = per_tree(spec.groups, "url_selectors", lambda s: _links_of("dom", s))
+    once = with_once(parsed.select("base_url", "wanted_by", "dom"), "trees", trees)
+    rows = once.select("base_url", "trees", F.inline("wanted_by"))
+    return rows.select(
+        "group_id", "seed_pos", "base_url", F.posexplode(links).alias("link_pos", "href")
+    )
 
 
 @per_application
@@ -189,7 +220,7 @@ def discover(
     if start is None:
         start = seeds(pages.sparkSession, spec, strict)
     else:
-        start = start.filter(_valid("base_url", strict))
+        start = group_seeds(start.filter(_valid("base_url", strict)))
     listing = start.join(pages.select("url", "html"), start["base_url"] == F.col("url"))
     links = distinct_links(absolute_links(page_links(listing, spec), strict))
     return cap_links(unseen(links, seen, as_of), limit)

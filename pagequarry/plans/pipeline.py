@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.articles import articles, extract_groups, fetch_join, unique_ids
 from ..operators.links import discover
 from ..operators.seen import DEFAULT_TTL, mark_seen
+from ..sources.lineage import written
 from ..sources.seen_store import SeenStore
 from ..sources.sinks import NOTIFIERS, fan_out
 from .spec import Spec
@@ -25,11 +26,20 @@ def scrape(
     as_of: datetime | None = None,
     strict: bool = True,
     start: DataFrame | None = None,
+    write_links: bool = False,
 ) -> DataFrame:
-    """The articles of a spec as one lazy plan."""
+    """The articles of a spec.
+
+    One lazy plan, unless ``write_links``: then the links are found first and
+    written down.  They are small next to the pages, and the planner, knowing
+    their size, does not shuffle the HTML to fetch a few of them.
+    """
     now = as_of or datetime.now()
     links = discover(pages, spec, seen, limit, now, strict, start)
-    found = extract_groups(fetch_join(links, pages), spec, now)
+    if write_links:
+        links = written(links)
+    at_most = None if limit is None else max(limit, 1) * len(spec.groups)
+    found = extract_groups(fetch_join(links, pages, at_most), spec, now)
     return articles(found, spec, now)
 
 
@@ -93,7 +103,8 @@ def run(
     now = as_of or datetime.now()
     if seen_store is not None:
         seen = seen_store.read(spark, run_id)
-    found = scrape(spec, pages, seen, limit, now, strict).persist(StorageLevel.MEMORY_AND_DISK)
+    found = scrape(spec, pages, seen, limit, now, strict, write_links=True)
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     outcome = fan_out(found, sinks or [("noop", {})], run_id)
     name, options = notify
     NOTIFIERS[name](found, run_id=run_id, **options)

@@ -48,6 +48,9 @@ def test_discover(spark, pages):
         "http://h.com/d", "http://h.com/e",
     ]
     assert seeds(spark, s).count() == 3
+    again = spec((["http://h.com/l1"] * 2, LINKS), (["http://h.com/l2", "http://h.com/l1"], LINKS))
+    by = {r.base_url: sorted(map(tuple, r.wanted_by)) for r in seeds(spark, again).collect()}
+    assert by == {"http://h.com/l1": [(0, 0), (1, 1)], "http://h.com/l2": [(1, 0)]}
 
 
 def test_malformed_link_ends_its_page(pages):
