@@ -81,7 +81,7 @@ def ttl_admit(
 
     Keys with up to ``fold_limit`` distinct times are folded as one array.
     Larger keys are never gathered: every visit learns its successor (the first
-    visit after its TTL) from windows over short time cells, and the chain from
+    visit after its TTL) from windows over cells of a second, and the chain from
     the first visit is found by pointer doubling, so the number of rounds is
     the logarithm of the chain length and all joins are on unique keys.
     """
@@ -148,25 +148,37 @@ def _chain(v: DataFrame, width: int, longest: int) -> DataFrame:
     return reached
 
 
-def _successors(v: DataFrame, width: int, cells: int = 64) -> DataFrame:
+def _successors(v: DataFrame, width: int) -> DataFrame:
     """``(k, t, nxt)``: for each time the first time of the key at least ``width`` later.
 
-    Times and the moments asked for meet in cells of a fraction of the TTL, so
-    even a key with a huge number of visits is spread over many partitions.
+    Times and the moments asked for meet in cells of at most a second, and the
+    cells in groups of 4096.  Times are distinct microseconds, so a cell holds
+    at most a million of them: no window grows with the visits of a key.
     """
-    step = max(width // cells, 1)
-    cell = F.floor(F.col("x") / step)
+    step = max(min(width // 64, 1_000_000), 1)
     none = F.lit(None).cast("bigint")
     data = v.select("k", F.col("t").alias("x"), F.col("t").alias("d"), none.alias("t"))
     asked = v.select("k", (F.col("t") + width).alias("x"), none.alias("d"), "t")
-    both = data.unionByName(asked).withColumn("cell", cell)
-
-    # first data point of a later cell, from one row per cell
-    later = W.partitionBy("k").orderBy(F.col("cell").desc()).rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        both.groupBy("k", "cell")
-        .agg(F.min("d").alias("d"))
-        .select("k", "cell", F.last("d", ignorenulls=True).over(later).alias("beyond"))
+    both = (
+        data.unionByName(asked)
+        .withColumn("cell", F.floor(F.col("x") / step))
+        .withColumn("area", F.floor(F.col("x") / step / 4096))
+    )
+
+    def first_later(by: list[str], order: str) -> Column:
+        rows = W.partitionBy(*by).orderBy(F.col(order).desc())
+        earlier_rows = rows.rowsBetween(W.unboundedPreceding, -1)
+        return F.last("d", ignorenulls=True).over(earlier_rows)
+
+    # one row per cell and area, with the first data point in it and after it
+    cells = both.groupBy("k", "area", "cell").agg(F.min("d").alias("d"))
+    areas = cells.groupBy("k", "area").agg(F.min("d").alias("d"))
+    beyond_area = areas.select("k", "area", first_later(["k"], "area").alias("beyond_area"))
+    beyond_cell = cells.select(
+        "k", "area", "cell", first_later(["k", "area"], "cell").alias("beyond_cell")
+    )
+    beyond = beyond_cell.join(beyond_area, ["k", "area"]).select(
+        "k", "cell", F.coalesce("beyond_cell", "beyond_area").alias("beyond")
     )
     # first data point at or after the asked moment, inside the cell
     inside = (
@@ -178,7 +190,7 @@ def _successors(v: DataFrame, width: int, cells: int = 64) -> DataFrame:
         F.col("t").isNotNull()
     )
     return (
-        answered.join(starts, ["k", "cell"])
+        answered.join(beyond, ["k", "cell"])
         .select("k", "t", F.coalesce("near", "beyond").alias("nxt"))
         .filter(F.col("nxt").isNotNull())
     )

@@ -12,12 +12,12 @@ SEEN = "url string, expiration_date timestamp_ntz"
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores on an input too small to be split.
 
-    Parsing costs far more than reading.  A scan with fewer partitions than
-    the cluster has cores is redistributed; a large one already has more and
-    is left alone, so nothing is shuffled there.
+    Parsing costs far more than reading.  A scan that would keep at least half
+    of the cores idle is redistributed.  A large scan has many partitions per
+    core and is left alone, so nothing is shuffled there.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
