@@ -475,7 +475,7 @@ def _start(spark: SparkSession, d: str, groups: int = 1) -> DataFrame:
 def _crawl(spark: SparkSession, d: str, **kw) -> DataFrame:
     spec = Spec.from_dict(SPEC)
     pages = _pages(spark, d).select("url", "html").unionByName(_linked_pages(spark, d))
-    return scrape(spec, pages, as_of=AS_OF, start=_start(spark, d, 2), **kw)
+    return scrape(spec, pages, as_of=AS_OF, start=_start(spark, d, 2), write_links=True, **kw)
 
 
 def crawl_articles(spark: SparkSession, d: str) -> DataFrame:

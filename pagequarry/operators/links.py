@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let, per_application, with_once
 from ..functions.urls import absolute_url, is_malformed, is_valid_url
 from ..plans.spec import PageGroup, Selector, Spec
+from ..sources.lineage import written
 from .extract import components, shred, uses_markup, value_shape
 from .seen import unseen
 
@@ -164,10 +165,11 @@ def cap_links(links: DataFrame, limit: int | None, bucket: int = 4096) -> DataFr
     page.  The first part comes from counts, summed over buckets of seeds and
     then within a bucket, so no task holds all links, or all seeds, of a group,
     however large it is.  Seeds beyond the limit are dropped before any link is
-    sorted.
+    sorted.  The links are needed several times, so they are written down first.
     """
     if limit is None:
         return links
+    links = written(links)
     cap = max(limit, 1)
 
     def sum_before(n: str, by: list[str], order: str) -> Column:

@@ -36,7 +36,7 @@ def scrape(
     """
     now = as_of or datetime.now()
     links = discover(pages, spec, seen, limit, now, strict, start)
-    if write_links:
+    if write_links and limit is None:  # a limit has them written already
         links = written(links)
     at_most = None if limit is None else max(limit, 1) * len(spec.groups)
     found = extract_groups(fetch_join(links, pages, at_most), spec, now)
