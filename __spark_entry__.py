@@ -30,7 +30,7 @@ from pagequarry.operators.extract import components, extract, nodes, shred, uses
 from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
 from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
-from pagequarry.plans.pipeline import scrape
+from pagequarry.plans.runs import scrape
 from pagequarry.plans.spec import Spec, parse_selector
 from pagequarry.sources.pages import decode_pages, read_pages, spread
 from pagequarry.sources.sinks import absent, last_per_file, log_entries
@@ -301,24 +301,21 @@ def joined_links(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- modifiers
 
 
+def _modified(spark: SparkSession, d: str, patterns: list[str], returns: str) -> DataFrame:
+    """Documents with a match; the value is computed once, then filtered."""
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    value = regex_modifier(F.col("text"), patterns, returns)
+    return with_once(docs, "value", value).filter(F.col("value").isNotNull())
+
+
 def regex_original(spark: SparkSession, d: str) -> DataFrame:
-    kept = regex_modifier(F.col("text"), ["[0-9]{3}-[0-9]{4}", "@[a-z]+\\.", "Copyright"])
-    return (
-        _table(spark, d, "documents")
-        .select("doc_id", F.length(kept).cast("bigint").alias("n"))
-        .filter(F.col("n").isNotNull())
-    )
+    kept = _modified(spark, d, ["[0-9]{3}-[0-9]{4}", "@[a-z]+\\.", "Copyright"], "original")
+    return kept.select("doc_id", F.length("value").cast("bigint").alias("n"))
 
 
 def regex_first(spark: SparkSession, d: str) -> DataFrame:
-    first = regex_modifier(
-        F.col("text"), ["[a-zA-Z0-9.]+@[a-z.]+", "[0-9]+", "[A-Z][a-z]+"], "first"
-    )
-    return (
-        _table(spark, d, "documents")
-        .select("doc_id", first.alias("match"))
-        .filter(F.col("match").isNotNull())
-    )
+    patterns = ["[a-zA-Z0-9.]+@[a-z.]+", "[0-9]+", "[A-Z][a-z]+"]
+    return _modified(spark, d, patterns, "first").select("doc_id", F.col("value").alias("match"))
 
 
 def epoch_dates(spark: SparkSession, d: str) -> DataFrame:

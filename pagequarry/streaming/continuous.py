@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.seen import DEFAULT_TTL
-from ..plans.pipeline import run
+from ..plans.runs import run
 from ..plans.spec import Spec
 from ..sources.pages import PAGES
 from ..sources.seen_store import SeenStore

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators.articles import domain_counts, done_message, fetch_join, unique_ids
-from pagequarry.plans.pipeline import run, run_all, scrape
+from pagequarry.plans.runs import run, run_all, scrape
 from pagequarry.plans.spec import Spec
 from pagequarry.sources import sinks
 from pagequarry.sources.pages import save_bucketed
