@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import lru_cache
@@ -25,15 +26,23 @@ from pagequarry.functions.modifiers import regex_modifier
 from pagequarry.functions.text import strip
 from pagequarry.functions.time import instant
 from pagequarry.functions.urls import absolute_url, file_key, is_valid_url, netloc, split_url
-from pagequarry.operators.articles import article_id, domain_counts, done_message, unique_ids
+from pagequarry.operators.articles import (
+    article_count,
+    article_id,
+    domain_counts,
+    done_message,
+    unique_ids,
+)
 from pagequarry.operators.extract import components, extract, nodes, shred, uses_markup
 from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
 from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
 from pagequarry.plans.runs import scrape
 from pagequarry.plans.spec import Spec, parse_selector
+from pagequarry.sources.lineage import shared_folder
 from pagequarry.sources.pages import decode_pages, read_pages, spread
 from pagequarry.sources.sinks import absent, last_per_file, log_entries
+from pagequarry.streaming.continuous import stream_pages
 
 AS_OF = datetime(2024, 1, 20)
 TTL = timedelta(days=2)
@@ -451,6 +460,26 @@ def per_domain_counts(spark: SparkSession, d: str) -> DataFrame:
     return domain_counts(_headlines(spark, d))
 
 
+def total_count(spark: SparkSession, d: str) -> DataFrame:
+    return article_count(_headlines(spark, d))
+
+
+def stream_headlines(spark: SparkSession, d: str) -> DataFrame:
+    """Headlines extracted from a stream of page files, read back from its sink."""
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    pages = stream_pages(spark, f"{d}/pages*.parquet")
+    query = (
+        extract(pages, parse_selector(HEADLINE), as_json=True)
+        .select("page_id", "components")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{out}/rows")
+    )
+    query.awaitTermination()
+    return spark.read.schema("page_id bigint, components string").parquet(f"{out}/rows")
+
+
 def _linked_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages under the URL their first link points to, so that links lead somewhere."""
     first = absolute_links(_links(spark, d)).filter(F.col("link_pos") == 0)
@@ -600,6 +629,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insert_if_absent": insert_if_absent,
     "done_message": done,
     "per_domain_counts": per_domain_counts,
+    "total_count": total_count,
+    "stream_headlines": stream_headlines,
     "crawl_articles": crawl_articles,
     "crawl_limited": crawl_limited,
     "crawl_unique": crawl_unique,

@@ -200,6 +200,8 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
     "insert_if_absent": f"WITH {HEAD} SELECT id, url FROM uniq WHERE id NOT IN (SELECT id FROM ident WHERE page_id % 3 = 0)",
     "done_message": f"WITH {HEAD}, d AS (SELECT DISTINCT id FROM ident) SELECT '[' || string_agg('{{\"id\":\"' || id || '\"}}', ',' ORDER BY id) || ']' AS done FROM d",
     "per_domain_counts": f"WITH {HEAD} SELECT host AS domain, count(DISTINCT id) AS n_articles FROM ident GROUP BY host",
+    "total_count": f"WITH {HEAD} SELECT count(DISTINCT id) AS n_articles FROM ident",
+    "stream_headlines": f"WITH {HEAD} SELECT page_id, components FROM art",
     "crawl_articles": f"{ALL_LINKS} SELECT metadata, id, url, components FROM recs",
     "crawl_limited": CRAWL.replace("COND", f"{SEEN_DAY} <= 20").replace("CAP", "100")
     + " SELECT metadata, id, url, components FROM recs",

@@ -120,3 +120,8 @@ def domain_counts(df: DataFrame) -> DataFrame:
         .groupBy("domain")
         .agg(F.count("*").alias("n_articles"))
     )
+
+
+def article_count(df: DataFrame) -> DataFrame:
+    """One row: the number of distinct articles."""
+    return df.select("id").distinct().agg(F.count("*").alias("n_articles"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +69,12 @@ def run_all(
 
 @dataclass
 class Result:
-    """What a run left behind.  ``articles`` is cached until ``release``."""
+    """What a run left behind: its articles, the seen table after it, an error or None per sink."""
 
     articles: DataFrame
     seen: DataFrame
     outcome: dict[str, Exception | None]
 
-    def release(self) -> None:
-        self.articles.unpersist()
-
 
 def run(
     spark: SparkSession,
@@ -103,9 +99,9 @@ def run(
     now = as_of or datetime.now()
     if seen_store is not None:
         seen = seen_store.read(spark, run_id)
-    found = scrape(spec, pages, seen, limit, now, strict, write_links=True)
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
-    outcome = fan_out(found, sinks or [("noop", {})], run_id)
+    # written once: sinks, notice and seen table all read it
+    found = written(scrape(spec, pages, seen, limit, now, strict, write_links=True))
+    outcome = fan_out(found, sinks or [("noop", {})], run_id, stored=True)
     name, options = notify
     NOTIFIERS[name](found, run_id=run_id, **options)
     if seen_store is not None:

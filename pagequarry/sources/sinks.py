@@ -10,13 +10,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.urls import file_key
 from ..operators.articles import article_json, done_message
+from .lineage import written
 
 log = logging.getLogger(__name__)
 
@@ -122,27 +122,25 @@ def noop(df: DataFrame, run_id: str = "0") -> None:
 
 
 def fan_out(
-    df: DataFrame, sinks: list[tuple[str, dict]], run_id: str = "0"
+    df: DataFrame, sinks: list[tuple[str, dict]], run_id: str = "0", stored: bool = False
 ) -> dict[str, Exception | None]:
     """Write to every sink; one that fails does not stop the others.
 
-    The articles are computed once.  Returns the error, if any, per sink.
+    The articles are computed once: unless they are ``stored`` already, they are
+    written to the shared folder first, so losing an executor half-way does not
+    mean parsing everything again.  Returns the error, if any, per sink.
     """
-    own_cache = len(sinks) > 1 and not df.is_cached
-    shared = df.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else df
+    if len(sinks) > 1 and not stored:
+        df = written(df)
     outcome: dict[str, Exception | None] = {}
-    try:
-        for i, (name, options) in enumerate(sinks):
-            label = name if name not in outcome else f"{name}#{i}"
-            try:
-                SINKS[name](shared, run_id=run_id, **options)
-                outcome[label] = None
-            except Exception as e:  # noqa: BLE001 - isolation is the point
-                log.exception("sink %s failed", label)
-                outcome[label] = e
-    finally:
-        if own_cache:
-            shared.unpersist()
+    for i, (name, options) in enumerate(sinks):
+        label = name if name not in outcome else f"{name}#{i}"
+        try:
+            SINKS[name](df, run_id=run_id, **options)
+            outcome[label] = None
+        except Exception as e:  # noqa: BLE001 - isolation is the point
+            log.exception("sink %s failed", label)
+            outcome[label] = e
     return outcome
 
 

@@ -46,7 +46,7 @@ def run_stream(
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        result = run(
+        run(
             batch.sparkSession,
             spec,
             batch,
@@ -58,7 +58,6 @@ def run_stream(
             seen_store=seen_store,
             run_id=str(batch_id),
         )
-        result.release()
 
     return (
         pages.writeStream.foreachBatch(one_batch)

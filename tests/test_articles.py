@@ -96,7 +96,6 @@ def test_second_run_admits_nothing(spark, pages, tmp_path):
     first = run(spark, spec, pages, as_of=NOW, sinks=targets, notify=("file", {"path": f"{tmp_path}/done"}), run_id="1")
     assert [k for k, e in first.outcome.items() if e is not None] == ["broken"]
     first.seen.write.parquet(f"{tmp_path}/seen")
-    first.release()
     seen = spark.read.parquet(f"{tmp_path}/seen")
     assert {r.url for r in seen.collect()} == {f"http://h.com/{x}" for x in "abc"}
 
@@ -114,7 +113,6 @@ def test_second_run_admits_nothing(spark, pages, tmp_path):
     assert again.articles.count() == 0
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4
     assert spark.read.json(f"{tmp_path}/done").count() == 1
-    again.release()
     later = scrape(spec, pages, seen, as_of=NOW + timedelta(weeks=1))
     assert later.count() == 4
 
@@ -210,9 +208,7 @@ def test_seen_store(spark, pages, tmp_path, kind):
 
     def count(run_id, when):
         r = run(spark, spec, pages, as_of=when, seen_store=store, run_id=run_id)
-        n = r.articles.count()
-        r.release()
-        return n
+        return r.articles.count()
 
     assert store.read(spark) is None
     assert count("1", NOW) == 4
