@@ -33,7 +33,7 @@ from pagequarry.operators.articles import (
     done_message,
     unique_ids,
 )
-from pagequarry.operators.extract import components, extract, nodes, shred, uses_markup
+from pagequarry.operators.extract import components, extract, needs, nodes, shred
 from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
 from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
@@ -44,6 +44,7 @@ from pagequarry.sources.pages import decode_pages, read_pages, spread
 from pagequarry.sources.sinks import absent, last_per_file, log_entries
 from pagequarry.streaming.continuous import stream_pages
 
+TAGS_ONLY: frozenset[str] = frozenset()
 AS_OF = datetime(2024, 1, 20)
 TTL = timedelta(days=2)
 
@@ -94,8 +95,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _values(spark: SparkSession, d: str, **selectors: dict) -> DataFrame:
     """``page_id`` and one typed column per selector, one parse per page."""
     trees = {name: parse_selector({"key": "k", **s}) for name, s in selectors.items()}
-    markup = any(uses_markup(t) for t in trees.values())
-    dom = shred(_pages(spark, d).select("page_id", "html"), markup)
+    dom = shred(_pages(spark, d).select("page_id", "html"), needs(*trees.values()))
     found = F.struct(*[components("dom", t).alias(name) for name, t in trees.items()])
     return with_once(dom, "found", found).select("page_id", "found.*")
 
@@ -146,13 +146,13 @@ def article_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def element_counts(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(_pages(spark, d)).groupBy("tag").agg(F.count("*").alias("n"))
+    return nodes(_pages(spark, d), wanted=TAGS_ONLY).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def element_shape(spark: SparkSession, d: str) -> DataFrame:
     """Per page: elements, leaves of the tree, and its depth."""
     return (
-        nodes(_pages(spark, d))
+        nodes(_pages(spark, d), wanted=TAGS_ONLY)
         .groupBy("page_id")
         .agg(
             F.count("*").alias("n_elements"),

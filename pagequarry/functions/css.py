@@ -244,6 +244,19 @@ def parse_css(css: str) -> list[Complex]:
     return _parse(css)
 
 
+def uses_attributes(css: str) -> bool:
+    """Whether any part of a selector looks at attributes."""
+
+    def look(complexes: list[Complex]) -> bool:
+        return any(
+            p.tests or any(isinstance(rule[1], list) and look(rule[1]) for rule in p.structural)
+            for c in complexes
+            for p in c.parts
+        )
+
+    return bool(look(parse_css(css)))
+
+
 def _is_local(complexes: list[Complex]) -> bool:
     """True if each element can be tested on its own."""
     return all(

@@ -350,21 +350,44 @@ def _between(arr: Column, e: Column) -> Column:
     return F.slice(arr, e["t0"] + 2, F.greatest(e["t1"] - e["t0"] - 1, F.lit(0)))
 
 
-def parse(html: Column | str, markup: bool = False) -> Column:
+# what a parse can provide besides the tree of tags
+TEXTS, ATTRIBUTES, MARKUP = "texts", "attributes", "markup"
+ALL_TEXT = frozenset({TEXTS, ATTRIBUTES})
+
+
+def parse(html: Column | str, needs: frozenset[str] = ALL_TEXT) -> Column:
     """The DOM of one page: ``struct<nodes, texts[, markup]>``.
 
-    ``markup`` also keeps comments and the like, needed only to write elements
-    back as HTML.
+    Only what is in ``needs`` is computed; the rest stays empty.  ``MARKUP``
+    keeps comments and the like, needed only to write elements back as HTML.
     """
-    return _parse_named(html, markup) if isinstance(html, str) else _parse(html, markup)
+    return _parse_named(html, needs) if isinstance(html, str) else _parse(html, needs)
 
 
 @per_application
-def _parse_named(name: str, markup: bool) -> Column:
-    return _parse(F.col(name), markup)
+def _parse_named(name: str, needs: frozenset[str]) -> Column:
+    return _parse(F.col(name), needs)
+
+
+def _parse(html: Column, needs: frozenset[str]) -> Column:
+    no_attributes = F.create_map().cast(_NO_ATTRIBUTES)
+    no_text = F.lit(None).cast("string")
 
+    def node(e: Column, attrs: Column, raw: Column) -> Column:
+        names = [f.split(":")[0] for f in _NODE.split(",")]
+        return F.struct(*[e[f].alias(f) for f in names], attrs.alias("attrs"), raw.alias("raw"))
 
-def _parse(html: Column, markup: bool) -> Column:
+    def attributes(e: Column, toks: Column) -> Column:
+        if ATTRIBUTES not in needs:
+            return no_attributes
+        tok = F.get(toks, e["t0"])
+        tag = F.when(e["tag"].isin(RAW), _open_tag(tok)).otherwise(tok)
+        bare = F.length(tok) == F.length(e["tag"]) + 2
+        return F.when(bare, no_attributes).otherwise(let(tag, _attributes))
+
+    def without_texts(b: Column) -> Column:
+        full = F.transform(b["tree"], lambda e: node(e, attributes(e, b["toks"]), no_text))
+        return F.struct(full.alias("nodes"), empty("string").alias("texts"))
 
     def build(b: Column) -> Column:
         toks, tree = b["toks"], b["tree"]
@@ -389,26 +412,17 @@ def _parse(html: Column, markup: bool) -> Column:
 
             def full(e: Column) -> Column:
                 tok = F.get(toks, e["t0"])
-                is_raw = e["tag"].isin(RAW)
-                tag = F.when(is_raw, _open_tag(tok)).otherwise(tok)
-                attrs = F.when(
-                    F.length(tok) == F.length(e["tag"]) + 2,
-                    F.create_map().cast(_NO_ATTRIBUTES),
-                ).otherwise(let(tag, _attributes))
-                raw = F.when(is_raw, F.substr(tok, F.length(_open_tag(tok)) + 1)).when(
-                    e["tag"].isin(OWN_TEXT), own_text(e)
-                )
-                names = [f.split(":")[0] for f in _NODE.split(",")]
-                return F.struct(
-                    *[e[f].alias(f) for f in names], attrs.alias("attrs"), raw.alias("raw")
-                )
+                raw = F.when(
+                    e["tag"].isin(RAW), F.substr(tok, F.length(_open_tag(tok)) + 1)
+                ).when(e["tag"].isin(OWN_TEXT), own_text(e))
+                return node(e, attributes(e, toks), raw)
 
             shown = F.when(
                 owner.isNotNull(),
                 F.zip_with(texts, owner, lambda x, o: F.when(o == "", x).otherwise(F.lit(""))),
             ).otherwise(texts)
             fields = [F.transform(tree, full).alias("nodes"), shown.alias("texts")]
-            if markup:
+            if MARKUP in needs:
                 kept = F.transform(
                     toks,
                     lambda t: F.when(
@@ -426,7 +440,7 @@ def _parse(html: Column, markup: bool) -> Column:
     def with_tree(b: Column) -> Column:
         tree = _tree(b["classes"], F.size(b["toks"]))
         parts = [b["toks"].alias("toks"), b["classes"].alias("classes"), tree.alias("tree")]
-        return let(F.struct(*parts), build)
+        return let(F.struct(*parts), build if TEXTS in needs else without_texts)
 
     return let(
         tokens(html),

@@ -20,10 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let, null_if_empty, per_application, with_once
-from ..functions.css import Matcher
+from ..functions.css import Matcher, uses_attributes
 from ..functions.html import (
+    ALL_TEXT,
+    ATTRIBUTES,
     LIST_ATTRIBUTES,
+    MARKUP,
     NODE_TYPE,
+    TEXTS,
     VOID,
     attribute_words,
     element_text,
@@ -45,8 +49,21 @@ def walk(selector: Selector):
         yield from walk(c)
 
 
-def uses_markup(selector: Selector) -> bool:
-    return any(s.is_leaf and s.extract.type == "html" for s in walk(selector))
+def needs(*selectors: Selector) -> frozenset[str]:
+    """What a parse must provide for these trees."""
+    out = set()
+    for s in (x for tree in selectors for x in walk(tree)):
+        if uses_attributes(s.css):
+            out.add(ATTRIBUTES)
+        if s.is_leaf:
+            kind = s.extract.type
+            out |= {
+                "text": {TEXTS},
+                "jsonpath": {TEXTS},
+                "attribute": {ATTRIBUTES},
+                "html": {TEXTS, ATTRIBUTES, MARKUP},
+            }[kind]
+    return frozenset(out)
 
 
 def value_shape(s: Selector) -> str:
@@ -282,7 +299,7 @@ def components(dom: str, s: Selector, as_of: datetime | None = None) -> Column:
 
     def run(d: Column) -> Column:
         root = at(F.filter(d["nodes"], lambda e: e["tag"] == "html"), 0)
-        markup = d["markup"] if uses_markup(s) else None
+        markup = d["markup"] if MARKUP in needs(s) else None
 
         def on_root(r: Column) -> Column:
             page = Page(d["nodes"], d["texts"], markup, {})
@@ -366,14 +383,18 @@ def to_json_text(s: Selector, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(head, _json_value(s, value), F.lit("}")))
 
 
-def shred(pages: DataFrame, markup: bool = False, html: str = "html") -> DataFrame:
+def shred(
+    pages: DataFrame, wanted: frozenset[str] = ALL_TEXT, html: str = "html"
+) -> DataFrame:
     """Add the parsed page as column ``dom``; evaluated once per row."""
-    return with_once(pages, "dom", parse(html, markup=markup))
+    return with_once(pages, "dom", parse(html, wanted))
 
 
-def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def nodes(
+    pages: DataFrame, key: str = "page_id", wanted: frozenset[str] = ALL_TEXT
+) -> DataFrame:
     """The node table: one row per element, with its interval and its own attributes."""
-    return shred(pages).select(key, F.inline("dom.nodes"))
+    return shred(pages, wanted).select(key, F.inline("dom.nodes"))
 
 
 def extract(
@@ -384,6 +405,6 @@ def extract(
     Rows without a result keep a null.
     """
     rest = [c for c in pages.columns if c != "html"]
-    parsed = shred(pages, uses_markup(selector))
+    parsed = shred(pages, needs(selector))
     value = (components_json if as_json else components)("dom", selector, as_of)
     return with_once(parsed.select(*rest, "dom"), "components", value).select(*rest, "components")
