@@ -302,10 +302,51 @@ def _holds(doc: Column, v: Column, condition: tuple) -> Column:
     return F.exists(found, lambda x: _compare(doc, x, op, want))
 
 
+def _direct_path(steps: list[tuple]) -> str | None:
+    """The path as Spark's own variant path, if it only names keys and positions."""
+    out = "$"
+    for kind, *args in steps:
+        if kind == "child" and len(args[0]) == 1 and not re.search(r"['\\]", args[0][0]):
+            out += f"['{args[0][0]}']"
+        elif kind == "index" and args[0] >= 0:
+            out += f"[{args[0]}]"
+        else:
+            return None
+    return out if steps else None
+
+
 def json_matches(text: Column, path: str) -> Column:
-    """All matches of a path as strings; null without a match or on bad JSON."""
+    """All matches of a path as strings; null without a match or on bad JSON.
+
+    A plain path to a string, integer, boolean or null is a variant lookup.
+    Everything else goes through the array of values, which keeps the order of
+    keys and the way numbers are written.
+    """
     steps = compile_path(path)
+    direct = _direct_path(steps)
+    if direct is None:
+        return _search(text, steps)
+
+    def look(doc: Column) -> Column:
+        return F.struct(
+            F.schema_of_variant(F.try_variant_get(doc, direct, "variant")).alias("kind"),
+            F.try_variant_get(doc, direct, "string").alias("text"),
+        )
+
+    def result(found: Column) -> Column:
+        kind = found["kind"]
+        return (
+            F.when(kind.isNull(), F.lit(None).cast("array<string>"))
+            .when(kind.isin("STRING", "BIGINT"), F.array(found["text"]))
+            .when(kind == "BOOLEAN", F.array(F.initcap(found["text"])))
+            .when(kind == "VOID", F.array(F.lit("None")))
+            .otherwise(_search(text, steps))
+        )
+
+    return let(let(F.try_parse_json(text), look), result)
+
 
+def _search(text: Column, steps: list[tuple]) -> Column:
     def run(doc: Column) -> Column:
         found = F.slice(doc["vals"], F.lit(1), F.lit(1))
         for s in steps:

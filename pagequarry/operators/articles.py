@@ -15,8 +15,8 @@ from ..plans.spec import Spec
 from .extract import components_json, needs, shred
 from .links import per_tree
 
-# a broadcast of this many URLs stays in the tens of megabytes
-BROADCAST_LINKS = 50_000
+# a broadcast of this many URLs stays within some megabytes
+BROADCAST_LINKS = 10_000
 
 
 def fetch_join(links: DataFrame, pages: DataFrame, at_most: int | None = None) -> DataFrame:

@@ -38,8 +38,9 @@ def run_stream(
     limit: int | None = None,
     ttl: timedelta = DEFAULT_TTL,
     as_of: datetime | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Run the spec on everything that has arrived, then stop.
+    """Run the spec on everything that has arrived, then stop; or go on, ``every`` so often.
 
     Each micro-batch reads what earlier ones have stored as seen, writes its
     articles and its completion notice, and adds its own URLs.
@@ -59,9 +60,6 @@ def run_stream(
             run_id=str(batch_id),
         )
 
-    return (
-        pages.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = pages.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    when = {"availableNow": True} if every is None else {"processingTime": every}
+    return writer.trigger(**when).start()
