@@ -33,7 +33,7 @@ from pagequarry.operators.articles import (
     done_message,
     unique_ids,
 )
-from pagequarry.operators.extract import components, extract, needs, nodes, shred
+from pagequarry.operators.extract import components, extract, nodes, shred_for
 from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
 from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
@@ -95,7 +95,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _values(spark: SparkSession, d: str, **selectors: dict) -> DataFrame:
     """``page_id`` and one typed column per selector, one parse per page."""
     trees = {name: parse_selector({"key": "k", **s}) for name, s in selectors.items()}
-    dom = shred(_pages(spark, d).select("page_id", "html"), needs(*trees.values()))
+    dom = shred_for(_pages(spark, d).select("page_id", "html"), *trees.values())
     found = F.struct(*[components("dom", t).alias(name) for name, t in trees.items()])
     return with_once(dom, "found", found).select("page_id", "found.*")
 

@@ -12,7 +12,7 @@ from ..functions.arrays import fixed_map, with_once
 from ..functions.time import instant
 from ..functions.urls import netloc
 from ..plans.spec import Spec
-from .extract import components_json, needs, shred
+from .extract import components_json, shred_for
 from .links import per_tree
 
 # a broadcast of this many URLs stays within some megabytes
@@ -47,9 +47,9 @@ def extract_groups(fetched: DataFrame, spec: Spec, as_of: datetime | None = None
     ``components`` is JSON text, so that all groups share a schema.  Rows
     without a result are dropped.
     """
-    parsed = shred(fetched, needs(*(g.selectors for g in spec.groups)))
+    parsed = shred_for(fetched, *(g.selectors for g in spec.groups))
     trees, value = per_tree(spec.groups, "selectors", lambda s: components_json("dom", s, as_of))
-    once = with_once(parsed.select("abs_url", "wanted_by", "dom"), "trees", trees)
+    once = with_once(parsed, "trees", trees)
     rows = once.select("abs_url", "trees", F.inline("wanted_by"))
     return rows.select(
         "group_id", "seed_pos", "link_pos", "abs_url", value.alias("components")

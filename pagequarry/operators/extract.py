@@ -16,7 +16,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let, null_if_empty, per_application, with_once
@@ -300,12 +300,9 @@ def components(dom: str, s: Selector, as_of: datetime | None = None) -> Column:
     def run(d: Column) -> Column:
         root = at(F.filter(d["nodes"], lambda e: e["tag"] == "html"), 0)
         markup = d["markup"] if MARKUP in needs(s) else None
-
-        def on_root(r: Column) -> Column:
-            page = Page(d["nodes"], d["texts"], markup, {})
-            return F.when(r.isNotNull(), _with_all_flags(page, s, r, now))
-
-        return let(root, on_root)
+        flags = {css: F.col(FLAGS)[css] for css in page_wide(s)}
+        page = Page(d["nodes"], d["texts"], markup, flags)
+        return let(root, lambda r: F.when(r.isNotNull(), evaluate(s, page, r, now)))
 
     return run(F.col(dom))
 
@@ -316,25 +313,30 @@ def components_json(dom: str, s: Selector, as_of: datetime | None = None) -> Col
     return let(components(dom, s, as_of), lambda v: to_json_text(s, v))
 
 
-def _with_all_flags(page: Page, s: Selector, root: Column, as_of: Column | None) -> Column:
-    """Compute the flags of every selector of the tree once per page, then evaluate."""
+FLAGS = "selector_flags"
+
+
+def page_wide(*selectors: Selector) -> list[str]:
+    """The CSS selectors that need the whole page, each once; detached subtrees flag their own."""
     wanted: list[str] = []
 
-    def collect(x: Selector, detached: bool) -> None:
-        detached = detached or x.include_self
-        if not detached and not Matcher(x.css).local and x.css not in wanted:
+    def collect(x: Selector) -> None:
+        if x.include_self:
+            return
+        if not Matcher(x.css).local and x.css not in wanted:
             wanted.append(x.css)
         for c in ([x.child] if x.child else []) + list(x.children or ()):
-            collect(c, detached)
+            collect(c)
 
-    collect(s, False)
+    for s in selectors:
+        collect(s)
+    return wanted
 
-    def bind(p: Page, rest: list[str]) -> Column:
-        if not rest:
-            return evaluate(s, p, root, as_of)
-        return p.with_flags(rest[0], lambda q, _: bind(q, rest[1:]))
 
-    return bind(page, wanted)
+@per_application
+def _flag_columns(wanted: tuple[str, ...]) -> Column:
+    nodes_ = F.col("dom")["nodes"]
+    return F.struct(*[Matcher(css).flags(nodes_).alias(css) for css in wanted])
 
 
 def _json_string(c: Column) -> Column:
@@ -387,9 +389,27 @@ def shred(
     pages: DataFrame, wanted: frozenset[str] = ALL_TEXT, html: str = "html"
 ) -> DataFrame:
     """Add the parsed page as column ``dom``; evaluated once per row."""
+    _allow_deep_expressions(pages.sparkSession)
     return with_once(pages, "dom", parse(html, wanted))
 
 
+def shred_for(pages: DataFrame, *selectors: Selector) -> DataFrame:
+    """``dom`` with what the trees need, and the flags of their page-wide selectors.
+
+    Keeps all other columns but ``html``.
+    """
+    parsed = shred(pages, needs(*selectors)).drop("html")
+    wanted = tuple(page_wide(*selectors))
+    return with_once(parsed, FLAGS, _flag_columns(wanted)) if wanted else parsed
+
+
+def _allow_deep_expressions(spark: SparkSession) -> None:
+    """Nested lambdas are resolved one level per round; long selectors need more than 100."""
+    conf = "spark.sql.analyzer.maxIterations"
+    if int(spark.conf.get(conf, "100")) < 1000:
+        spark.conf.set(conf, "1000")
+
+
 def nodes(
     pages: DataFrame, key: str = "page_id", wanted: frozenset[str] = ALL_TEXT
 ) -> DataFrame:
@@ -405,6 +425,6 @@ def extract(
     Rows without a result keep a null.
     """
     rest = [c for c in pages.columns if c != "html"]
-    parsed = shred(pages, needs(selector))
+    parsed = shred_for(pages, selector)
     value = (components_json if as_json else components)("dom", selector, as_of)
-    return with_once(parsed.select(*rest, "dom"), "components", value).select(*rest, "components")
+    return with_once(parsed, "components", value).select(*rest, "components")

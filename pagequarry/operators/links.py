@@ -12,7 +12,7 @@ from ..functions.arrays import let, per_application, with_once
 from ..functions.urls import absolute_url, is_malformed, is_valid_url
 from ..plans.spec import PageGroup, Selector, Spec
 from ..sources.lineage import written
-from .extract import components, needs, shred, value_shape
+from .extract import components, shred_for, value_shape
 from .seen import unseen
 
 
@@ -113,9 +113,9 @@ def page_links(listing: DataFrame, spec: Spec) -> DataFrame:
     even be split ends its page, as do values that are not strings; what came
     before is kept.
     """
-    parsed = shred(listing, needs(*(g.url_selectors for g in spec.groups)))
+    parsed = shred_for(listing, *(g.url_selectors for g in spec.groups))
     trees, links = per_tree(spec.groups, "url_selectors", lambda s: _links_of("dom", s))
-    once = with_once(parsed.select("base_url", "wanted_by", "dom"), "trees", trees)
+    once = with_once(parsed, "trees", trees)
     rows = once.select("base_url", "trees", F.inline("wanted_by"))
     return rows.select(
         "group_id", "seed_pos", "base_url", F.posexplode(links).alias("link_pos", "href")

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from pagequarry.operators.extract import components, extract, shred
+from pagequarry.operators.extract import components, extract, shred_for
 from pagequarry.plans.spec import parse_selector, resolve
 
 PS = "<html><p>foo</p><p>bar</p><p>baz</p></html>"
@@ -278,14 +278,13 @@ CSS = {
 
 
 def test_css(spark):
-    df = shred(spark.createDataFrame([(1, PAGE)], "page_id int, html string"))
+    page = spark.createDataFrame([(1, PAGE)], "page_id int, html string")
     names = list(CSS)
     for start in range(0, len(names), 8):
         part = names[start : start + 8]
-        cols = [
-            components("dom", parse_selector(leaf("k", css, **ALL))).alias(f"v{i}")
-            for i, css in enumerate(part)
-        ]
+        trees = [parse_selector(leaf("k", css, **ALL)) for css in part]
+        df = shred_for(page, *trees)
+        cols = [components("dom", t).alias(f"v{i}") for i, t in enumerate(trees)]
         row = df.select(*cols).collect()[0]
         for i, css in enumerate(part):
             assert row[f"v{i}"] == CSS[css], css
@@ -304,3 +303,32 @@ def test_common_selector(spark):
     s = resolve(parse_selector({"common_selector": "a"}), common)
     df = spark.createDataFrame([(1, "<html><p id=1>x</p></html>")], "page_id int, html string")
     assert extract(df, s, as_json=True).collect()[0].components == '{"k":"x"}'
+
+
+def test_news_page(spark):
+    """A selector tree the way sites need it: attribute hooks, positions, nested lists."""
+    html = """<html><body><main><article class="Main__body big">
+      <header><h1>Title &amp; more</h1>
+        <div data-testid="byline"><div><div><div>By <span>x</span><span>Ann</span></div></div>
+          <div>March 4, 2024, 5:06 PM</div></div></div></header>
+      <div data-testid="image"><img src="/1.png"><figcaption><div><div>One</div></div></figcaption></div>
+      <div data-testid="image"><img src="/2.png"></div>
+      <section data-testid="body"><p>First.</p><p> Second <b>bold</b>. </p></section>
+    </article></main></body></html>"""
+    hook = "[data-testid={}]".format
+    raw = leaf("article", "article.Main__body", select="all", children=[
+        leaf("title", "header h1"),
+        leaf("author", hook("byline") + " div:first-of-type span:nth-of-type(2)"),
+        leaf("hook", "[class*=body] span:last-child"),
+        leaf("date", hook("byline") + " > div > div:nth-of-type(2)", **DATE),
+        leaf("images", hook("image"), select="all", children=[
+            leaf("src", "img", extract={"type": "attribute", "key": "src"}),
+            leaf("caption", "figcaption div div:first-of-type"),
+        ]),
+        leaf("text", hook("body") + " p", select="all"),
+    ])
+    assert run(spark, html, raw) == {"article": [
+        {"title": "Title & more"}, {"author": "Ann"}, {"hook": "Ann"}, {"date": "2024-03-04T17:06:00"},
+        {"images": [{"src": "/1.png"}, {"caption": "One"}, {"src": "/2.png"}]},
+        {"text": ["First.", "Second bold."]},
+    ]}
