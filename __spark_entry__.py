@@ -25,7 +25,7 @@ from pagequarry.functions.jsonpath import json_matches
 from pagequarry.functions.modifiers import regex_modifier
 from pagequarry.functions.text import strip
 from pagequarry.functions.time import instant
-from pagequarry.functions.urls import absolute_url, file_key, is_valid_url, netloc, split_url
+from pagequarry.functions.urls import absolute_url, is_valid_url, netloc, split_url
 from pagequarry.operators.articles import (
     article_count,
     article_id,

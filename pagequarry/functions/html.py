@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import at, empty, let, outermost, per_application, scan, scan_in_blocks, splice
-from .text import decode_attribute, decode_text, escape_markup
+from .text import decode_attribute, decode_text
 
 # Elements without content, raw-text elements, elements whose text is
 # not part of the text around them, elements that keep blank text as it is.
