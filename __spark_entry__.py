@@ -642,11 +642,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return article_components(spark, "/root/testdata/sf0.001")
 
 
+def _llm() -> tuple[dict, dict]:
+    """The queries of the ``llm`` subpackage and of its pipeline, and their SQL; none if they are not installed."""
+    parts = {"pagequarry.llm", "pagequarry.llm.queries", "corpus_pipeline"}
+    try:
+        import corpus_pipeline
+        from pagequarry.llm import queries as llm
+    except ModuleNotFoundError as e:
+        if e.name not in parts:
+            raise
+        return {}, {}
+    sql = dict(llm.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_llm()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
 
-    return {k: v for k, v in ORACLE.items() if k in _QUERIES}
+    return {**{k: v for k, v in ORACLE.items() if k in _QUERIES}, **_llm()[1]}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,30 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without it gets a temporary one.
+    Without it, a folder in the session's warehouse, which all executors share too.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         named = sc.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        named = tempfile.mkdtemp(prefix="checkpoint-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A place for a new table below the shared folder; it is removed when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    system, path = _file_system(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{folder}/rows"
+
+
+def remove_folder(spark: SparkSession, table: str) -> None:
+    """Remove what ``new_folder`` named, when nothing reads it any more."""
+    system, path = _file_system(spark, table.removesuffix("/rows"))
+    system.delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The same as a table, whose size the planner then knows."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = folder or new_folder(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
