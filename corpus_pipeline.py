@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagequarry.llm.decontam import decontaminated
 from pagequarry.llm.mixing import mixed_documents
+from pagequarry.llm.neardup import without_near_duplicates
 from pagequarry.llm.tokens import tokenized
 from pagequarry.sources.lineage import written
 
 
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return without_near_duplicates(docs)
+
+
+def without_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixed_documents(docs)
@@ -20,6 +32,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("near duplicates", distinct_texts),
+    ("benchmark items", without_items),
     ("mixing sources", weighted),
     ("token files", encoded),
 ]

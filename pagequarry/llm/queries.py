@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagequarry.llm.decontam import contaminated
 from pagequarry.llm.mixing import mix
+from pagequarry.llm.neardup import near_duplicates
 from pagequarry.llm.tokens import tokenized
 
 
@@ -14,6 +16,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op4_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(_table(spark, d, "documents"))
+
+
+def op6_benchmark_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return contaminated(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenized(_table(spark, d, "documents"))
 
@@ -23,6 +34,8 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op10_source_mix": op10_source_mix,
 }
@@ -62,4 +75,43 @@ SELECT s.doc_id, s.size, p.source_size::BIGINT AS source_size, p.target,
 FROM sized s JOIN placed p ON s.src = p.src AND s.key = p.key AND s.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
-ORACLE: dict[str, str] = {"op10_source_mix": _MIX_SQL}
+#: Distinct shingles ``s`` of each row of ``documents`` and its words ``w``.
+_SHINGLES_SQL = r"""
+  SELECT doc_id, w, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+      lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM (SELECT {id} AS doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM {table})
+"""
+
+_NEAR_SQL = f"""
+WITH RECURSIVE docs AS ({_SHINGLES_SQL.format(id="doc_id", table="documents")}),
+sets AS (SELECT min(doc_id) AS rep, s FROM (SELECT doc_id, list_sort(s) AS s FROM docs WHERE len(s) > 0) GROUP BY s),
+one AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.x = b.x AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+comp AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+  d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM docs d LEFT JOIN sets t ON list_sort(d.s) = t.s LEFT JOIN comp c ON c.rep = t.rep
+"""
+
+_LEAKS_SQL = f"""
+WITH docs AS ({_SHINGLES_SQL.format(id="doc_id", table="documents")}),
+items AS ({_SHINGLES_SQL.format(id="item_id", table="benchmark")}),
+item_rows AS (SELECT doc_id AS item_id, least(len(w), 5) AS width, len(s) AS n, unnest(s) AS x FROM items),
+doc_rows AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS x
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+        FROM docs, (SELECT DISTINCT width FROM item_rows)))
+SELECT doc_id, item_id, n::BIGINT AS n_item_shingles, count(*) AS n_shared
+FROM doc_rows JOIN item_rows USING (width, x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_near_duplicates": _NEAR_SQL,
+    "op6_benchmark_leaks": _LEAKS_SQL,
+    "op10_source_mix": _MIX_SQL,
+}
