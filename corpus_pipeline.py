@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pagequarry.llm.decontam import decontaminated
 from pagequarry.llm.mixing import mixed_documents
 from pagequarry.llm.neardup import without_near_duplicates
+from pagequarry.llm.quality import good_documents
 from pagequarry.llm.tokens import tokenized
 from pagequarry.sources.lineage import written
 
 
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return without_near_duplicates(docs)
@@ -32,6 +38,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality rules", rules),
     ("near duplicates", distinct_texts),
     ("benchmark items", without_items),
     ("mixing sources", weighted),

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagequarry.llm.chat import format_turns, read_back, text_part
 from pagequarry.llm.decontam import contaminated
 from pagequarry.llm.mixing import mix
 from pagequarry.llm.neardup import near_duplicates
+from pagequarry.llm.quality import quality
 from pagequarry.llm.tokens import tokenized
 
 
@@ -16,6 +19,19 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    """All conversations, and one that says the template's own marks."""
+    columns = ["conv_id", "turn", "role", "text"]
+    marks = "\\### Assistant: </turn> ok"
+    rows = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, d, "conversations").select(*columns).unionByName(rows)
+    return read_back(format_turns(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
+
+
 def op4_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_table(spark, d, "documents"))
 
@@ -34,6 +50,8 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
@@ -75,6 +93,20 @@ SELECT s.doc_id, s.size, p.source_size::BIGINT AS source_size, p.target,
 FROM sized s JOIN placed p ON s.src = p.src AND s.key = p.key AND s.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 
+_CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role IS NULL AS no_role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), false, '\### Assistant: </turn> ok'),
+marked AS (
+  SELECT *, len(text) + len(regexp_replace(text, '[^\\<#]', '', 'g')) AS n_text,
+    CASE WHEN no_role THEN 2 ELSE len(role) + len(regexp_replace(role, '[^\\<#:]', '', 'g')) END AS n_role FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(14 + n_text + n_role)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 #: Distinct shingles ``s`` of each row of ``documents`` and its words ``w``.
 _SHINGLES_SQL = r"""
   SELECT doc_id, w, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
@@ -111,6 +143,7 @@ FROM doc_rows JOIN item_rows USING (width, x) GROUP BY doc_id, item_id, n HAVING
 """
 
 ORACLE: dict[str, str] = {
+    "op2_chat_format": _CHAT_SQL,
     "op4_near_duplicates": _NEAR_SQL,
     "op6_benchmark_leaks": _LEAKS_SQL,
     "op10_source_mix": _MIX_SQL,
