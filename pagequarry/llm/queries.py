@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.chat import format_turns, read_back, text_part
 from pagequarry.llm.decontam import contaminated
+from pagequarry.llm.hmm import score
 from pagequarry.llm.mixing import mix
 from pagequarry.llm.neardup import near_duplicates
 from pagequarry.llm.quality import quality
@@ -45,6 +46,10 @@ def op7_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenized(_table(spark, d, "documents"))
 
 
+def op9_markov_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score(_table(spark, d, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(_table(spark, d, "documents")).drop("source")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
+    "op9_markov_scores": op9_markov_scores,
     "op10_source_mix": op10_source_mix,
 }
 
