@@ -13,6 +13,7 @@ from pagequarry.llm.hmm import score
 from pagequarry.llm.mixing import mix
 from pagequarry.llm.neardup import near_duplicates
 from pagequarry.llm.quality import quality
+from pagequarry.llm.repeats import without_repeats
 from pagequarry.llm.tokens import tokenized
 
 
@@ -37,6 +38,10 @@ def op4_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_table(spark, d, "documents"))
 
 
+def op5_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
+    return without_repeats(_table(spark, d, "documents"), with_text=False).drop("kept")
+
+
 def op6_benchmark_leaks(spark: SparkSession, d: str) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
     return contaminated(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op9_markov_scores": op9_markov_scores,
