@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pagequarry.llm.chat import format_turns, read_back, text_part
 from pagequarry.llm.decontam import contaminated
 from pagequarry.llm.hmm import score
+from pagequarry.llm.licenses import scan_licenses
 from pagequarry.llm.mixing import mix
 from pagequarry.llm.neardup import near_duplicates
+from pagequarry.llm.pages import main_text
 from pagequarry.llm.quality import quality
 from pagequarry.llm.repeats import without_repeats
 from pagequarry.llm.tokens import tokenized
@@ -34,6 +36,10 @@ def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return read_back(format_turns(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
 
 
+def op3_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return main_text(_table(spark, d, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_table(spark, d, "documents"))
 
@@ -51,6 +57,11 @@ def op7_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenized(_table(spark, d, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each line, paragraph or text that is a licence or its notice."""
+    return scan_licenses(_table(spark, d, "documents"))
+
+
 def op9_markov_scores(spark: SparkSession, d: str) -> DataFrame:
     return score(_table(spark, d, "documents"))
 
@@ -62,10 +73,12 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_main_text": op3_main_text,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
+    "op8_license_scan": op8_license_scan,
     "op9_markov_scores": op9_markov_scores,
     "op10_source_mix": op10_source_mix,
 }
