@@ -199,7 +199,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _word_starts(text: np.ndarray) -> np.ndarray:
     """Places where a word begins and ``LENGTH`` bytes follow."""
-    space = (text == 32) | (text == 10)
+    space = (text == 32) | (text == 10) | (text < 0)  # the last: between pages
     begins = ~space & np.concatenate(([True], space[:-1]))
     return np.flatnonzero(begins[: max(0, len(text) - LENGTH + 1)])
 
@@ -272,8 +272,8 @@ def unique_runs(stream: str, undecided: list[int], covered: list[int] | None) ->
     out, begin, wanted = [], 0, set(undecided)
     for i, line in enumerate(text.split(b"\n")):
         if i in wanted:
-            # a word stays if none of it is covered
-            words = [m for m in re.finditer(rb"\S+", line) if not gone[begin + m.start() : begin + m.end()].any()]
+            # a word goes if all of it is covered
+            words = [m for m in re.finditer(rb"\S+", line) if not gone[begin + m.start() : begin + m.end()].all()]
             out += [m.group().decode() for m in words]
         begin += len(line) + 1
     return " ".join(out)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagequarry.sources.lineage import new_folder
+from pagequarry.sources.lineage import new_folder, written
 
 SEGMENT_IDS = 1 << 20
 #: Encoded pieces a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
 FILE_SCHEMA = (
     "part int, seg long, n_ids long, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary"
@@ -89,6 +90,7 @@ class EliasFano:
 
 #: A space between two other characters always begins a new piece of byte-level BPE, whatever follows.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = re.compile(r"\s")
 
 
 class Encoder:
@@ -100,20 +102,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        # ids whose text begins with a space, in the vocabulary's spelling
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in encoded]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, each behind a space: many as one text, cut where an id begins with a space.
+
+        A piece with white space inside, or a text that is not cut into as many parts, is encoded piece by piece.
+        """
+        width = self.dtype.itemsize
+        plain = [x for x in pieces if not _SPACE.search(x)]
+        single = [x for x in pieces if _SPACE.search(x)]
+        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for part, blob in zip(parts, self._ids([" " + " ".join(part) for part in parts])):
+            at = np.flatnonzero(self.opens[np.frombuffer(blob, self.dtype)])
+            if len(at) == len(part) and at[0] == 0:
+                ends = [*(at[1:] * width).tolist(), len(blob)]
+                self.known.update(zip(part, (blob[a:b] for a, b in zip((at * width).tolist(), ends))))
+            else:
+                single += part
+        self.known.update(zip(single, self._ids([" " + x for x in single])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_PIECES.split(t) for t in texts]
+        split = list(map(_PIECES.split, texts))
+        firsts = [p.pop(0) for p in split]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        firsts = [p[0] for p in split]
-        new = list({x for p in split for x in p[1:] if x not in known})
-        encoded = self.tokenizer.encode_batch_fast(firsts + [" " + x for x in new], add_special_tokens=False)
-        as_bytes = [np.array(e.ids, self.dtype).tobytes() for e in encoded]
-        known.update(zip(new, as_bytes[len(firsts) :]))
+        self.learn(list(set().union(*split).difference(known)))
         get = known.__getitem__
-        return [a + b"".join(map(get, p[1:])) for a, p in zip(as_bytes, split)]
+        return [a + b"".join(map(get, p)) for a, p in zip(self._ids(firsts), split)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -193,7 +218,8 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", "seg", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("seg_start"))
     starts = starts.join(parts, "part").select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("start"))
-    return files.join(starts, ["part", "seg"])
+    # written, so that the planner knows that this side is small and leaves the ids where they are
+    return files.join(written(starts), ["part", "seg"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
