@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import lru_cache
@@ -37,12 +36,13 @@ from pagequarry.operators.extract import components, extract, nodes, shred_for
 from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
 from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
-from pagequarry.plans.runs import scrape
+from pagequarry.plans.runs import merged, scrape
 from pagequarry.plans.spec import Spec, parse_selector
-from pagequarry.sources.lineage import shared_folder
+from pagequarry.sources.lineage import new_folder, written
 from pagequarry.sources.pages import decode_pages, read_pages, spread
-from pagequarry.sources.sinks import absent, last_per_file, log_entries
-from pagequarry.streaming.continuous import stream_pages
+from pagequarry.sources.seen_store import SeenFiles
+from pagequarry.sources.sinks import absent, fan_out, last_per_file, log_entries, new_run_id, register_sink
+from pagequarry.streaming.continuous import run_stream, stream_pages
 
 TAGS_ONLY: frozenset[str] = frozenset()
 AS_OF = datetime(2024, 1, 20)
@@ -173,7 +173,7 @@ def article_paragraph_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _listing(spark: SparkSession, d: str) -> DataFrame:
     """Every page as a listing page of group 0, in page order."""
-    place = F.struct(F.lit(0).alias("group_id"), F.col("page_id").cast("int").alias("seed_pos"))
+    place = F.struct(F.lit(0).alias("group_id"), F.col("page_id").alias("seed_pos"))
     return _pages(spark, d).select(
         F.col("url").alias("base_url"), "html", F.array(place).alias("wanted_by")
     )
@@ -224,7 +224,7 @@ def _seen_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def links_unseen(spark: SparkSession, d: str) -> DataFrame:
-    left = unseen(_by_host(spark, d), _seen_hosts(spark, d), AS_OF)
+    left = unseen(_by_host(spark, d), written(_seen_hosts(spark, d)), AS_OF)
     return left.select(F.col("group_id").alias("host"), "abs_url")
 
 
@@ -428,7 +428,7 @@ def _headlines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_ids(spark: SparkSession, d: str) -> DataFrame:
-    return unique_ids(_headlines(spark, d)).select("id", "url")
+    return unique_ids(written(_headlines(spark, d))).select("id", "url")
 
 
 def article_log(spark: SparkSession, d: str) -> DataFrame:
@@ -442,18 +442,47 @@ def _same_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_key_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    return last_per_file(_same_files(spark, d)).select("file_key", "url", "id")
+    return last_per_file(written(_same_files(spark, d))).select("file_key", "url", "id")
 
 
 def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Articles that a target holding every third page does not have."""
-    all_ = _headlines(spark, d)
+    all_ = written(_headlines(spark, d))
     target = all_.filter(F.col("found_at.page_id") % 3 == 0)
     return absent(all_, target).select("id", "url")
 
 
 def done(spark: SparkSession, d: str) -> DataFrame:
-    return done_message(_headlines(spark, d), ids_per_message=10_000_000)
+    return done_message(_headlines(spark, d))
+
+
+def keyed_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed sink after two runs without ids: every third page first, then all."""
+    path, all_ = new_folder(spark, "keyed"), written(_headlines(spark, d))
+    for some in (all_.filter(F.col("found_at.page_id") % 3 == 0), all_):
+        fan_out(some, [("keyed", {"path": path})])
+    return spark.read.schema("id string, url string, run string").parquet(path).drop("run")
+
+
+def seen_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A seen store after two runs: even pages, then, a day later, every third one."""
+    store, pages = SeenFiles(new_folder(spark, "seen")), _pages(spark, d)
+    for every, at in ((2, AS_OF), (3, AS_OF + timedelta(days=1))):
+        some = pages.filter(F.col("page_id") % every == 0).select("url")
+        store.add(mark_seen(None, some, TTL, at), new_run_id(), at)
+    return store.read(spark)
+
+
+def _down(df: DataFrame, run_id: str | None = None) -> DataFrame:
+    raise RuntimeError("down")
+
+
+def done_after_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The notice of a run of which one sink fails and the other has every third article already."""
+    register_sink("down")(_down)
+    path, all_ = new_folder(spark, "keyed"), written(_headlines(spark, d))
+    fan_out(all_.filter(F.col("found_at.page_id") % 3 == 0), [("keyed", {"path": path})])
+    return done_message(fan_out(all_, [("down", {}), ("keyed", {"path": path})]).ids)
 
 
 def per_domain_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -466,7 +495,7 @@ def total_count(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_headlines(spark: SparkSession, d: str) -> DataFrame:
     """Headlines extracted from a stream of page files, read back from its sink."""
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = new_folder(spark, "stream")
     pages = stream_pages(spark, f"{d}/pages*.parquet")
     query = (
         extract(pages, parse_selector(HEADLINE), as_json=True)
@@ -485,25 +514,57 @@ def _linked_pages(spark: SparkSession, d: str) -> DataFrame:
     first = absolute_links(_links(spark, d)).filter(F.col("link_pos") == 0)
     owner = first.groupBy("abs_url").agg(F.min("seed_pos").alias("page_id"))
     return owner.join(_pages(spark, d).select("page_id", "html"), "page_id").select(
-        F.col("abs_url").alias("url"), "html"
+        "page_id", F.col("abs_url").alias("url"), "html"
     )
 
 
 def _start(spark: SparkSession, d: str, groups: int = 1) -> DataFrame:
     """All page URLs as seeds of every group."""
     seed = _pages(spark, d).select(
-        F.col("page_id").cast("int").alias("seed_pos"), F.col("url").alias("base_url")
+        F.col("page_id").alias("seed_pos"), F.col("url").alias("base_url")
     )
     ids = F.array(*[F.lit(i) for i in range(groups)])
     return seed.select(F.explode(ids).alias("group_id"), "seed_pos", "base_url")
 
 
-def _crawl(spark: SparkSession, d: str, **kw) -> DataFrame:
-    spec = Spec.from_dict(SPEC)
-    pages = _pages(spark, d).select("url", "html").unionByName(_linked_pages(spark, d))
+def _crawled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Written once, since a crawl reads its pages for links and for articles."""
+    return written(_pages(spark, d).select("page_id", "url", "html").unionByName(_linked_pages(spark, d)))
+
+
+def _crawl(spark: SparkSession, d: str, spec: Spec | None = None, pages: DataFrame | None = None, **kw) -> DataFrame:
+    spec = spec or Spec.from_dict(SPEC)
+    pages = _crawled_pages(spark, d) if pages is None else pages
     return scrape(spec, pages, as_of=AS_OF, start=_start(spark, d, 2), write_links=True, **kw)
 
 
+def crawl_repeated_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Of every page there is an older copy with other links and other text."""
+    pages = _crawled_pages(spark, d)
+    old = pages.select((-1 - F.col("page_id")).alias("page_id"), "url", F.lit("<h1>old</h1><nav><ul><li><a href=/old>x</a></ul></nav>").alias("html"))
+    return _crawl(spark, d, pages=pages.unionByName(old)).select("metadata", "id", "url", "components")
+
+
+def crawl_two_specs(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of the spec as two specs, in one pass, an article per id."""
+    both = merged([Spec.from_dict({**SPEC, "pages": [p]}) for p in SPEC["pages"]])
+    return unique_ids(written(_crawl(spark, d, both))).select("id", "url")
+
+
+def stream_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """The crawl as a stream of three batches, so that links and their pages come apart."""
+    folder = new_folder(spark, "stream")
+    pages = _crawled_pages(spark, d).withColumn("third", F.pmod(F.xxhash64("url"), F.lit(3)))
+    pages.repartition(3, "third").write.partitionBy("third").parquet(f"{folder}/pages")
+    query = run_stream(
+        Spec.from_dict(SPEC), stream_pages(spark, f"{folder}/pages/third=*", 1), SeenFiles(f"{folder}/seen"), f"{folder}/checkpoint",
+        [("log", {"path": f"{folder}/log"})], as_of=AS_OF, start=_start(spark, d, 2),
+    )
+    query.awaitTermination()
+    log = spark.read.schema("key string, value string").parquet(f"{folder}/log")
+    return log.select(F.get_json_object("value", "$.id").alias("id"), F.col("key").alias("url"))
+
+
 def crawl_articles(spark: SparkSession, d: str) -> DataFrame:
     """Listing pages, links, article pages, records: two groups, one pass."""
     return _crawl(spark, d).select("metadata", "id", "url", "components")
@@ -511,12 +572,12 @@ def crawl_articles(spark: SparkSession, d: str) -> DataFrame:
 
 def crawl_limited(spark: SparkSession, d: str) -> DataFrame:
     """The same with at most 100 links per group and a seen table."""
-    out = _crawl(spark, d, limit=100, seen=_seen_hosts(spark, d))
+    out = _crawl(spark, d, limit=100, seen=written(_seen_hosts(spark, d)))
     return out.select("metadata", "id", "url", "components")
 
 
 def crawl_unique(spark: SparkSession, d: str) -> DataFrame:
-    return unique_ids(_crawl(spark, d)).select("id", "url")
+    return unique_ids(written(_crawl(spark, d))).select("id", "url")
 
 
 # ---------------------------------------------------------------- registry
@@ -634,6 +695,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_articles": crawl_articles,
     "crawl_limited": crawl_limited,
     "crawl_unique": crawl_unique,
+    "crawl_repeated_pages": crawl_repeated_pages,
+    "crawl_two_specs": crawl_two_specs,
+    "stream_crawl": stream_crawl,
+    "keyed_two_runs": keyed_two_runs,
+    "seen_two_runs": seen_two_runs,
+    "done_after_failures": done_after_failures,
 }
 
 

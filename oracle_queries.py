@@ -127,6 +127,9 @@ seg AS (
 ) SELECT sha1(host || '-' || components) AS id, url, components FROM comp
 """
 
+#: Messages from the ids in ``d``.
+DONE = """SELECT md5(id)[1:2] AS part, '[' || string_agg('{"id":"' || id || '"}', ',' ORDER BY id) || ']' AS done FROM d GROUP BY part"""
+
 ORACLE = {
     "article_components": PARAGRAPHS,
     "page_title": value("title", "<title>", "</title>"),
@@ -198,12 +201,19 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
         "PARTITION BY host || replace(regexp_extract(cut, '^https?://[^/]*([^;]*)', 1), '/', '_')",
     ),
     "insert_if_absent": f"WITH {HEAD} SELECT id, url FROM uniq WHERE id NOT IN (SELECT id FROM ident WHERE page_id % 3 = 0)",
-    "done_message": f"WITH {HEAD}, d AS (SELECT DISTINCT id FROM ident) SELECT '[' || string_agg('{{\"id\":\"' || id || '\"}}', ',' ORDER BY id) || ']' AS done FROM d",
+    "done_message": f"WITH {HEAD}, d AS (SELECT DISTINCT id FROM ident) {DONE}",
+    "done_after_failures": f"WITH {HEAD}, d AS (SELECT DISTINCT id FROM uniq WHERE id NOT IN (SELECT id FROM ident WHERE page_id % 3 = 0)) {DONE}",
+    "keyed_two_runs": f"WITH {HEAD} SELECT id, url FROM ident QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id % 3 <> 0, page_id) = 1",
+    "seen_two_runs": "SELECT url, max(CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-23' ELSE TIMESTAMP '2024-01-22' END) AS expiration_date "
+    "FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 GROUP BY url",
     "per_domain_counts": f"WITH {HEAD} SELECT host AS domain, count(DISTINCT id) AS n_articles FROM ident GROUP BY host",
     "total_count": f"WITH {HEAD} SELECT count(DISTINCT id) AS n_articles FROM ident",
     "stream_headlines": f"WITH {HEAD} SELECT page_id, components FROM art",
     "crawl_articles": f"{ALL_LINKS} SELECT metadata, id, url, components FROM recs",
     "crawl_limited": CRAWL.replace("COND", f"{SEEN_DAY} <= 20").replace("CAP", "100")
     + " SELECT metadata, id, url, components FROM recs",
+    "crawl_repeated_pages": f"{ALL_LINKS} SELECT metadata, id, url, components FROM recs",
+    "crawl_two_specs": f"{ALL_LINKS} SELECT id, url FROM recs QUALIFY row_number() OVER (PARTITION BY id ORDER BY g, seed, pos) = 1",
+    "stream_crawl": f"{ALL_LINKS} SELECT id, url FROM recs",
     "crawl_unique": f"{ALL_LINKS} SELECT id, url FROM recs QUALIFY row_number() OVER (PARTITION BY id ORDER BY g, seed, pos) = 1",
 }

@@ -13,7 +13,7 @@ from ..functions.time import instant
 from ..functions.urls import netloc
 from ..plans.spec import Spec
 from .extract import components_json, shred_for
-from .links import per_tree
+from .links import latest_copy, packed, per_tree
 
 # a broadcast of this many URLs stays within some megabytes
 BROADCAST_LINKS = 10_000
@@ -24,7 +24,8 @@ def fetch_join(links: DataFrame, pages: DataFrame, at_most: int | None = None) -
 
     Links are gathered per URL first (at most one per group of the spec), so a
     page moves, and is later parsed, once.  URLs are then unique on both sides
-    of the join.  ``at_most`` is a bound on the number of links; only a small
+    of the join; of a page that was stored twice the copy with the greatest
+    ``page_id`` counts (without that column, one of them).  ``at_most`` is a bound on the number of links; only a small
     one makes this a broadcast.  For pages saved with ``save_bucketed`` only
     the links are shuffled.
     """
@@ -32,8 +33,7 @@ def fetch_join(links: DataFrame, pages: DataFrame, at_most: int | None = None) -
     wanted = links.groupBy("abs_url").agg(F.collect_list(place).alias("wanted_by"))
     if at_most is not None and at_most <= BROADCAST_LINKS:
         wanted = F.broadcast(wanted)
-    html = pages.select(F.col("url"), F.col("html"))
-    return wanted.join(html, wanted["abs_url"] == html["url"]).drop("url")
+    return latest_copy(wanted, "abs_url", pages)
 
 
 def article_id(url: Column, components_json: Column) -> Column:
@@ -91,25 +91,46 @@ def article_json(df: DataFrame) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def discovery_order(df: DataFrame) -> Column:
+    """The place where an article was found, as a number if it can be one, so that minima and maxima hash."""
+    if "found_at" not in df.columns:
+        return F.col("url")
+    fields = {f.name for f in df.schema["found_at"].dataType.fields}
+    if fields == {"group_id", "seed_pos", "link_pos"}:
+        return packed("found_at.seed_pos", "found_at.link_pos", "found_at.group_id")
+    return F.col(f"found_at.{fields.pop()}") if len(fields) == 1 else F.col("found_at")
+
+
+def pick(df: DataFrame, key: str, best) -> DataFrame:
+    """The row of each ``key`` whose place in discovery order is ``best`` (``F.min`` or ``F.max``).
+
+    Only keys and places are aggregated, and reduced before the shuffle; the
+    records, which are large, meet the winners in a join.  Rows of one place are
+    copies of each other and count once.
+    """
+    placed = df.withColumn("_place", discovery_order(df))
+    won = placed.groupBy(key).agg(best("_place").alias("_place"))
+    rows = placed.join(won, [key, "_place"])
+    if "found_at" not in df.columns:
+        rows = rows.dropDuplicates([key])
+    return rows.select(*df.columns)
+
+
 def unique_ids(df: DataFrame) -> DataFrame:
     """One article per id, the first one found."""
-    order = ["found_at"] if "found_at" in df.columns else ["url"]
-    rest = [c for c in df.columns if c not in ("id", *order)]
-    first = F.min(F.struct(*order, *rest)).alias("first")
-    return df.groupBy("id").agg(first).select("id", "first.*").select(*df.columns)
+    return pick(df, "id", F.min)
 
 
-def done_message(df: DataFrame, ids_per_message: int = 100_000) -> DataFrame:
-    """The completion notice: ``done`` is a JSON array of ``{"id"}``; no row without ids.
+def done_message(df: DataFrame) -> DataFrame:
+    """The completion notice ``part, done``: a message for each part that has ids, a JSON array of ``{"id"}``.
 
-    Up to ``ids_per_message`` distinct ids make exactly one message.  More are
-    spread over several, by hash, so that no single row has to hold them all.
+    The part is the first two digits of the MD5 of an id, at any size: at most 256
+    messages, none of them with all ids.
     """
     ids = df.select("id").distinct()
-    total = ids.agg(F.ceil(F.count("*") / ids_per_message).cast("bigint")).scalar()
-    part = F.pmod(F.xxhash64("id"), F.greatest(total, F.lit(1).cast("bigint")))
     listed = F.to_json(F.sort_array(F.collect_list(F.struct("id"))))
-    return ids.groupBy(part.alias("part")).agg(listed.alias("done")).select("done")
+    part = F.substring(F.md5(F.col("id").cast("binary")), 1, 2)
+    return ids.groupBy(part.alias("part")).agg(listed.alias("done"))
 
 
 def domain_counts(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .extract import components, shred_for, value_shape
 from .seen import unseen
 
 
-WANTED_BY = "array<struct<group_id:int,seed_pos:int>>"
+WANTED_BY = "array<struct<group_id:int,seed_pos:bigint>>"
 
 
 def seeds(spark: SparkSession, spec: Spec, strict: bool = True) -> DataFrame:
@@ -106,6 +106,18 @@ def _links_of(dom: str, selector: Selector) -> Column:
     )
 
 
+def latest_copy(wanted: DataFrame, url: str, pages: DataFrame) -> DataFrame:
+    """Join unique URLs with their pages; of a page stored twice the copy with the greatest ``page_id`` counts.
+
+    Only pages that are wanted are compared; without ``page_id`` one of them counts.
+    """
+    copy = F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
+    html = pages.select(F.col("url").alias("_url"), "html", copy.alias("_copy"))
+    found = wanted.join(html, wanted[url] == html["_url"])
+    place = F.row_number().over(W.partitionBy(url).orderBy(F.col("_copy").desc_nulls_last()))
+    return found.withColumn("_place", place).where("_place = 1").drop("_url", "_copy", "_place")
+
+
 def page_links(listing: DataFrame, spec: Spec) -> DataFrame:
     """All links of listing pages ``(base_url, html, wanted_by)``, one row each and group.
 
@@ -138,6 +150,16 @@ def absolute_links(links: DataFrame, strict: bool = True) -> DataFrame:
     return full.filter(_valid("abs_url", strict))
 
 
+def packed(seed_pos: str, link_pos: str, group_id: str | None = None) -> Column:
+    """A place in discovery order as one number of 38 digits, of which minima and maxima hash.
+
+    9 digits for the group, 19 for the seed (any 64-bit position), 10 for the link.
+    """
+    group = F.lit("0" * 9) if group_id is None else F.lpad(F.col(group_id).cast("string"), 9, "0")
+    seed, link = (F.lpad(F.col(c).cast("string"), n, "0") for c, n in ((seed_pos, 19), (link_pos, 10)))
+    return F.concat(group, seed, link).cast("decimal(38,0)")
+
+
 def distinct_links(links: DataFrame) -> DataFrame:
     """One row per group and URL, at the first place it was found.
 
@@ -145,16 +167,13 @@ def distinct_links(links: DataFrame) -> DataFrame:
     over a struct would sort), and each task reduces its links before the
     shuffle.
     """
-    place = F.shiftleft(F.col("seed_pos").cast("bigint"), 32) + F.col("link_pos")
-    return (
-        links.groupBy("group_id", "abs_url")
-        .agg(F.min(place).alias("place"))
-        .select(
-            "group_id",
-            F.shiftright("place", 32).cast("int").alias("seed_pos"),
-            F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("link_pos"),
-            "abs_url",
-        )
+    first = links.groupBy("group_id", "abs_url").agg(F.min(packed("seed_pos", "link_pos")).alias("place"))
+    digits = F.lpad(F.col("place").cast("string"), 38, "0")
+    return first.select(
+        "group_id",
+        F.substring(digits, 10, 19).cast("bigint").alias("seed_pos"),
+        F.substring(digits, 29, 10).cast("int").alias("link_pos"),
+        "abs_url",
     )
 
 
@@ -179,7 +198,7 @@ def cap_links(links: DataFrame, limit: int | None, bucket: int = 4096) -> DataFr
     counts = (
         links.groupBy("group_id", "seed_pos")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("seed_pos") / bucket))
+        .withColumn("bucket", F.expr(f"seed_pos div {bucket}"))
     )
     buckets = (
         counts.groupBy("group_id", "bucket")
@@ -220,9 +239,12 @@ def discover(
     of the spec by a table ``(group_id, seed_pos, base_url)``.
     """
     if start is None:
-        start = seeds(pages.sparkSession, spec, strict)
+        # they come from the driver, so they are few; without the hint the planner, which
+        # does not know their size, would shuffle or broadcast the HTML
+        start = F.broadcast(seeds(pages.sparkSession, spec, strict))
     else:
-        start = group_seeds(start.filter(_valid("base_url", strict)))
-    listing = start.join(pages.select("url", "html"), start["base_url"] == F.col("url"))
+        # written, so that the planner knows the size of the seeds
+        start = written(group_seeds(start.filter(_valid("base_url", strict))))
+    listing = latest_copy(start, "base_url", pages)
     links = distinct_links(absolute_links(page_links(listing, spec), strict))
     return cap_links(unseen(links, seen, as_of), limit)

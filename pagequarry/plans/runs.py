@@ -6,14 +6,13 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.articles import articles, extract_groups, fetch_join, unique_ids
 from ..operators.links import discover
 from ..operators.seen import DEFAULT_TTL, mark_seen
 from ..sources.lineage import written
 from ..sources.seen_store import SeenStore
-from ..sources.sinks import NOTIFIERS, fan_out
+from ..sources.sinks import NOTIFIERS, Stored, fan_out, new_run_id
 from .spec import Spec
 
 
@@ -42,6 +41,14 @@ def scrape(
     return articles(found, spec, now)
 
 
+def merged(specs: list[Spec]) -> Spec:
+    """Several specs as one: their groups, one after the other.
+
+    So pages are scanned once for links and once for articles, however many specs there are.
+    """
+    return Spec(tuple(g for s in specs for g in s.groups))
+
+
 def run_all(
     specs: list[Spec],
     pages: DataFrame,
@@ -50,35 +57,41 @@ def run_all(
     as_of: datetime | None = None,
 ) -> DataFrame:
     """The articles of several specs, one per id."""
-    now = as_of or datetime.now()
-    out: DataFrame | None = None
-    for i, s in enumerate(specs):
-        part = scrape(s, pages, seen, limit, now)
-        part = part.withColumn(
-            "found_at",
-            F.struct(
-                F.lit(i).alias("spec"),
-                F.col("found_at.group_id"),
-                F.col("found_at.seed_pos"),
-                F.col("found_at.link_pos"),
-            ),
-        )
-        out = part if out is None else out.unionByName(part)
-    return unique_ids(out)
+    return unique_ids(written(scrape(merged(specs), pages, seen, limit, as_of, write_links=True)))
 
 
 @dataclass
 class Result:
-    """What a run left behind: its articles, the seen table after it, an error or None per sink."""
+    """What a run left behind: its articles, the seen table after it, an error or None per sink, the ids stored."""
 
     articles: DataFrame
     seen: DataFrame
     outcome: dict[str, Exception | None]
+    stored: DataFrame
+    run_id: str
+
+
+def deliver(
+    found: DataFrame,
+    run_id: str,
+    sinks: list[tuple[str, dict]],
+    notify: tuple[str, dict],
+    seen_store: SeenStore | None,
+    ttl: timedelta,
+    now: datetime,
+) -> Stored:
+    """Written articles to every sink, the notice of what was stored, the seen entries."""
+    stored = fan_out(found, sinks, run_id, stored=True)
+    name, options = notify
+    NOTIFIERS[name](stored.ids, run_id=run_id, **options)
+    if seen_store is not None:
+        seen_store.add(mark_seen(None, found.select("url"), ttl, now), run_id, now)
+    return stored
 
 
 def run(
     spark: SparkSession,
-    spec: Spec,
+    spec: Spec | list[Spec],
     pages: DataFrame,
     seen: DataFrame | None = None,
     limit: int | None = None,
@@ -87,23 +100,27 @@ def run(
     sinks: list[tuple[str, dict]] | None = None,
     notify: tuple[str, dict] = ("noop", {}),
     seen_store: SeenStore | None = None,
-    run_id: str = "0",
+    run_id: str | None = None,
     strict: bool = True,
 ) -> Result:
-    """Run a spec, write to every sink, send the completion notice.
+    """Run a spec, or several in one pass, write to every sink, send one completion notice.
+
+    Without ``run_id`` the run gets a new one and adds to what is there; a run
+    that is repeated under its id replaces what it had written.  Of several specs
+    an article is kept once per id.  The notice lists what at least one sink stored.
 
     What counts as seen comes from ``seen``, or from ``seen_store``, which then
     also gets the new entries.  They cover every article, also one that a sink
     failed to store.
     """
     now = as_of or datetime.now()
+    run_id = run_id or new_run_id()
     if seen_store is not None:
         seen = seen_store.read(spark, run_id)
     # written once: sinks, notice and seen table all read it
-    found = written(scrape(spec, pages, seen, limit, now, strict, write_links=True))
-    outcome = fan_out(found, sinks or [("noop", {})], run_id, stored=True)
-    name, options = notify
-    NOTIFIERS[name](found, run_id=run_id, **options)
-    if seen_store is not None:
-        seen_store.add(mark_seen(None, found.select("url"), ttl, now), run_id, now)
-    return Result(found, mark_seen(seen, found.select("url"), ttl, now), outcome)
+    one = spec if isinstance(spec, Spec) else merged(spec)
+    found = written(scrape(one, pages, seen, limit, now, strict, write_links=True))
+    if one is not spec:
+        found = written(unique_ids(found))
+    stored = deliver(found, run_id, sinks or [("noop", {})], notify, seen_store, ttl, now)
+    return Result(found, mark_seen(seen, found.select("url"), ttl, now), stored.outcome, stored.ids, run_id)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +36,26 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     system, path = _file_system(spark, folder)
     system.mkdirs(path)
     system.deleteOnExit(path)
+    for made in _MADE:
+        made.append(f"{folder}/rows")
     return f"{folder}/rows"
 
 
+#: For each ``cleaning`` that is going on, the tables made since it began.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside when the block ends; nothing lazy may leave it."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for table in _MADE.pop():
+            remove_folder(spark, table)
+
+
 def remove_folder(spark: SparkSession, table: str) -> None:
     """Remove what ``new_folder`` named, when nothing reads it any more."""
     system, path = _file_system(spark, table.removesuffix("/rows"))
@@ -49,9 +68,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None, replace: bool = False) -> DataFrame:
     """The same as a table, whose size the planner then knows."""
     spark = df.sparkSession
     path = folder or new_folder(spark, "stage")
-    df.write.parquet(path)
+    df.write.mode("overwrite" if replace else "errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

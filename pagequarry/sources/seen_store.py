@@ -45,7 +45,7 @@ class SeenFiles:
         self.path, self.format = path, file_format
 
     def read(self, spark: SparkSession, run_id: str | None = None) -> DataFrame | None:
-        """The latest entry per URL of all runs but ``run_id``."""
+        """The latest entry per URL of all runs but ``run_id``; with a ``*`` at its end, but those that begin so."""
         schema = f"{SEEN}, stored timestamp_ntz, run string"
         reader = spark.read.schema(schema).format(self.format)
         if self.format == "json":
@@ -57,7 +57,8 @@ class SeenFiles:
                 raise
             return None
         if run_id is not None:
-            rows = rows.filter(F.col("run") != run_id)
+            own = F.col("run").startswith(run_id[:-1]) if run_id.endswith("*") else F.col("run") == run_id
+            rows = rows.filter(~own)
         latest = F.max_by("expiration_date", "stored").alias("expiration_date")
         return rows.groupBy("url").agg(latest)
 

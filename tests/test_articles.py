@@ -1,11 +1,13 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators.articles import domain_counts, done_message, fetch_join, unique_ids
-from pagequarry.plans.runs import run, run_all, scrape
+from pagequarry.operators.links import seeds
+from pagequarry.plans.runs import merged, run, run_all, scrape
 from pagequarry.plans.spec import Spec
 from pagequarry.sources import sinks
 from pagequarry.sources.pages import save_bucketed
@@ -107,12 +109,12 @@ def test_second_run_admits_nothing(spark, pages, tmp_path):
     assert files["h.com_a.json"]["components"] == {"p": ["1", "2"]}
     assert list(files["h.com_b.json"]) == ["metadata", "id", "url", "scrape_time", "components"]
     done = spark.read.json(f"{tmp_path}/done").collect()
-    assert len(done) == 1 and len(json.loads(done[0].done)) == 3
+    assert sum(len(json.loads(r.done)) for r in done) == 3
 
     again = run(spark, spec, pages, seen, as_of=NOW + timedelta(days=1), sinks=targets, notify=("file", {"path": f"{tmp_path}/done"}), run_id="2")
     assert again.articles.count() == 0
     assert spark.read.parquet(f"{tmp_path}/log").count() == 4
-    assert spark.read.json(f"{tmp_path}/done").count() == 1
+    assert spark.read.json(f"{tmp_path}/done").count() == len(done)
     later = scrape(spec, pages, seen, as_of=NOW + timedelta(weeks=1))
     assert later.count() == 4
 
@@ -152,11 +154,11 @@ def test_log_skips_null_articles(spark):
 
 def test_done_message(spark):
     df = articles(spark, [("b", "u"), ("a", "u"), ("b", "v")])
-    assert [r.done for r in done_message(df).collect()] == ['[{"id":"a"},{"id":"b"}]']
+    assert sorted(r.done for r in done_message(df).collect()) == ['[{"id":"a"}]', '[{"id":"b"}]']
     assert done_message(df.filter("id = 'x'")).count() == 0
-    many = articles(spark, [(str(i), "u") for i in range(50)])
-    parts = [json.loads(r.done) for r in done_message(many, ids_per_message=10).collect()]
-    assert len(parts) > 1 and sorted(x["id"] for p in parts for x in p) == sorted(str(i) for i in range(50))
+    many = articles(spark, [(str(i), "u") for i in range(900)])
+    parts = [json.loads(r.done) for r in done_message(many).collect()]
+    assert 1 < len(parts) <= 256 and sorted(x["id"] for p in parts for x in p) == sorted(str(i) for i in range(900))
 
 
 def test_counts_and_unique_ids(spark):
@@ -185,7 +187,96 @@ def test_stream_equals_batch(spark, pages, tmp_path):
     pages.coalesce(1).write.mode("append").parquet(src)
     go()
     assert spark.read.parquet(out).count() == len(batch)
-    assert spark.read.json(f"{tmp_path}/done").count() == 1
+    assert len(os.listdir(f"{tmp_path}/done")) == 1
+
+
+@pytest.mark.parametrize("order", ["abcl", "labc", "alcb"])
+def test_any_split_of_a_stream_equals_batch(spark, pages, tmp_path, order):
+    spec, src, out = Spec.from_dict(SPEC), f"{tmp_path}/in", f"{tmp_path}/log"
+
+    def go():
+        q = run_stream(
+            spec, stream_pages(spark, src, 1), SeenFiles(f"{tmp_path}/seen"), f"{tmp_path}/cp", [("log", {"path": out})], as_of=NOW
+        )
+        q.awaitTermination()
+
+    for letter in order:
+        pages.filter(F.col("url").endswith(letter if letter != "l" else "list")).coalesce(1).write.mode("append").parquet(src)
+        go()
+    pages.filter(~F.col("url").rlike("(a|b|c|list)$")).coalesce(1).write.mode("append").parquet(src)
+    go()
+    batch = sinks.log_entries(scrape(spec, pages, as_of=NOW)).collect()
+    streamed = spark.read.parquet(out).select("key", "value").collect()
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
+
+
+def test_runs_without_an_id_add_up(spark, pages, tmp_path):
+    spec, store = Spec.from_dict(SPEC), SEEN_STORES["table"](f"{tmp_path}/seen")
+    targets = [("log", {"path": f"{tmp_path}/log"}), ("file", {"path": f"{tmp_path}/files"})]
+    first = run(spark, spec, pages, as_of=NOW, sinks=targets, seen_store=store)
+    again = run(spark, spec, pages, as_of=NOW + timedelta(hours=1), sinks=targets, seen_store=store)
+    assert first.run_id < again.run_id and again.articles.count() == 0
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 4
+    assert store.read(spark).count() == 3
+    assert sinks.read_files(spark, f"{tmp_path}/files").count() == 3
+
+
+def test_repeated_keyed_run_with_digits_as_id(spark, tmp_path):
+    df = articles(spark, [("1", "http://h.com/a"), ("2", "http://h.com/b")])
+    for _ in range(3):
+        assert {r.id for r in sinks.insert_if_absent(df, f"{tmp_path}/k", run_id="007").collect()} == {"1", "2"}
+    assert {r.id for r in sinks.insert_if_absent(df, f"{tmp_path}/k", run_id="8").collect()} == set()
+    assert spark.read.parquet(f"{tmp_path}/k").count() == 2
+
+
+def test_notice_lists_only_what_was_stored(spark, pages, tmp_path):
+    sinks.register_sink("broken")(_broken)
+    done = ("file", {"path": f"{tmp_path}/done"})
+    r = run(spark, Spec.from_dict(SPEC), pages, as_of=NOW, sinks=[("broken", {})], notify=done)
+    assert r.stored.count() == 0 and not os.path.exists(f"{tmp_path}/done")
+    keyed = ("keyed", {"path": f"{tmp_path}/keyed"})
+    run(spark, Spec.from_dict(SPEC), pages, as_of=NOW, sinks=[keyed], notify=done)
+    second = run(spark, Spec.from_dict(SPEC), pages, as_of=NOW, sinks=[keyed, ("broken", {})], notify=done)
+    assert second.stored.count() == 0 and len(os.listdir(f"{tmp_path}/done")) == 1
+
+
+def _broken(df, run_id=None):
+    raise RuntimeError("down")
+
+
+def test_several_specs_in_one_pass(spark, pages, tmp_path):
+    spec = Spec.from_dict(SPEC)
+    r = run(spark, [spec, spec], pages, as_of=NOW, sinks=[("log", {"path": f"{tmp_path}/log"})])
+    assert r.articles.count() == r.stored.count() == 3
+    plans = [scrape(s, pages, as_of=NOW)._jdf.queryExecution().executedPlan().toString() for s in (spec, merged([spec] * 3))]
+    assert plans[0].count("Scan ExistingRDD") == plans[1].count("Scan ExistingRDD")
+
+
+def test_latest_copy_of_a_page_counts(spark, pages):
+    spec = Spec.from_dict(SPEC)
+    now = pages.withColumn("page_id", F.lit(2).cast("long"))
+    old = now.select("url", F.lit("<a href='/zzz'>x</a><h1>old</h1><p>old").alias("html"), F.lit(1).cast("long").alias("page_id"))
+    want = scrape(spec, pages, as_of=NOW).select("id", "url").collect()
+    got = scrape(spec, old.unionByName(now), as_of=NOW).select("id", "url").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_seeds_of_a_spec_do_not_shuffle_the_html(spark, pages, tmp_path):
+    pages.write.parquet(f"{tmp_path}/pages")
+    stored = spark.read.parquet(f"{tmp_path}/pages")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        start = F.broadcast(seeds(spark, Spec.from_dict(SPEC)))
+        plan = start.join(stored, start["base_url"] == stored["url"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_winners_are_found_without_sorting_records(spark, pages):
+    found = scrape(Spec.from_dict(SPEC), pages, as_of=NOW)
+    for df in (unique_ids(found), sinks.last_per_file(found), sinks.absent(found, None)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_extraction_on_a_stream(spark, pages, tmp_path):
