@@ -346,9 +346,9 @@ def _date_text():
     clock = F.format_string("%d:%02d", F.col("o_orderkey") % 12 + 1, F.col("o_orderkey") % 60)
     return (
         F.when(k == 0, F.concat(fmt("MMMM d, yyyy"), F.lit(", "), clock, F.lit(" PM")))
-        .when(k == 1, F.concat(fmt("yyyy-MM-dd'T'"), F.lit("16:17:10.000Z")))
-        .when(k == 2, F.concat(fmt("yyyy-MM-dd'T'"), F.lit("12:47:48+05:30")))
-        .when(k == 3, F.concat(F.lit("Updated "), clock, F.lit(" AM EST, "), fmt("EEE MMMM d, yyyy")))
+        .when(k == 1, F.concat(fmt("yyyy-MM-dd'T'"), F.lit("05:38:21.000Z")))
+        .when(k == 2, F.concat(fmt("yyyy-MM-dd'T'"), F.lit("22:14:09+05:30")))
+        .when(k == 3, F.concat(F.lit("Changed "), clock, F.lit(" AM EST, "), fmt("EEE MMMM d, yyyy")))
         .when(k == 4, F.concat(clock, F.lit(" PM GMT+2, "), fmt("MMM d, yyyy")))
         .when(k == 5, F.concat(F.lit("posted on "), fmt("d MMM yyyy")))
         .otherwise(fmt("MM/dd/yyyy"))

@@ -182,7 +182,7 @@ ORACLE = {
     "text_dates": f"""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
   WHEN 0 THEN format('{{:02d}}:{{:02d}}:00', CASE WHEN {CLOCK} = 12 THEN 12 ELSE {CLOCK} + 12 END, o_orderkey % 60)
-  WHEN 1 THEN '16:17:10+00:00' WHEN 2 THEN '12:47:48+05:30'
+  WHEN 1 THEN '05:38:21+00:00' WHEN 2 THEN '22:14:09+05:30'
   WHEN 3 THEN format('{{:02d}}:{{:02d}}:00-05:00', {CLOCK} % 12, o_orderkey % 60)
   WHEN 4 THEN format('{{:02d}}:{{:02d}}:00-02:00', CASE WHEN {CLOCK} = 12 THEN 12 ELSE {CLOCK} + 12 END, o_orderkey % 60)
   ELSE '00:00:00' END AS iso FROM orders""",

@@ -3,11 +3,13 @@
 The parts (date, time, offset) are cut out of the text by pattern, so words
 around them do not matter.  A missing year, month or day is taken from
 ``as_of``; a missing time is midnight.  The offset is written only if the text
-has one.
+has one.  A text with two complete dates has none.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +49,22 @@ _WEEKDAY = r"(mon(?:day)?|tue(?:s|sday)?|wed(?:nesday)?|thu(?:rs|r|rsday)?|fri(?
 _TIME = r"(?i)(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(?:(a|p)\.?\s?m\b\.?)?"
 _HOUR_ONLY = r"(?i)(?<![\d:.])(\d{1,2})\s*(a|p)\.?\s?m\b"
 _ISO = r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
-_COMPACT = r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?!\d)"
+_COMPACT = r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?=\D|$|\d{4}(?:\d{2})?(?!\d))"
+_COMPACT_TIME = r"(?<!\d)(?:19|20)\d{6}T?(\d{2})(\d{2})(\d{2})?(?!\d)"
+_LETTER_TIME = r"(?i)(?<!\d)(\d{1,2})\s*h\s*(\d{1,2})\s*m(?:\s*(\d{1,2})\s*s)?\b"
+_YEAR_FIRST = rf"(?i)(?<!\d)(\d{{4}})[\s\-/.]+{_MONTH}\b\.?[\s\-/.]+(\d{{1,2}})(?![\d:])"
+_YEAR_MONTH = r"(?<![\d:.+\-/])((?:19|20)\d{2})-(0?[1-9]|1[0-2])(?![\d\-:.])"
+#: A year on its own: not a part of a time, an offset or another date.
+_YEAR = r"(?<![\d:.+\-/])((?:19|20)\d{2})(?![\d:/\-])"
 _MONTH_FIRST = rf"(?i)\b{_MONTH}\b\.?\s*(0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?\b(?!:)(?:\s*,?\s*'?(\d{{4}})(?![\d:]))?"
 _DAY_FIRST = rf"(?i)(?<![\d:])(\d{{1,2}})(?:st|nd|rd|th)?(?:\s+of)?[\s\-]*{_MONTH}\b\.?(?:[\s,\-]*'?(\d{{4}}|\d{{2}}(?!:))(?![\d:]))?"
 _MONTH_YEAR = rf"(?i)\b{_MONTH}\b\.?\s*,?\s*(\d{{4}})(?![\d:])"
 _NUMERIC = r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})(?!\d)"
+#: Complete dates, to see that a text has only one.
+_COMPLETE = "(?i)" + "|".join(
+    re.sub(r"\((?!\?)", "(?:", p).replace("(?i)", "")
+    for p in (_ISO, _YEAR_FIRST, _DAY_FIRST, _MONTH_FIRST, _NUMERIC)
+)
 _SIGNED = r"\d:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?i:[ap]m)?\s*([+-])(\d{2}):?(\d{2})?"
 _ZONE_HOURS = r"\b(?:GMT|UTC)\s*([+-])(\d{1,2})(?::?(\d{2}))?(?!\d)"
 _ZULU = r"\d\s*Z\b"
@@ -94,17 +107,26 @@ def _date(x: Column, as_of: Column) -> Column:
 
     return (
         F.when(x.rlike(_ISO), _ymd(_int(x, _ISO, 1), _int(x, _ISO, 2), _int(x, _ISO, 3)))
+        .when(
+            x.rlike(_YEAR_FIRST),
+            _ymd(_int(x, _YEAR_FIRST, 1), _month(x, _YEAR_FIRST, 2), _int(x, _YEAR_FIRST, 3)),
+        )
         .when(
             x.rlike(_DAY_FIRST),
             _ymd(
-                _full_year(_int(x, _DAY_FIRST, 3), as_of),
+                F.coalesce(_full_year(_int(x, _DAY_FIRST, 3), as_of), _int(x, _YEAR, 1)),
                 _month(x, _DAY_FIRST, 2),
                 _int(x, _DAY_FIRST, 1),
             ),
         )
         .when(
             x.rlike(_MONTH_FIRST),
-            _ymd(_int(x, _MONTH_FIRST, 3), _month(x, _MONTH_FIRST, 1), _int(x, _MONTH_FIRST, 2)),
+            _ymd(
+                # a year may stand behind the time
+                F.coalesce(_int(x, _MONTH_FIRST, 3), _int(x, _YEAR, 1)),
+                _month(x, _MONTH_FIRST, 1),
+                _int(x, _MONTH_FIRST, 2),
+            ),
         )
         .when(
             x.rlike(_MONTH_YEAR), _ymd(_int(x, _MONTH_YEAR, 2), _month(x, _MONTH_YEAR, 1), none)
@@ -114,6 +136,8 @@ def _date(x: Column, as_of: Column) -> Column:
             x.rlike(_COMPACT),
             _ymd(_int(x, _COMPACT, 1), _int(x, _COMPACT, 2), _int(x, _COMPACT, 3)),
         )
+        .when(x.rlike(_YEAR_MONTH), _ymd(_int(x, _YEAR_MONTH, 1), _int(x, _YEAR_MONTH, 2), none))
+        .when(x.rlike(_YEAR), _ymd(_int(x, _YEAR, 1), none, none))
     )
 
 
@@ -129,6 +153,10 @@ def _time(x: Column) -> Column:
 
     fraction = F.rpad(F.substring(F.regexp_extract(x, _TIME, 4), 1, 6), 6, "0").cast("int")
     zero = F.lit(0)
+
+    def three(pattern: str) -> Column:
+        return parts(_int(x, pattern, 1), _int(x, pattern, 2), F.coalesce(_int(x, pattern, 3), zero), zero)
+
     return F.when(
         x.rlike(_TIME),
         parts(
@@ -140,7 +168,7 @@ def _time(x: Column) -> Column:
     ).when(
         x.rlike(_HOUR_ONLY),
         parts(clock(_int(x, _HOUR_ONLY, 1), F.regexp_extract(x, _HOUR_ONLY, 2)), zero, zero, zero),
-    )
+    ).when(x.rlike(_COMPACT_TIME), three(_COMPACT_TIME)).when(x.rlike(_LETTER_TIME), three(_LETTER_TIME))
 
 
 def _offset_minutes(x: Column) -> Column:
@@ -204,6 +232,8 @@ def parse_date(text: Column, as_of: Column) -> Column:
             & (F.coalesce(t["mi"], F.lit(0)) < 60)
             & (F.coalesce(t["s"], F.lit(0)) < 60)
         )
+        one = F.regexp_count(x, F.lit(_COMPLETE)) < 2
+        real = real & one
         says_something = d.isNotNull() | t.isNotNull() | has_weekday
         return F.when(says_something & real, F.concat(date, clock, us, offset))
 

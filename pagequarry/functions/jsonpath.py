@@ -159,7 +159,22 @@ def shred_json(text: Column) -> Column:
         return F.struct(toks.alias("toks"), vals.alias("vals"))
 
     toks = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    return F.when(F.try_parse_json(text).isNotNull(), let(toks, build))
+    return F.when(_is_json(text), let(toks, build))
+
+
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _is_json(text: Column) -> Column:
+    """Whether a text is JSON, also with repeated keys, ``NaN`` or ``Infinity``, at any length.
+
+    What a variant can hold is tested as such, the rest by a parser that
+    streams, after the numbers that it does not know are replaced.
+    """
+    known = F.regexp_replace(text, rf"(?s)\G((?:{_STRING}|[^\"NI\-]|-(?!Infinity))*+)(?:NaN|-?Infinity)", "$10")
+    return F.coalesce(
+        F.when(F.try_parse_json(text).isNotNull(), F.lit(True)), F.get_json_object(known, "$").isNotNull()
+    )
 
 
 def _unquote(tok: Column) -> Column:
@@ -186,6 +201,11 @@ def _number(tok: Column) -> Column:
     )
 
 
+def _special(tok: Column) -> Column:
+    """Python's names of the numbers that JSON does not have."""
+    return F.when(tok == "NaN", F.lit("nan")).otherwise(F.replace(F.lower(tok), F.lit("infinity"), F.lit("inf")))
+
+
 def _as_text(doc: Column, v: Column) -> Column:
     """A matched value as a string; objects and arrays as compact JSON text."""
     tok = F.get(doc["toks"], v["t0"])
@@ -202,6 +222,7 @@ def _as_text(doc: Column, v: Column) -> Column:
         .when(tok == "true", F.lit("True"))
         .when(tok == "false", F.lit("False"))
         .when(tok == "null", F.lit("None"))
+        .when(tok.isin("NaN", "Infinity", "-Infinity"), _special(tok))
         .otherwise(_number(tok))
     )
 
@@ -329,6 +350,7 @@ def json_matches(text: Column, path: str) -> Column:
 
     def look(doc: Column) -> Column:
         return F.struct(
+            doc.isNull().alias("other"),
             F.schema_of_variant(F.try_variant_get(doc, direct, "variant")).alias("kind"),
             F.try_variant_get(doc, direct, "string").alias("text"),
         )
@@ -336,7 +358,8 @@ def json_matches(text: Column, path: str) -> Column:
     def result(found: Column) -> Column:
         kind = found["kind"]
         return (
-            F.when(kind.isNull(), F.lit(None).cast("array<string>"))
+            F.when(found["other"], _search(text, steps))
+            .when(kind.isNull(), F.lit(None).cast("array<string>"))
             .when(kind.isin("STRING", "BIGINT"), F.array(found["text"]))
             .when(kind == "BOOLEAN", F.array(F.initcap(found["text"])))
             .when(kind == "VOID", F.array(F.lit("None")))

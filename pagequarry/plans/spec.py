@@ -304,8 +304,36 @@ def check_spec(raw) -> tuple[Spec, Problems]:
     return Spec(groups, common), problems
 
 
+def _character(pattern: str, i: int) -> tuple[int, int] | None:
+    """Code and end of an escaped character at ``i`` that Java writes another way."""
+    if m := re.compile(r"\\(?:U([0-9A-Fa-f]{8})|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))").match(pattern, i):
+        return int(m[1] or m[2] or m[3], 16), m.end()
+    if m := re.compile(r"\\(0[0-7]{0,2}|[1-7][0-7]{2})").match(pattern, i):
+        return int(m[1], 8), m.end()
+    return (11, i + 2) if pattern.startswith("\\v", i) else None
+
+
+def _compiles_in_java(pattern: str) -> bool:
+    """Ask the JVM, if there is one."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    context = SparkContext._active_spark_context
+    if context is None:
+        return True
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def java_regex(pattern: str) -> str | None:
-    """A Python pattern in Java's dialect; None if it is not a valid pattern."""
+    """A Python pattern in Java's dialect; None if it is not a valid pattern.
+
+    What Java cannot say, such as a choice that depends on a group, is a ``SpecError``.
+    """
     try:
         re.compile(pattern)
     except re.error:
@@ -314,10 +342,23 @@ def java_regex(pattern: str) -> str | None:
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
+            if found := _character(pattern, i):
+                code, i = found
+                out.append(f"\\x{{{code:X}}}")
+                continue
             nxt = pattern[i + 1]
             out.append("\\z" if nxt == "Z" and not in_class else c + nxt)
             i += 2
             continue
+        if c in "{}" and not in_class:
+            count = re.compile(r"\{(\d*)(,?)(\d*)\}").match(pattern, i)
+            if count and (count[1] or count[2]):
+                out.append("{" + (count[1] or "0") + count[2] + count[3] + "}")
+                i = count.end()
+            else:
+                out.append("\\" + c)
+                i += 1
+            continue
         if in_class:
             if c == "]":
                 in_class = False
@@ -340,7 +381,10 @@ def java_regex(pattern: str) -> str | None:
             continue
         out.append(c)
         i += 1
-    return "(?dU)" + "".join(out)
+    java = "(?dU)" + "".join(out)
+    if not _compiles_in_java(java):
+        raise SpecError("modifiers.regex", "modifiers", f"no like in Java for the pattern {pattern!r}")
+    return java
 
 
 def may_match_empty(pattern: str) -> bool:
