@@ -8,10 +8,11 @@ confirmed on the full shingle sets.
 
 No bucket is expanded into pairs.  Texts with the same set are one class and only
 its smallest document goes on.  In each bucket one member, the hub, is compared
-with those that are not yet in its component; members in one component need no
-comparison, and a hub is done with its bucket.  The rounds, with more hubs each,
-go on until no bucket has two components with members left, so each proposed pair
-is compared or already connected, whatever the size of the bucket.
+with the others; for most buckets this leaves one component.  The members of the
+rest are compared among each other in blocks of bounded size, a task at a time, by
+exact counts of common shingles; what comes out are links between components, no
+more than connect them.  So each proposed pair is compared or already connected,
+whatever the size of the bucket.
 
 Defined cases: a text with fewer than five words is one shingle; a text without
 words, or a null, has none and is linked with nothing; rows without ``doc_id`` are
@@ -37,6 +38,8 @@ from pagequarry.sources.lineage import written
 BANDS, ROWS = 32, 4
 LEAST_PERCENT = 75
 BLOCK = 1 << 15
+#: Of a block of sets that are compared with each other, or with another block.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 1024
 
 
 def distinct_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -139,34 +142,106 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"100L * i >= {LEAST_PERCENT}L * (na + nb - i)").select("a", "b")
 
 
+def _block_links(rows: pa.Table) -> list[tuple[int, int]]:
+    """Links between components among some sets, enough to connect them; across two blocks, or within one.
+
+    Intersections of all sets are counted exactly, as products of the matrix of sets and shingles.
+    """
+    block, rep, comp = (rows.column(n).to_numpy() for n in ("block", "rep", "comp"))
+    sets = rows.column("shingles").combine_chunks()
+    size = sets.value_lengths().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, column, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    again = times[column] > 1
+    owner, column = owner[again], (np.cumsum(times > 1) - 1)[column[again]]
+    common = np.zeros((len(size), len(size)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        part = np.zeros((len(size), 2048), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    near = 100 * common >= LEAST_PERCENT * (size[:, None] + size[None, :] - common)
+    near &= comp[:, None] < comp[None, :]
+    if rows.column("one")[0].as_py() != rows.column("two")[0].as_py():
+        near &= block[:, None] != block[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in np.argwhere(near):
+        a, b = root(int(comp[x])), root(int(comp[y]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(rep[x]), int(rep[y])))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket and pair of blocks; a group has two blocks at most."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def out() -> pa.RecordBatch:
+        links = _block_links(pa.Table.from_batches(held))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            key = tuple(keys[lo])
+            if key != last and held:
+                yield out()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield out()
+
+
 def _links(members: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, comp`` from the buckets ``bucket, rep, n, mix``, beginning with some sure ``edges``."""
-    labels = written(connected(edges))
-    hubs, round_ = 1, 0
-    while True:
+
+    def labelled(labels: DataFrame) -> DataFrame:
         named = labels.select(F.col("node").alias("rep"), "comp")
-        live = members.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        state = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("mix").alias("hub"))
-        open_ = state.where("lo <> hi").select("bucket", "hub")
-        if hubs == 1:
-            live = live.join(open_, "bucket").withColumn("is_hub", F.col("mix") == F.col("hub")).drop("hub")
-        else:
-            place = F.row_number().over(Window.partitionBy("bucket").orderBy("mix"))
-            live = live.join(open_.drop("hub"), "bucket").withColumn("is_hub", place <= hubs)
-        live = written(live)
-        if live.isEmpty():
-            return labels
-        hub = live.where("is_hub").select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "comp")])
-        near = live.join(hub, "bucket").where("comp <> hub_comp")
-        near = near.where(f"100L * least(n, hub_n) >= {LEAST_PERCENT}L * greatest(n, hub_n)")
-        pairs = near.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
-        found = written(linked(pairs, sets))
-        if not found.isEmpty():
-            known = labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-            labels = written(connected(known.unionByName(found)))
-        members = live.where("not is_hub").select("bucket", "rep", "n", "mix")
-        round_ += 1
-        hubs = 1 if round_ < 3 else 2 * hubs
+        return members.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    labels = written(connected(edges))
+    live = labelled(labels)
+    hubs = members.groupBy("bucket").agg(F.min("mix").alias("mix"))
+    hub = live.join(hubs, ["bucket", "mix"]).select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "comp")])
+    near = live.join(hub, "bucket").where("comp <> hub_comp")
+    near = near.where(f"100L * least(n, hub_n) >= {LEAST_PERCENT}L * greatest(n, hub_n)")
+    pairs = near.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+    known = labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    labels = written(connected(known.unionByName(linked(pairs, sets))))
+
+    # what a hub has not connected: members but the hub, of buckets with two components or more
+    rest = written(labelled(labels).join(hubs, ["bucket", "mix"], "left_anti"))
+    open_ = rest.groupBy("bucket").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("shingles"), F.count("*").alias("sets")
+    )
+    many = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
+    open_ = open_.where("lo <> hi").select("bucket", many.alias("blocks"))
+    rest = rest.join(open_, "bucket").withColumn("block", F.pmod("mix", F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = rest.select("bucket", "rep", "comp", "block", others.alias("other"))
+    rest = rest.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "comp")
+    groups = rest.join(sets, "rep").select("bucket", "one", "two", "block", "rep", "comp", "shingles")
+    key = ["bucket", "one", "two"]
+    groups = groups.repartition(*key).sortWithinPartitions(*key)
+    found = written(groups.mapInArrow(_blocks, "a long, b long"))
+    known = labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return written(connected(known.unionByName(found)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from cases import lower, shingles, words
 from pyspark.sql import functions as F
 
-from pagequarry.llm import hmm
+from pagequarry.llm import hmm, neardup
 from pagequarry.llm.decontam import contaminated, decontaminated
 from pagequarry.llm.licenses import TEMPLATES, scan_licenses
 from pagequarry.llm.mixing import mix, mixed_documents, n_words
@@ -119,7 +119,9 @@ def test_near_duplicates_against_brute_force(docs, rows):
     assert got == sorted(brute_components(rows), key=str)
 
 
-def test_chain_of_near_copies_in_one_bucket(spark):
+@pytest.mark.parametrize("sets_in_block", [1024, 7])
+def test_chain_of_near_copies_in_one_bucket(spark, monkeypatch, sets_in_block):
+    monkeypatch.setattr(neardup, "BLOCK_SETS", sets_in_block)
     # each is linked with its neighbours only, so the hub of a bucket reaches few of them
     w = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(w[i * 12 : i * 12 + 120])) for i in range(20)]
@@ -185,6 +187,8 @@ def test_repeats_on_awkward_rows(docs, no_docs, rows):
         by[r.doc_id].append(r)
     assert by[2][0].n_removed == by[2][0].n_bytes > 0
     assert len({tuple(r) for r in by[12]}) == 1
+    again = docs.where("doc_id = 9").unionAll(docs.where("doc_id = 9")).unionAll(docs.where("doc_id = 9"))
+    assert [(r.n_removed, r.n_bytes > 10**5) for r in without_repeats(again).collect()] == [(0, True)] * 3
     assert without_repeats(no_docs).collect() == []
 
 
