@@ -33,7 +33,7 @@ from pagequarry.operators.articles import (
     unique_ids,
 )
 from pagequarry.operators.extract import components, extract, nodes, shred_for
-from pagequarry.operators.links import absolute_links, cap_links, distinct_links, page_links
+from pagequarry.operators.links import absolute_links, cap_links, discover, distinct_links, page_links
 from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
 from pagequarry.plans.runs import merged, scrape
@@ -110,6 +110,17 @@ def _one(column: str, selector: dict):
     return query
 
 
+def _changed(column: str, html, selector: dict):
+    """The value of a selector on pages whose markup is changed first."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        pages = _pages(spark, d).select("page_id", html().alias("html"))
+        out = extract(pages, parse_selector({"key": "k", **selector}), as_json=True)
+        return out.select("page_id", F.get_json_object("components", "$.k").alias(column)).filter(F.col(column).isNotNull())
+
+    return query
+
+
 def _joined(column: str, selector: dict):
     """The same for a list value, joined to one string."""
 
@@ -161,8 +172,7 @@ def element_shape(spark: SparkSession, d: str) -> DataFrame:
             F.sum((F.col("last") - F.col("n")).cast("bigint")).alias("n_pairs"),
             F.sum("depth").alias("depth_sum"),
         )
-        .filter(F.col("n_pairs") == F.col("depth_sum"))
-        .select("page_id", "n_elements")
+        .select("page_id", "n_elements", (F.col("n_pairs") == F.col("depth_sum")).alias("consistent"))
     )
 
 
@@ -376,6 +386,39 @@ def json_recursive(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def json_repeated_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Of a repeated key the last value counts; numbers that JSON does not have stand beside it."""
+    events = _table(spark, d, "events")
+    text = F.concat(F.lit('{"a":1,"x":NaN,"a":"'), "event_type", F.lit('","y":-Infinity}'))
+    return events.select("event_id", F.get(json_matches(text, "$.a"), 0).alias("a"))
+
+
+def json_bad_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every third text is cut."""
+    cut = F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return _table(spark, d, "events").select("event_id", F.get(json_matches(cut, "$.k"), 0).alias("k"))
+
+
+def regex_braces(spark: SparkSession, d: str) -> DataFrame:
+    """JSON cut out of a script with the usual pattern, whose braces are no quantifier."""
+    script = F.concat(F.lit("var p = "), "props", F.lit("; go()"))
+    return _table(spark, d, "events").select("event_id", regex_modifier(script, ["{.*}"], "first").alias("json"))
+
+
+def ttl_small(spark: SparkSession, d: str) -> DataFrame:
+    """A millisecond, and every key taken as a large one."""
+    return ttl_admit(_visits(spark, d), "url", "ts", timedelta(milliseconds=1), fold_limit=1)
+
+
+def seed_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the seeds of a spec: the first URL of each top-level domain."""
+    pages = _pages(spark, d)
+    domain = F.regexp_extract("url", r"^https?://[^/?#]*\.([a-z]+)", 1)
+    first = [r.url for r in pages.groupBy(domain).agg(F.min("url").alias("url")).collect()]
+    spec = Spec.from_dict({**SPEC, "pages": [{**SPEC["pages"][0], "urls": first}]})
+    return discover(pages, spec, as_of=AS_OF).select("abs_url")
+
+
 def strip_unicode(spark: SparkSession, d: str) -> DataFrame:
     padded = F.concat(F.lit(" 　\t"), F.col("text"), F.lit("\n  "))
     return _table(spark, d, "documents").select(
@@ -698,6 +741,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crawl_repeated_pages": crawl_repeated_pages,
     "crawl_two_specs": crawl_two_specs,
     "stream_crawl": stream_crawl,
+    "json_repeated_keys": json_repeated_keys,
+    "json_bad_text": json_bad_text,
+    "regex_braces": regex_braces,
+    "ttl_small": ttl_small,
+    "seed_listing": seed_listing,
+    "nav_first_child": _json("nav", {"key": "nav", "selector": "nav", "child": {"key": "a", "selector": "a"}}),
+    "any_element": _joined("charset", {"extract": {"type": "attribute", "key": "charset"}}),
+    "by_id": _changed(
+        "h1", lambda: F.replace("html", F.lit("<article>"), F.lit('<article id="main">')), {"selector": "#main h1"}
+    ),
+    "no_root": _changed(
+        "h1",
+        lambda: F.when(F.col("page_id") % 2 == 1, F.regexp_replace("html", "</?html[^>]*>", "")).otherwise(F.col("html")),
+        {"selector": "h1"},
+    ),
     "keyed_two_runs": keyed_two_runs,
     "seen_two_runs": seen_two_runs,
     "done_after_failures": done_after_failures,

@@ -138,7 +138,7 @@ ORACLE = {
     "FROM pages WHERE regexp_matches(html, '<meta charset=\"')",
     "page_links": f"WITH {NAV} SELECT page_id, pos, href FROM link",
     "element_counts": f"SELECT tag, count(*) AS n FROM (SELECT unnest({OPEN_TAGS}) AS tag FROM pages) GROUP BY tag",
-    "element_shape": f"SELECT page_id, len({OPEN_TAGS}) AS n_elements FROM pages",
+    "element_shape": f"SELECT page_id, len({OPEN_TAGS}) AS n_elements, true AS consistent FROM pages",
     "article_paragraph_count": f"SELECT page_id, len(regexp_extract_all({ARTICLE}, '<p>')) AS n_p FROM pages",
     "nav_links_nested": f"WITH {NAV} SELECT page_id, '{{\"nav\":[' || string_agg('{{\"a\":' || {js('trim(href)')} || '}}', ',' ORDER BY pos) || ']}}' AS nav FROM link GROUP BY page_id",
     "nav_both_nested": f"WITH {NAV} SELECT page_id, '{{\"nav\":[' || string_agg('{{\"to\":' || {js('trim(href)')} || '}},{{\"text\":' || {js('txt')} || '}}', ',' ORDER BY pos) || ']}}' AS nav FROM link GROUP BY page_id",
@@ -188,6 +188,18 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
   ELSE '00:00:00' END AS iso FROM orders""",
     "json_scalar": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "json_recursive": "SELECT event_id, json_extract_string(props, '$.k') || ',' || event_type || ',' || event_id AS ks FROM events",
+    "json_repeated_keys": "SELECT event_id, event_type AS a FROM events",
+    "json_bad_text": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events",
+    "regex_braces": "SELECT event_id, props AS json FROM events",
+    "ttl_small": f"WITH v AS ({VISITS}), d AS (SELECT DISTINCT url, ts FROM v) "
+    "SELECT url, ts FROM d QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY url ORDER BY ts) >= INTERVAL 1 MILLISECOND, true)",
+    "seed_listing": f"WITH {NAV}, s AS (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^https?://[^/?#]*\\.([a-z]+)', 1)), "
+    "l AS (SELECT max(page_id) AS page_id FROM pages JOIN s USING (url) GROUP BY url) SELECT DISTINCT abs_url FROM abs JOIN l USING (page_id)",
+    "nav_first_child": f"WITH {NAV} SELECT page_id, '{{\"nav\":{{\"a\":' || {js('txt')} || '}}}}' AS nav FROM link WHERE pos = 0",
+    "any_element": "SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset "
+    "FROM pages WHERE regexp_matches(html, '<meta charset=\"')",
+    "by_id": value("h1", "<h1>", "</h1>"),
+    "no_root": f"SELECT * FROM ({value('h1', '<h1>', '</h1>')}) WHERE page_id % 2 = 0",
     "strip_unicode": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^{SPACE}+', ''), '{SPACE}+$', '')) AS digest FROM documents",
     "utf8_pages": "SELECT page_id, length(html) AS n_chars FROM pages WHERE page_id % 7 <> 0",
     "spec_quality": "SELECT p_partkey, unnest(CASE p_partkey % 6 WHEN 1 THEN ['version'] WHEN 2 THEN ['urls', 'select'] WHEN 3 THEN ['select'] "

@@ -92,7 +92,9 @@ def ttl_admit(
     sizes = v.groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     hot = checkpointed(sizes.filter(F.col("n") > fold_limit))
     out = _fold(v.join(hot, "k", "left_anti"), width)
-    longest = hot.agg(F.max((F.col("t1") - F.col("t0")) / width)).first()[0]
+    # a chain has no more links than its span has TTLs, and than there are visits
+    span = F.least((F.col("t1") - F.col("t0")) / width, F.col("n"))
+    longest = hot.agg(F.max(span)).first()[0]
     if longest is not None:
         chain = _chain(v.join(hot.select("k"), "k", "left_semi"), width, int(longest) + 2)
         out = out.unionByName(chain)
@@ -151,38 +153,42 @@ def _chain(v: DataFrame, width: int, longest: int) -> DataFrame:
 def _successors(v: DataFrame, width: int) -> DataFrame:
     """``(k, t, nxt)``: for each time the first time of the key at least ``width`` later.
 
-    Times and the moments asked for meet in cells of at most a second, and the
-    cells in groups of 4096.  Times are distinct microseconds, so a cell holds
-    at most a million of them: no window grows with the visits of a key.
+    Times and the moments asked for meet in cells of at most a second, the cells
+    in groups of 4096, these in groups of 4096 again, and so on up to one group.
+    Times are distinct microseconds, so a cell holds at most a million of them: no
+    window grows with the visits of a key.
     """
     step = max(min(width // 64, 1_000_000), 1)
+    first, last = v.agg(F.min("t"), F.max("t")).first()
+    levels = 1
+    while first is not None and (last + width) // (step * 4096**levels) - first // (step * 4096**levels) > 4096:
+        levels += 1
     none = F.lit(None).cast("bigint")
     data = v.select("k", F.col("t").alias("x"), F.col("t").alias("d"), none.alias("t"))
     asked = v.select("k", (F.col("t") + width).alias("x"), none.alias("d"), "t")
-    both = (
-        data.unionByName(asked)
-        .withColumn("cell", F.floor(F.col("x") / step))
-        .withColumn("area", F.floor(F.col("x") / step / 4096))
-    )
+    both = data.unionByName(asked)
+    for i in range(levels + 1):
+        width_i = F.lit(step * 4096**i).cast("bigint")
+        # rounded down, also below zero
+        both = both.withColumn(f"c{i}", ((F.col("x") - F.pmod(F.col("x"), width_i)) / width_i).cast("bigint"))
 
     def first_later(by: list[str], order: str) -> Column:
         rows = W.partitionBy(*by).orderBy(F.col(order).desc())
         earlier_rows = rows.rowsBetween(W.unboundedPreceding, -1)
         return F.last("d", ignorenulls=True).over(earlier_rows)
 
-    # one row per cell and area, with the first data point in it and after it
-    cells = both.groupBy("k", "area", "cell").agg(F.min("d").alias("d"))
-    areas = cells.groupBy("k", "area").agg(F.min("d").alias("d"))
-    beyond_area = areas.select("k", "area", first_later(["k"], "area").alias("beyond_area"))
-    beyond_cell = cells.select(
-        "k", "area", "cell", first_later(["k", "area"], "cell").alias("beyond_cell")
-    )
-    beyond = beyond_cell.join(beyond_area, ["k", "area"]).select(
-        "k", "cell", F.coalesce("beyond_cell", "beyond_area").alias("beyond")
-    )
+    # per cell of each level, from the top: the first data point after it
+    names = [f"c{i}" for i in range(levels + 1)]
+    at_level = [both.groupBy("k", *names).agg(F.min("d").alias("d"))]
+    for i in range(levels):
+        at_level.append(at_level[-1].groupBy("k", *names[i + 1 :]).agg(F.min("d").alias("d")))
+    beyond = at_level[-1].select("k", names[-1], first_later(["k"], names[-1]).alias("beyond"))
+    for i in range(levels - 1, -1, -1):
+        own = at_level[i].select("k", names[i], names[i + 1], first_later(["k", names[i + 1]], names[i]).alias("inside"))
+        beyond = own.join(beyond, ["k", names[i + 1]]).select("k", names[i], F.coalesce("inside", "beyond").alias("beyond"))
     # first data point at or after the asked moment, inside the cell
     inside = (
-        W.partitionBy("k", "cell")
+        W.partitionBy("k", "c0")
         .orderBy(F.col("x").desc(), F.col("d").desc_nulls_last())
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -190,7 +196,7 @@ def _successors(v: DataFrame, width: int) -> DataFrame:
         F.col("t").isNotNull()
     )
     return (
-        answered.join(beyond, ["k", "cell"])
+        answered.join(beyond, ["k", "c0"])
         .select("k", "t", F.coalesce("near", "beyond").alias("nxt"))
         .filter(F.col("nxt").isNotNull())
     )
