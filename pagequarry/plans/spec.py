@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
+from ..functions.css import CssError, parse_css
 from ..functions.jsonpath import compile_path
 
 VERSION = "1.0.0"
@@ -153,6 +154,15 @@ def parse_selector(raw, where: str = "selector") -> Selector:
     return selector
 
 
+def _css(css: str, where: str) -> str:
+    """A selector list that can be evaluated."""
+    try:
+        parse_css(css)
+    except CssError as e:
+        raise SpecError("selector.css", where, str(e)) from None
+    return css
+
+
 def _selector(raw, where: str, problems: Problems) -> Selector:
     if not isinstance(raw, dict):
         problems.append(SpecError("selector", where, f"must be a dict, got {raw!r}"))
@@ -168,7 +178,7 @@ def _selector(raw, where: str, problems: Problems) -> Selector:
         key = _typed(raw.get("key"), str, "key", where)
     where = f"{where}/{key}"
     with problems.attempt():
-        css = "*" if css is None else _typed(css, str, "selector.css", where)
+        css = "*" if css is None else _css(_typed(css, str, "selector.css", where), where)
     with problems.attempt():
         select = "first" if select is None else _one_of(select, ("first", "all"), "select", where)
     with problems.attempt():

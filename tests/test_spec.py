@@ -46,6 +46,7 @@ BAD = {
     "url_selectors": ((*G, "url_selectors"), {}),
     "selectors": (SEL, None),
     "key": (SEL, {"selector": "p"}),
+    "selector.css": (SEL, {"key": "k", "selector": "a:hover"}),
     "select": (SEL, {"key": "k", "select": "some"}),
     "include_self": (SEL, {"key": "k", "include_self": False}),
     "extract.type": (SEL, {"key": "k", "extract": {"type": "x"}}),
