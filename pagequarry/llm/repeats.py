@@ -9,15 +9,18 @@ substrings in a string the least one, the first of equals, is the string's sampl
 equal strings have equal samples.  Neighbouring strings with one sample make a
 stretch.  Only stretches whose sample also occurs elsewhere can hold repeats:
 
-1. count the samples of all texts, keep those that occur in two places;
-2. cut the stretches out of the texts.  Stretches with the same bytes are one; all
-   but the first occurrence are covered as a whole, without any sorting, however
-   many there are;
-3. different stretches with one sample meet in a shard.  Its suffix array is built
-   by induced sorting; where the common prefix with the neighbour has ``LENGTH``
-   bytes, all but the first place are covered;
+1. count the samples of all texts; a filter of fixed size remembers those that occur
+   in two places, and no stretch without a repeated sample goes on;
+2. of stretches with the same bytes all but the first are covered as a whole; they
+   run through in order, however many there are;
+3. different stretches with one sample are cut out of the texts and meet in a shard.
+   Its suffix array is built by induced sorting; where the common prefix with the
+   neighbour has ``LENGTH`` bytes, all but the first place are covered;
 4. merge the covered ranges of each text.
 
+Samples and equal bytes are told by 64-bit hashes, strings in shards by prefix hashes
+of 64 bits.
+
 Defined cases: a null text is empty; shorter texts than ``LENGTH`` lose nothing;
 rows without ``doc_id`` come before all others; rows that share a ``doc_id`` are
 ordered by a hash of their texts, and if these agree too they are one document, of
@@ -96,25 +99,62 @@ def samples(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[new], inside[new] - starts[row[new]], count, grams[least[new]]
 
 
-_SAMPLED = "doc long, fp long, at long, strings int, sample long"
+def _each_sampled(column) -> Iterator[tuple]:
+    """Row, place, strings, sample and a hash of the bytes of all stretches, a part of the texts at a time."""
+    data, starts = utf8(column)
+    for rows, offsets, ends in _parts(starts):
+        part, at_0 = data[ends[0] : ends[-1]], ends - ends[0]
+        row, at, count, sample = samples(part, at_0)
+        same = Prefixes(part)(at_0[row] + at, count + (LENGTH - 1)) if len(row) else sample
+        yield np.array(rows, np.int64)[row], at + np.array(offsets, np.int64)[row], count, sample, same
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _only_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, starts = utf8(batch.column(2))
-        for rows, offsets, ends in _parts(starts):
-            row, at, count, sample = samples(data[ends[0] : ends[-1]], ends - ends[0])
-            mine = pa.array(np.array(rows, np.int64)[row])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(mine),
-                    batch.column(1).take(mine),
-                    pa.array(at + np.array(offsets, np.int64)[row]),
-                    pa.array(count.astype(np.int32)),
-                    pa.array(sample.view(np.int64)),
-                ],
-                names=["doc", "fp", "at", "strings", "sample"],
-            )
+        for _, _, _, sample, _ in _each_sampled(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(sample.view(np.int64))], names=["sample"])
+
+
+_SAMPLED = "doc long, fp long, at long, strings int, sample long, same long"
+#: Bits of the filter that every executor gets: 8 MB, whatever the corpus.
+_FILTER_BITS = 26
+
+
+def _sampled(sent):
+    """Stretches whose sample passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            for row, at, count, sample, same in _each_sampled(batch.column(2)):
+                slot = (sample & U((1 << _FILTER_BITS) - 1)).astype(np.int64)
+                keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                mine = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(mine),
+                        batch.column(1).take(mine),
+                        pa.array(at[keep]),
+                        pa.array(count[keep].astype(np.int32)),
+                        pa.array(sample[keep].view(np.int64)),
+                        pa.array(same[keep].view(np.int64)),
+                    ],
+                    names=["doc", "fp", "at", "strings", "sample", "same"],
+                )
+
+    return run
+
+
+def _repeated_bits(stretches: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each sample that occurs twice: what has none need not be looked at again."""
+    repeated = stretches.groupBy("sample").count().where("count > 1")
+    slot = F.col("sample").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    part = F.shiftright(slot, 15).alias("part")
+    rows = repeated.groupBy(part).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    for r in rows:
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -124,11 +164,55 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
 
 
-_STRETCH = "doc long, fp long, at long, strings int, sample long, bytes binary"
+_JUDGED = "doc long, fp long, at long, strings int, sample long, later boolean"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by sample, bytes, document and place.
+
+    The first of each kind of stretch stays for the shard, if its sample has another
+    kind; all others are covered whole.  Only one row is held back, until it is
+    known whether another kind follows, so a sample of any size runs through.
+    """
+    names = ["doc", "fp", "at", "strings", "sample"]
+    held, last, last_first = None, None, False
+
+    def out(rows: pa.RecordBatch, later: np.ndarray) -> pa.RecordBatch:
+        rows = rows.select(names)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(later)], names=[*names, "later"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sample, same = (batch.column(n).to_numpy() for n in ("sample", "same"))
+        new_sample = np.concatenate(([last is None or sample[0] != last[0]], sample[1:] != sample[:-1]))
+        first = new_sample | np.concatenate(([last is None or same[0] != last[1]], same[1:] != same[:-1]))
+        # copies of a row are one place: those of a first row are no later ones
+        place = np.stack([batch.column(n).to_numpy() for n in ("doc", "fp", "at")], axis=1)
+        copy = ~first & np.concatenate(([last is not None and (place[0] == last[2]).all()], (place[1:] == place[:-1]).all(axis=1)))
+        origin = np.maximum.accumulate(np.where(copy, -1, np.arange(len(copy))))
+        of_first = np.where(origin < 0, last_first, first[origin])
+        later = ~first & ~(copy & of_first)
+        last_first = bool(of_first[-1])
+        yield out(batch.filter(pa.array(later)), np.ones(int(later.sum()), bool))
+        at = np.flatnonzero(first)
+        if len(at):
+            opens = new_sample[at]
+            if held is not None and not opens[0]:
+                yield out(held, np.zeros(1, bool))
+            follows = np.append(~opens[1:], False)
+            # a kind counts if it is not the first of its sample, or another follows
+            needed = ~opens | follows
+            yield out(batch.take(pa.array(at[needed])), np.zeros(int(needed.sum()), bool))
+            held = None if needed[-1] else batch.slice(int(at[-1]), 1)
+        last = (sample[-1], same[-1], place[-1])
+
+
+_STRETCH = "doc long, fp long, at long, sample long, bytes binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the stretches listed beside each text."""
+    """The bytes of the stretches that are listed beside each text for a shard."""
     for batch in batches:
         data, starts = utf8(batch.column(2))
         lists = batch.column(3)
@@ -142,8 +226,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.array(owner[part])
             blobs = [data[a : a + n].tobytes() for a, n in zip(first[part].tolist(), length[part].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(own), batch.column(1).take(own), at[part], strings[part], sample[part], pa.array(blobs, pa.binary())],
-                names=["doc", "fp", "at", "strings", "sample", "bytes"],
+                [batch.column(0).take(own), batch.column(1).take(own), at[part], sample[part], pa.array(blobs, pa.binary())],
+                names=["doc", "fp", "at", "sample", "bytes"],
             )
 
 
@@ -218,29 +302,27 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def covered(docs: DataFrame) -> DataFrame:
     """``doc, fp, at, length``: ranges of bytes to remove, with overlaps; ``doc, fp`` as in ``_keyed``."""
     keyed = _keyed(docs)
-    stretches = keyed.mapInArrow(_sampled, _SAMPLED)
-    place = F.struct("doc", "fp", "at")
-    # by 64-bit hashes of the places, which aggregate without sorting
-    counts = stretches.groupBy("sample").agg(F.min(F.xxhash64(place)).alias("lo"), F.max(F.xxhash64(place)).alias("hi"))
-    repeated = written(counts.where("lo <> hi").select("sample"))
-    listed = stretches.join(repeated, "sample").groupBy("doc", "fp")
-    listed = written(listed.agg(F.collect_list(F.struct("at", "strings", "sample")).alias("found")))
-    ids = ids_for_join(listed.select("doc", "fp"))
+    bits = _repeated_bits(keyed.select("text").mapInArrow(_only_samples, "sample long"))
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    stretches = keyed.mapInArrow(_sampled(sent), _SAMPLED)
+    stretches = stretches.repartition("sample").sortWithinPartitions("sample", "same", "doc", "fp", "at")
+    judged = stretches.mapInArrow(_judged, _JUDGED)
+    # gathered by document, as both the cut and the result need them
+    here = F.struct("at", "strings", "sample")
+    lists = judged.groupBy("doc", "fp").agg(
+        F.collect_list(F.when(F.col("later"), F.struct("at", "strings"))).alias("later"),
+        F.collect_list(F.when(~F.col("later"), here)).alias("found"),
+    )
+    lists = written(lists)
+    needed = lists.where("size(found) > 0").select("doc", "fp", "found")
+    ids = ids_for_join(needed.select("doc", "fp"))
     texts = keyed.join(ids, ["doc", "fp"], "left_semi")
-    cut = texts.join(listed, ["doc", "fp"]).select("doc", "fp", "text", "found").mapInArrow(_cut, _STRETCH)
-    cut = written(cut.withColumn("id", F.xxhash64("sample", "bytes")).withColumn("id2", F.md5("bytes")))
-
-    by = ["sample", "id", "id2"]
-    distinct = cut.groupBy(*by, "bytes").agg(F.min(place).alias("first"))
-    distinct = written(distinct.select("*", "first.*").drop("first"))
-    firsts = distinct.select(*by, F.struct("doc", "fp", "at").alias("first"))
-    later = cut.drop("bytes").join(firsts, by).where(place != F.col("first"))
-    later = later.select("doc", "fp", "at", (F.col("strings") + (LENGTH - 1)).cast("long").alias("length"))
-
-    several = distinct.groupBy("sample").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sample")
-    shards = distinct.join(several, "sample").select("sample", "doc", "fp", "at", "bytes")
+    shards = texts.join(needed, ["doc", "fp"]).select("doc", "fp", "text", "found").mapInArrow(_cut, _STRETCH)
     shards = shards.repartition("sample").sortWithinPartitions("sample")
-    return later.unionByName(shards.mapInArrow(_sorted_shards, _COVERED))
+    sorted_ = shards.mapInArrow(_sorted_shards, _COVERED)
+    later = lists.select("doc", "fp", F.explode("later").alias("r"))
+    later = later.select("doc", "fp", "r.at", (F.col("r.strings") + (LENGTH - 1)).cast("long").alias("length"))
+    return later.unionByName(sorted_)
 
 
 def _merged(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
