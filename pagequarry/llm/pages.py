@@ -281,8 +281,7 @@ def unique_runs(stream: str, undecided: list[int], covered: list[int] | None) ->
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
-        texts = [own if own is not None else unique_runs(stream, undecided, covered) for own, stream, undecided, covered in rows]
+        texts = [unique_runs(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(2, 5)))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -309,6 +308,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     open_ = parsed.where("size(undecided) > 0").select("row", "host", "stream")
     found = open_.mapInArrow(_occurrences, "row long, host string, at long, string long")
     found = found.join(strings, ["host", "string"]).groupBy("row").agg(F.collect_list("at").alias("covered"))
-    rows = parsed.join(found, "row", "left").select("page_id", "url", "own", "stream", "undecided", "covered")
-    texts = rows.mapInArrow(_texts, "page_id long, url string, text string")
+    # pages that are decided stay where they are
+    decided = parsed.where("size(undecided) = 0").select("page_id", "url", F.coalesce("own", F.lit("")).alias("text"))
+    rows = parsed.where("size(undecided) > 0").join(found, "row", "left")
+    rows = rows.select("page_id", "url", "stream", "undecided", "covered")
+    texts = decided.unionByName(rows.mapInArrow(_texts, "page_id long, url string, text string"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
