@@ -37,8 +37,8 @@ from pagequarry.sources.lineage import written
 
 #: Bytes of a repeated string; the common prefix is told up to the next power of two.
 LENGTH = 48
-#: On so many pages of a host, and so large a part of them, a string is boilerplate.
-LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: On so many pages of a host, however large it is, a string is boilerplate.
+LEAST_PAGES = 3
 SHARD_BYTES = 1 << 21
 LINKED_SHARE = 0.6
 
@@ -295,14 +295,13 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.col("html").cast("string").alias("html"),
     )
     parsed = written(rows.mapInArrow(_parsed, _PARSED))
-    hosts = parsed.groupBy("host").agg(F.sum(F.octet_length("stream")).alias("bytes"), F.count("*").alias("host_pages"))
+    hosts = parsed.groupBy("host").agg(F.sum(F.octet_length("stream")).alias("bytes"))
     hosts = written(hosts)
     shard = F.pmod(F.xxhash64("row"), F.ceil((F.col("bytes") + 1) / SHARD_BYTES)).cast("long")
     streams = parsed.where("stream <> ''").join(hosts, "host").select("host", shard.alias("shard"), "stream", "row")
     streams = streams.repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
     strings = streams.mapInArrow(_shards, "host string, string long, pages long")
     strings = strings.groupBy("host", "string").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    strings = strings.join(hosts, "host").where(F.col("pages") >= LEAST_SHARE * F.col("host_pages"))
     strings = written(strings.select("host", "string"))
 
     open_ = parsed.where("size(undecided) > 0").select("row", "host", "stream")

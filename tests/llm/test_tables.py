@@ -84,6 +84,16 @@ def test_repeated_strings_go_from_open_pages(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_repeated_strings_do_not_depend_on_the_size_of_the_host(spark):
+    notice = "This section of the paper is brought to you by the friends of the old town library."
+    for others in (0, 60):
+        pages = [(i, f"http://h.org/{i}", f"<div>{notice}</div><div>Own{i} words number{i}</div>") for i in range(2 * LEAST_PAGES)]
+        pages += [(100 + i, f"http://h.org/{100 + i}", f"<div>Other{i} words without{i} any{i} notice{i}</div>") for i in range(others)]
+        df = spark.createDataFrame(pages, "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in main_text(df).collect()}
+        assert [got[i] for i in range(2 * LEAST_PAGES)] == [f"Own{i} words number{i}" for i in range(2 * LEAST_PAGES)]
+
+
 def test_articles_of_given_pages(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in main_text(df).collect()}
