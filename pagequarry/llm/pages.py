@@ -1,29 +1,35 @@
 """Main text of web pages, with a suffix array per host for what its pages repeat.
 
-A page is parsed into blocks of text.  Blocks inside an article or main element are
-the page's own; blocks in menus, headers, footers, sidebars, adverts, notices,
-forms, comments or in anything invisible are not, and of the others the markup
-does not tell.
-
-For these, all text outside the page's own blocks is laid end to end, host by host,
-and a suffix array finds the strings of ``LENGTH`` bytes, from the beginning of a
-word, that stand on many distinct pages of the host.  What they cover is
-boilerplate; the unique runs between are kept.  A host of any size is cut into
-shards of whole pages: each shard's suffix array counts the distinct pages of each
-string, and as no page is in two shards, the sums over the shards are exact.
-
-A page with own blocks has these as its text, any other its unique runs.
+A page is parsed into blocks of text.  Menus, headers, footers, sidebars, adverts,
+notices, forms, comments, lists of links outside an article or main element, and
+anything invisible are hidden; the markup is only a hint for these.
+
+All text of the pages, hidden or not, is laid end to end, host by host, and a suffix
+array finds the strings of ``LENGTH`` bytes, from the beginning of a word or up to the
+end of one, that stand on ``LEAST_PAGES`` distinct pages of the host.  What they cover
+is boilerplate, inside an article as well as outside; the unique runs of all blocks
+that are not hidden are the page's text.
+
+Only repeated parts have to meet.  Equal strings have equal samples (the least hash of
+their ``GRAM``-byte substrings, mixed with the host); samples are counted over all
+pages, a filter of fixed size remembers those on enough pages, and only what their
+strings cover goes on.  A host of any size is cut into shards of whole pages: each
+shard's suffix array counts the distinct pages of each string, and as no page is in
+two shards, the sums over the shards are exact.
 
 Defined cases: null html is empty; a null url belongs to a host of its own name;
-unclosed elements end with their parents, a cut page ends what is open; repeated
-rows are pages of their own; an empty table gives an empty result; other columns
-are left alone.
+unclosed elements end with their parents, a cut page ends what is open; pages of a
+host with the same text, such as repeated rows, count as one page and each get the
+result; an empty table gives an empty result; other columns are left alone.  Strings,
+samples and equal pages are told by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,14 +38,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.repeats import _window_minima
 from pagequarry.llm.suffixes import Prefixes, permuted_common_prefixes, suffix_array
+from pagequarry.llm.tables import ids_for_join
+from pagequarry.llm.words import U, mixed
 from pagequarry.sources.lineage import written
 
 #: Bytes of a repeated string; the common prefix is told up to the next power of two.
 LENGTH = 48
 #: On so many pages of a host, however large it is, a string is boilerplate.
 LEAST_PAGES = 3
+#: Bytes of a substring whose hash can be a sample.
+GRAM = 20
 SHARD_BYTES = 1 << 21
+#: Samples that a task gathers before it sends them, in 4,096 buckets.
+SAMPLES_HELD = 1 << 22
+_BUCKETS = 12
+#: Bits of the filters that every executor gets: 8 MB, whatever the corpus.
+_FILTER_BITS = 26
+#: Between pages and parts of pages; no byte of UTF-8.
+_GAP = b"\xff"
 LINKED_SHARE = 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,104 +192,285 @@ def parse(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-_PARSED = "row long, page_id long, url string, host string, own string, stream string, undecided array<int>"
+_PARSED = "row long, page_id long, url string, host string, stream string, first boolean, wanted array<int>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The own text, or null; the other blocks, one in each line, and which lines the markup leaves open."""
-    row = TaskContext.get().partitionId() << 40
+    """The blocks, one in each line, whether no earlier page of the task has the same, and which lines are not hidden."""
+    row, seen = TaskContext.get().partitionId() << 40, set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
-            own, streams, undecided = [], [], []
-            for html in some.column(3).to_pylist():
+            streams, first, wanted = [], [], []
+            for host, html in zip(some.column(2).to_pylist(), some.column(3).to_pylist()):
                 blocks = parse(html)
-                mine = [b[0] for b in blocks if b[1]]
-                rest = [b for b in blocks if not b[1]]
-                own.append(" ".join(mine) if mine else None)
-                streams.append("\n".join(b[0] for b in rest))
-                undecided.append([] if mine else [i for i, b in enumerate(rest) if b[2]])
+                streams.append("\n".join(b[0] for b in blocks))
+                wanted.append([i for i, b in enumerate(blocks) if b[1] or b[2]])
+                page = hash((host, streams[-1]))
+                first.append(page not in seen)
+                seen.add(page)
             n = some.num_rows
-            columns = [*some.columns[:3], pa.array(own, pa.string()), pa.array(streams, pa.string()), pa.array(undecided, pa.list_(pa.int32()))]
+            columns = [*some.columns[:3], pa.array(streams, pa.string()), pa.array(first, pa.bool_()), pa.array(wanted, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), *columns], names=[c.split()[0] for c in _PARSED.split(", ")])
             row += n
 
 
-def _word_starts(text: np.ndarray) -> np.ndarray:
-    """Places where a word begins and ``LENGTH`` bytes follow."""
-    space = (text == 32) | (text == 10) | (text < 0)  # the last: between pages
-    begins = ~space & np.concatenate(([True], space[:-1]))
-    return np.flatnonzero(begins[: max(0, len(text) - LENGTH + 1)])
+# ---------------------------------------------------------------- strings
+
+
+def _laid_out(pages: list[bytes]) -> np.ndarray:
+    """Bytes moved up by one, 0 after each page or part."""
+    text = np.frombuffer(_GAP.join(pages) + _GAP, np.uint8).astype(np.uint16) + 1
+    text[text == 256] = 0
+    return text
+
+
+def _windows(text: np.ndarray) -> np.ndarray:
+    """Places of the strings of ``LENGTH`` bytes that begin or end with a word, within a page or part."""
+    gaps = np.flatnonzero(text == 0)
+    space = (text == 33) | (text == 11) | (text == 0)
+    begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1 - LENGTH
+    at = np.union1d(begins, ends[ends >= 0])
+    return at[at + LENGTH <= gaps[np.searchsorted(gaps, at)]]
+
+
+@lru_cache(1 << 16)
+def _host_hash(host: str) -> int:
+    return int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest(), "little")
+
+
+def _host_hashes(hosts: list[str]) -> np.ndarray:
+    return np.array([_host_hash(h) for h in hosts], U)
+
+
+def _sampled(hosts: list[str], pages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where pages begin; place, page and sample of each string."""
+    size = np.array([len(p) + 1 for p in pages], np.int64)
+    begins = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    text = _laid_out(pages)
+    at = _windows(text)
+    owner = np.searchsorted(begins, at, "right") - 1
+    if not len(at):
+        return begins, at, owner, np.zeros(0, U)
+    prefixes = Prefixes(text)
+    grams = mixed((prefixes.sums[GRAM:] - prefixes.sums[:-GRAM]) * prefixes.inverse[: len(text) - GRAM + 1])
+    least = _window_minima(grams, LENGTH - GRAM + 1)[at]
+    return begins, at, owner, mixed(least ^ _host_hashes(hosts)[owner])
+
+
+def _slot(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of hashes in the filter of samples: the bucket first."""
+    bucket = (hashes & U((1 << _BUCKETS) - 1)).astype(np.int64)
+    inside = ((hashes >> U(_BUCKETS)) & U((1 << (_FILTER_BITS - _BUCKETS)) - 1)).astype(np.int64)
+    return (bucket << (_FILTER_BITS - _BUCKETS - 3)) + (inside >> 3), inside & 7
+
+
+def _each_page(batches: Iterator[pa.RecordBatch], bytes_held: int = 1 << 20) -> Iterator[tuple]:
+    """Some rows at a time as lists of columns; the last column, a text, as bytes."""
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        columns[-1] = [t.encode() for t in columns[-1]]
+        ends = np.cumsum([len(t) for t in columns[-1]])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + bytes_held)))
+            yield tuple(c[lo:hi] for c in columns)
+            lo = hi
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bucket, samples``: samples of the pages, each up to ``LEAST_PAGES`` times, without the bits of the bucket."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        values = np.repeat(values, np.minimum(counts, LEAST_PAGES))
+        bucket = (values & U((1 << _BUCKETS) - 1)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        some, first = np.unique(bucket[order], return_index=True)
+        blobs = [v.tobytes() for v in np.split((values[order] >> U(_BUCKETS)).astype("<u4"), first[1:])] if len(some) else []
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], names=["bucket", "samples"])
+
+    for hosts, pages in _each_page(batches):
+        _, _, owner, sample = _sampled(hosts, pages)
+        # once in each page; most neighbours share one
+        new = np.flatnonzero((np.diff(sample, prepend=U(0)) != 0) | (np.diff(owner, prepend=-1) != 0))
+        owner, sample = owner[new], sample[new]
+        order = np.lexsort((sample, owner))
+        owner, sample = owner[order], sample[order]
+        held.append(sample[(np.diff(sample, prepend=U(0)) != 0) | (np.diff(owner, prepend=-1) != 0)])
+        n += len(held[-1])
+        if n >= SAMPLES_HELD:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; the bits of the samples that are on enough pages."""
+    last, held = None, []
+
+    def out() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        bits = np.zeros(1 << (_FILTER_BITS - _BUCKETS), np.uint8)
+        bits[values[counts >= LEAST_PAGES] & np.uint32(len(bits) - 1)] = 1
+        blob = np.packbits(bits, bitorder="little").tobytes() if bits.any() else b""
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "bits"])
+
+    for batch in batches:
+        for bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != last and held:
+                yield out()
+                held = []
+            last = bucket
+            held.append(np.frombuffer(blob, "<u4"))
+    if held:
+        yield out()
 
 
-def strings_on_pages(streams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _sample_filter(pages: DataFrame) -> np.ndarray:
+    """A bit for each sample on ``LEAST_PAGES`` pages: without one, a string is on fewer."""
+    found = pages.mapInArrow(_samples, "bucket int, samples binary")
+    parts = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_filter_parts, "bucket int, bits binary")
+    out, width = np.zeros(1 << (_FILTER_BITS - 3), np.uint8), 1 << (_FILTER_BITS - _BUCKETS - 3)
+    for r in parts.where("bits <> X''").collect():
+        out[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+_PARTS = "host string, page long, parts binary"
+
+
+def _repeated_parts(sent):
+    """The bytes of each page under strings whose sample passes the filter, and a hash of the page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for hosts, pages in _each_page(batches):
+            begins, at, owner, sample = _sampled(hosts, pages)
+            byte, bit = _slot(sample)
+            keep = ((bits[byte] >> bit.astype(np.uint8)) & 1).astype(bool)
+            at, owner = at[keep], owner[keep]
+            if not len(at):
+                continue
+            # strings that touch are one part; none of two pages do, as there is a gap
+            new = np.flatnonzero(np.diff(at, prepend=-LENGTH - 1) > LENGTH)
+            first, end, whose = at[new], at[np.append(new[1:], len(at)) - 1] + LENGTH, owner[new]
+            first, end = (first - begins[whose]).tolist(), (end - begins[whose]).tolist()
+            parts: dict[int, list[bytes]] = {}
+            for p, a, b in zip(whose.tolist(), first, end):
+                parts.setdefault(p, []).append(pages[p][a:b])
+            ids = [int.from_bytes(hashlib.blake2b(pages[p], digest_size=8).digest(), "little", signed=True) for p in parts]
+            blobs = [_GAP.join(x) for x in parts.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hosts[p] for p in parts], pa.string()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())],
+                names=["host", "page", "parts"],
+            )
+
+    return run
+
+
+def strings_on_pages(pages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Strings of a shard, as hashes, and the distinct pages each is on."""
-    pages = [s.encode() for s in streams]
     size = np.array([len(p) + 1 for p in pages])
-    begins = np.concatenate(([0], np.cumsum(size)))
-    text = np.frombuffer(b"\0".join(pages) + b"\0", np.uint8).astype(np.uint16) + 1
-    text[begins[1:] - 1] = 0
     owner = np.repeat(np.arange(len(pages)), size)
-    starts = _word_starts(text.astype(np.int32) - 1)
-    starts = starts[(starts + LENGTH < begins[owner[starts] + 1]) & (text[starts] > 0)]
+    text = _laid_out(pages)
     wanted = np.zeros(len(text), bool)
-    wanted[starts] = True
+    wanted[_windows(text)] = True
     order = suffix_array(text)
     places = order[wanted[order]]
     if not len(places):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64)
     prefixes = Prefixes(text)
     group = np.cumsum(permuted_common_prefixes(places, prefixes, 63) < LENGTH) - 1
-    once = np.unique(np.stack((group, owner[places])), axis=1)[0]
+    once = np.unique(group * len(pages) + owner[places]) // len(pages)
     first = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
-    return prefixes(places[first], LENGTH).view(np.int64), np.bincount(once)
+    return prefixes(places[first], LENGTH), np.bincount(once)
+
+
+def _of_host(strings: np.ndarray, host_hashes) -> np.ndarray:
+    return mixed(strings ^ host_hashes)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host and shard."""
-    key, held = None, []
+    """Rows come sorted by host, shard and page; copies of a page are neighbours."""
+    key, held, last = None, [], None
 
     def out():
         strings, pages = strings_on_pages(held)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(strings), pa.string()), pa.array(strings), pa.array(pages)], names=["host", "string", "pages"])
+        strings = _of_host(strings, _host_hashes([key[0]]))
+        return pa.RecordBatch.from_arrays([pa.array(strings.view(np.int64)), pa.array(pages)], names=["string", "pages"])
 
     for batch in batches:
-        for host, shard, stream in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for host, shard, page, parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if (host, shard) != key:
                 if held:
                     yield out()
-                key, held = (host, shard), []
-            held.append(stream)
+                key, held, last = (host, shard), [], None
+            if page != last:
+                held.append(parts)
+            last = page
     if held:
         yield out()
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All strings of the pages that the markup leaves open."""
-    for batch in batches:
-        for row, host, stream in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            # the same values as in a shard
-            text = np.frombuffer(stream.encode(), np.uint8).astype(np.uint16) + 1
-            starts = _word_starts(text.astype(np.int32) - 1)
-            strings = Prefixes(text)(starts, LENGTH).view(np.int64)
-            n = len(starts)
+def _string_filter(strings: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each string."""
+    slot = F.col("string").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    part = F.shiftright(slot, 15).alias("part")
+    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    for r in strings.groupBy(part).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect():
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _occurrences(sent):
+    """The strings of the pages that pass the filter and touch a line that is not hidden."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for rows, hosts, wanted, pages in _each_page(batches):
+            begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pages])))
+            text = _laid_out(pages)
+            at = _windows(text)
+            owner = np.searchsorted(begins, at, "right") - 1
+            string = _of_host(Prefixes(text)(at, LENGTH), _host_hashes(hosts)[owner])
+            slot = (string & U((1 << _FILTER_BITS) - 1)).astype(np.int64)
+            keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            if not len(keep):
+                continue
+            # lines are told by their number in all pages together
+            ends = np.flatnonzero((text == 11) | (text == 0))
+            line_0 = np.searchsorted(ends, begins[:-1])
+            shown = np.zeros(len(ends) + 1, np.int64)
+            shown[1:][np.array([line_0[i] + k for i, w in enumerate(wanted) for k in w], np.int64)] = 1
+            shown = np.cumsum(shown)
+            first, last = np.searchsorted(ends, at[keep]), np.searchsorted(ends, at[keep] + LENGTH - 1)
+            keep = keep[shown[last + 1] > shown[first]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row] * n, pa.int64()), pa.array([host] * n, pa.string()), pa.array(starts.astype(np.int64)), pa.array(strings)],
-                names=["row", "host", "at", "string"],
+                [pa.array(np.array(rows)[owner[keep]], pa.int64()), pa.array(at[keep] - begins[owner[keep]]), pa.array(string[keep].view(np.int64))],
+                names=["row", "at", "string"],
             )
 
+    return run
+
 
-def unique_runs(stream: str, undecided: list[int], covered: list[int] | None) -> str:
-    """The undecided lines of a stream without what the strings beginning at ``covered`` cover."""
+def unique_runs(stream: str, wanted: list[int], covered: list[int] | None) -> str:
+    """The wanted lines of a stream without what the strings beginning at ``covered`` cover."""
+    if not covered:
+        lines = stream.split("\n")
+        return " ".join([lines[i] for i in wanted])
     text = stream.encode()
     gone = np.zeros(len(text) + 1, np.int64)
-    at = np.array(covered or [], np.int64)
+    at = np.array(covered, np.int64)
     np.add.at(gone, at, 1)
     np.add.at(gone, np.minimum(at + LENGTH, len(text)), -1)
     gone = np.cumsum(gone)[:-1] > 0
-    out, begin, wanted = [], 0, set(undecided)
+    out, begin, lines = [], 0, set(wanted)
     for i, line in enumerate(text.split(b"\n")):
-        if i in wanted:
+        if i in lines:
             # a word goes if all of it is covered
             words = [m for m in re.finditer(rb"\S+", line) if not gone[begin + m.start() : begin + m.end()].all()]
             out += [m.group().decode() for m in words]
@@ -295,21 +494,27 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.col("html").cast("string").alias("html"),
     )
     parsed = written(rows.mapInArrow(_parsed, _PARSED))
-    hosts = parsed.groupBy("host").agg(F.sum(F.octet_length("stream")).alias("bytes"))
-    hosts = written(hosts)
-    shard = F.pmod(F.xxhash64("row"), F.ceil((F.col("bytes") + 1) / SHARD_BYTES)).cast("long")
-    streams = parsed.where("stream <> ''").join(hosts, "host").select("host", shard.alias("shard"), "stream", "row")
-    streams = streams.repartition("host", "shard").sortWithinPartitions("host", "shard", "row")
-    strings = streams.mapInArrow(_shards, "host string, string long, pages long")
-    strings = strings.groupBy("host", "string").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    strings = written(strings.select("host", "string"))
-
-    open_ = parsed.where("size(undecided) > 0").select("row", "host", "stream")
-    found = open_.mapInArrow(_occurrences, "row long, host string, at long, string long")
-    found = found.join(strings, ["host", "string"]).groupBy("row").agg(F.collect_list("at").alias("covered"))
-    # pages that are decided stay where they are
-    decided = parsed.where("size(undecided) = 0").select("page_id", "url", F.coalesce("own", F.lit("")).alias("text"))
-    rows = parsed.where("size(undecided) > 0").join(found, "row", "left")
-    rows = rows.select("page_id", "url", "stream", "undecided", "covered")
-    texts = decided.unionByName(rows.mapInArrow(_texts, "page_id long, url string, text string"))
+    context = pages.sparkSession.sparkContext
+    distinct = parsed.where("first and stream <> ''").select("host", "stream")
+    sent = context.broadcast(_sample_filter(distinct))
+    parts = written(distinct.mapInArrow(_repeated_parts(sent), _PARTS))
+    hosts = written(parts.groupBy("host").agg(F.sum(F.octet_length("parts")).alias("bytes")))
+    shard = F.pmod(F.xxhash64("page"), F.ceil((F.col("bytes") + 1) / SHARD_BYTES)).cast("long")
+    parts = parts.join(hosts, "host").select("host", shard.alias("shard"), "page", "parts")
+    parts = parts.repartition("host", "shard").sortWithinPartitions("host", "shard", "page")
+    strings = parts.mapInArrow(_shards, "string long, pages long")
+    strings = strings.groupBy("string").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    strings = written(strings.select("string"))
+
+    open_ = parsed.where("size(wanted) > 0").select("row", "host", "wanted", "stream")
+    sent = context.broadcast(_string_filter(strings))
+    found = open_.mapInArrow(_occurrences(sent), "row long, at long, string long")
+    found = found.join(ids_for_join(strings), "string").groupBy("row").agg(F.collect_list("at").alias("covered"))
+    found = written(found)
+    # pages that repeat nothing stay where they are
+    touched = ids_for_join(found.select("row"))
+    columns = ["page_id", "url", "stream", "wanted"]
+    some = parsed.join(touched, "row", "left_semi").join(found, "row").select(*columns, "covered")
+    rest = parsed.join(touched, "row", "left_anti").select(*columns, F.lit(None).cast("array<bigint>").alias("covered"))
+    texts = some.unionByName(rest).mapInArrow(_texts, "page_id long, url string, text string")
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

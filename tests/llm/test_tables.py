@@ -2,6 +2,7 @@
 
 import hashlib
 import html as markup
+import random
 import re
 from collections import Counter
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.chat import PART, format_turns, read_back, read_turn, text_part
 from pagequarry.llm.components import connected
-from pagequarry.llm.pages import LEAST_PAGES, main_text, parse
+from pagequarry.llm.pages import LEAST_PAGES, LENGTH, main_text, parse
 from pagequarry.llm.queries import ORACLE, QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -94,6 +95,43 @@ def test_repeated_strings_do_not_depend_on_the_size_of_the_host(spark):
         assert [got[i] for i in range(2 * LEAST_PAGES)] == [f"Own{i} words number{i}" for i in range(2 * LEAST_PAGES)]
 
 
+def test_strings_that_articles_repeat_go_and_text_beside_teasers_stays(spark):
+    notice = "Support our work: become a member of the club for a small sum each month!"
+    pages = [
+        (i, f"http://h.org/{i}", f"<article><p>Own{i} text{i} of{i} this{i}. {notice} More{i} text{i}</p></article><div>Beside{i} it{i}</div>")
+        for i in range(2 * LEAST_PAGES)
+    ]
+    whole = "A page that is stored in many copies keeps its text, whatever number of copies there are."
+    pages += [(50, "http://h.org/50", f"<article>{whole}</article>")] * (2 * LEAST_PAGES)
+    pages += [(60, "http://h.org/60", "<div>The real text of this page is in a plain element.</div><article>Teaser</article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.text) for r in main_text(df).collect())
+    want = [(i, f"Own{i} text{i} of{i} this{i}. More{i} text{i} Beside{i} it{i}") for i in range(2 * LEAST_PAGES)]
+    assert got == [*want, *[(50, whole)] * (2 * LEAST_PAGES), (60, "The real text of this page is in a plain element. Teaser")]
+
+
+def test_strings_of_hosts_in_shards_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("pagequarry.llm.pages.SHARD_BYTES", 1000)
+    rng = random.Random(3)
+    lines = [" ".join(f"{rng.choice('abcde')}{rng.randrange(99)}é" for _ in range(rng.randrange(3, 30))) for _ in range(40)]
+    pages = [(i, f"http://h{i % 3}.org/", "\n".join(rng.sample(lines, 4) + [f"p{i} q{i}"])) for i in range(90)]
+    df = spark.createDataFrame([(i, u, "<p>" + t.replace("\n", "<p>")) for i, u, t in pages], "page_id long, url string, html string")
+
+    def strings(text):
+        t = text.encode()
+        words = list(re.finditer(rb"\S+", t))
+        places = {m.start() for m in words} | {m.end() - LENGTH for m in words}
+        return {a: t[a : a + LENGTH] for a in places if 0 <= a <= len(t) - LENGTH}
+
+    count = Counter((u, s) for _, u, t in pages for s in set(strings(t).values()))
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    for i, u, t in pages:
+        gone = {b for a, s in strings(t).items() if count[u, s] >= LEAST_PAGES for b in range(a, a + LENGTH)}
+        words = [m for m in re.finditer(rb"\S+", t.encode()) if not set(range(*m.span())) <= gone]
+        assert got[i] == " ".join(m.group().decode() for m in words)
+    assert len({len(t) for t in got.values()}) > 3
+
+
 def test_articles_of_given_pages(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in main_text(df).collect()}
