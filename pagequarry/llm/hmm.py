@@ -8,9 +8,8 @@ words.  So the tables of the states have a fixed size, and the number of words
 does not matter to what is sent to the executors; counts of all words stay in a
 table that is joined.
 
-Training: word counts over all training texts; a few Baum-Welch steps on a sample
-of ``WARM_DOCS`` documents to begin with; then ``STEPS`` steps over all of them,
-expected counts summed per task and then over all tasks.  Training sequences are
+Training: word counts over all training texts; then ``STEPS`` Baum-Welch steps, each
+over all of them at any size, expected counts summed per task and then over all tasks.  Training sequences are
 blocks of at most ``BLOCK`` tokens.  Scores use the scaled forward recursion over
 whole texts, which gives the exact probability of the sequence.
 
@@ -46,7 +45,8 @@ SYMBOLS = TOP + SHARED + 1
 END = SYMBOLS - 1
 #: Words whose counts every executor holds: 2.4 MB.
 COUNTED = 200_000
-WARM_DOCS, WARM_STEPS, STEPS = 4_000, 8, 2
+#: Baum-Welch steps, each over all training texts.
+STEPS = 10
 BLOCK = 512
 BATCH_TOKENS = 1 << 17
 #: Pseudo-counts of the overall distribution in each state, and of each transition.
@@ -325,10 +325,6 @@ def train(coded: DataFrame, v: Vocabulary) -> Model:
     sequences = coded.where("not held_out")
     if not v.docs:
         return model
-    every = max(1, v.docs // WARM_DOCS)
-    sample = written(sequences.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("symbols"))
-    for _ in range(WARM_STEPS):
-        model = _step(model, sample, shares)
     for _ in range(STEPS):
         model = _step(model, sequences, shares)
     return model

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -368,6 +369,14 @@ def test_scores(spark, docs, no_docs, rows):
     assert hmm.score(no_docs).collect() == []
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 9)))) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r.score for r in hmm.score(df.repartition(n, "doc_id")).collect()} for n in (2, 5))
+    assert one == pytest.approx(two, rel=1e-6)
+
+
 def test_held_out_likelihood_beats_the_base(spark, sf):
     docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
     own = hmm.score(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
