@@ -15,7 +15,9 @@ stretch.  Only stretches whose sample also occurs elsewhere can hold repeats:
    run through in order, however many there are;
 3. different stretches with one sample are cut out of the texts and meet in a shard.
    Its suffix array is built by induced sorting; where the common prefix with the
-   neighbour has ``LENGTH`` bytes, all but the first place are covered;
+   neighbour has ``LENGTH`` bytes, all but the first place are covered.  A sample with
+   more than ``SHARD_BYTES`` of different stretches is in no shard: its strings meet
+   one by one, by their hashes, and run through in order;
 4. merge the covered ranges of each text.
 
 Samples and equal bytes are told by 64-bit hashes, strings in shards by prefix hashes
@@ -46,7 +48,7 @@ from pagequarry.sources.lineage import written
 
 LENGTH = 100
 GRAM = 24
-#: Bytes of a shard's text that are sorted at once, unless one sample has more.
+#: Bytes of a shard's text that are sorted at once; strings of samples with more are told by their hashes.
 SHARD_BYTES = 1 << 21
 #: Longer texts are taken in parts that overlap by a string.
 PART_BYTES = 1 << 22
@@ -211,24 +213,77 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _STRETCH = "doc long, fp long, at long, sample long, bytes binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found_bytes(batch: pa.RecordBatch, large: np.ndarray, wanted: bool) -> Iterator[tuple]:
+    """Row, place, strings, sample and bytes of listed stretches, of ``large`` samples or of the others, some at a time."""
+    data, starts = utf8(batch.column(2))
+    lists = batch.column(3)
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    found = lists.flatten()
+    at, strings, sample = (found.field(i).to_numpy() for i in range(3))
+    keep = np.flatnonzero(np.isin(sample, large) == wanted)
+    owner, at, strings, sample = owner[keep], at[keep], strings[keep].astype(np.int64), sample[keep]
+    first = starts[owner] + at
+    length = strings + LENGTH - 1
+    for lo in range(0, len(owner), 8192):
+        part = slice(lo, lo + 8192)
+        blobs = [data[a : a + n].tobytes() for a, n in zip(first[part].tolist(), length[part].tolist())]
+        yield owner[part], at[part], strings[part], sample[part], blobs
+
+
+def _cut(sent):
     """The bytes of the stretches that are listed beside each text for a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, at, _, sample, blobs in _found_bytes(batch, sent.value, False):
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(at), pa.array(sample), pa.array(blobs, pa.binary())],
+                    names=["doc", "fp", "at", "sample", "bytes"],
+                )
+
+    return run
+
+
+_STRING = "doc long, fp long, at long, string long"
+
+
+def _single_strings(sent):
+    """Each string, as a hash, of the listed stretches whose samples are too large for a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, at, strings, _, blobs in _found_bytes(batch, sent.value, True):
+                begins = np.cumsum(strings + LENGTH - 1) - (strings + LENGTH - 1)
+                inside = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+                hashes = mixed(Prefixes(np.frombuffer(b"".join(blobs), np.uint8))(np.repeat(begins, strings) + inside, LENGTH))
+                own = pa.array(np.repeat(owner, strings))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(np.repeat(at, strings) + inside), pa.array(hashes.view(np.int64))],
+                    names=["doc", "fp", "at", "string"],
+                )
+
+    return run
+
+
+def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by string, document and place; all places of a string but the first are covered."""
+    string, place = None, None  # of the last first one
     for batch in batches:
-        data, starts = utf8(batch.column(2))
-        lists = batch.column(3)
-        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-        found = lists.flatten()
-        at, strings, sample = (found.field(i) for i in range(3))
-        first = starts[owner] + at.to_numpy()
-        length = strings.to_numpy().astype(np.int64) + LENGTH - 1
-        for lo in range(0, len(owner), 8192):
-            part = slice(lo, lo + 8192)
-            own = pa.array(owner[part])
-            blobs = [data[a : a + n].tobytes() for a, n in zip(first[part].tolist(), length[part].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(own), batch.column(1).take(own), at[part], sample[part], pa.array(blobs, pa.binary())],
-                names=["doc", "fp", "at", "sample", "bytes"],
-            )
+        if not batch.num_rows:
+            continue
+        places = np.stack([batch.column(n).to_numpy() for n in ("doc", "fp", "at")], axis=1)
+        strings = batch.column("string").to_numpy()
+        new = np.concatenate(([string is None or strings[0] != string], strings[1:] != strings[:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        of_first = places[np.maximum(first, 0)]
+        if place is not None:
+            of_first[first < 0] = place
+        # copies of a row are one place
+        later = pa.array((places != of_first).any(axis=1))
+        string, place = strings[-1], of_first[-1]
+        some = batch.select(["doc", "fp", "at"]).filter(later)
+        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(some.num_rows, LENGTH))], names=["doc", "fp", "at", "length"])
 
 
 _COVERED = "doc long, fp long, at long, length long"
@@ -258,7 +313,10 @@ def covered_in_shard(doc: np.ndarray, fp: np.ndarray, at: np.ndarray, blobs: lis
     # the first of each group of equal strings, by document and place
     by = np.lexsort((start, fp[mine], doc[mine], group))
     first = np.concatenate(([True], np.diff(group[by]) != 0))
-    again = np.sort(places[by[~first]])
+    # copies of a row are one place
+    origin = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+    copy = (doc[mine[by]] == doc[mine[origin]]) & (fp[mine[by]] == fp[mine[origin]]) & (start[by] == start[origin])
+    again = np.sort(places[by[~copy]])
     if not len(again):
         return (np.zeros(0, np.int64),) * 3
     begin, count = _ranges(again)
@@ -317,12 +375,22 @@ def covered(docs: DataFrame) -> DataFrame:
     needed = lists.where("size(found) > 0").select("doc", "fp", "found")
     ids = ids_for_join(needed.select("doc", "fp"))
     texts = keyed.join(ids, ["doc", "fp"], "left_semi")
-    shards = texts.join(needed, ["doc", "fp"]).select("doc", "fp", "text", "found").mapInArrow(_cut, _STRETCH)
+    texts = texts.join(needed, ["doc", "fp"]).select("doc", "fp", "text", "found")
+    # there are at most as many large samples as shards
+    size = needed.select(F.explode("found").alias("f")).groupBy("f.sample").agg(F.sum(F.col("f.strings") + (LENGTH - 1)).alias("bytes"))
+    large = np.array([r.sample for r in size.where(F.col("bytes") > SHARD_BYTES).select("sample").collect()], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(large)
+    shards = texts.mapInArrow(_cut(sent), _STRETCH)
     shards = shards.repartition("sample").sortWithinPartitions("sample")
     sorted_ = shards.mapInArrow(_sorted_shards, _COVERED)
     later = lists.select("doc", "fp", F.explode("later").alias("r"))
     later = later.select("doc", "fp", "r.at", (F.col("r.strings") + (LENGTH - 1)).cast("long").alias("length"))
-    return later.unionByName(sorted_)
+    out = later.unionByName(sorted_)
+    if len(large):
+        strings = texts.mapInArrow(_single_strings(sent), _STRING)
+        strings = strings.repartition("string").sortWithinPartitions("string", "doc", "fp", "at")
+        out = out.unionByName(strings.mapInArrow(_later_strings, _COVERED))
+    return out
 
 
 def _merged(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import pytest
 from cases import lower, shingles, words
 from pyspark.sql import functions as F
 
-from pagequarry.llm import hmm, neardup
+from pagequarry.llm import hmm, neardup, repeats
 from pagequarry.llm.decontam import contaminated, decontaminated
 from pagequarry.llm.licenses import TEMPLATES, scan_licenses
 from pagequarry.llm.mixing import mix, mixed_documents, n_words
@@ -180,6 +180,35 @@ def test_repeats_against_brute_force(spark):
     assert {r.doc_id: tuple(r) for r in got} == {w[0]: w for w in brute_repeats(rows)}
 
 
+def test_strings_of_large_samples_meet_one_by_one(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase = "this common licence line stands in all documents"
+
+    def text(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    shared = [text(30) + phrase + text(60) for _ in range(4)]
+    rows = [(i, text(60) + rng.choice([phrase, *shared]) + text(60)) for i in range(60)] + [(90, text(50) + phrase), (91, "é" * 200 + phrase)]
+    met = []
+    single = repeats._single_strings
+    monkeypatch.setattr(repeats, "_single_strings", lambda sent: met.append(len(sent.value)) or single(sent))
+    for size in (1 << 21, 400, 0):
+        monkeypatch.setattr(repeats, "SHARD_BYTES", size)
+        got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert {r.doc_id: tuple(r) for r in got} == {w[0]: w for w in brute_repeats(rows)}
+    assert len(met) == 2 and 0 < met[0] <= met[1]
+
+
+def test_copies_of_a_row_are_one_document(spark, monkeypatch):
+    rng = random.Random(7)
+    one, two, three = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3))
+    rows = [(1, one + "1" + two), (1, one + "1" + two), (2, three + "2" + two)]
+    for size in (1 << 21, 0):
+        monkeypatch.setattr(repeats, "SHARD_BYTES", size)
+        got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 200)]
+
+
 def test_repeats_on_awkward_rows(docs, no_docs, rows):
     got = without_repeats(docs, with_text=False).collect()
     assert len(got) == len(rows)
