@@ -17,6 +17,10 @@ so Spark's writer commits it and a lost executor repeats its own part only:
 Every document ends with the end id.  Defined cases: a null or empty text has the
 end id only; rows without ``doc_id`` come first; rows that share one are in the
 order of their texts; an empty table gives an empty file and no rows.
+
+Differs from the library's default: a text that spells a special token, such as
+``<|endoftext|>``, is encoded like any other text (``encode_special_tokens``), so that
+the end id stands only at ends of documents; ids, checksum and later starts differ then.
 """
 
 from __future__ import annotations
