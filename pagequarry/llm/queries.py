@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.chat import format_turns, read_back, text_part
 from pagequarry.llm.decontam import contaminated
+from pagequarry.llm.divergence import audit
+from pagequarry.llm.fim import fill_in_middle, restored
 from pagequarry.llm.hmm import score
+from pagequarry.llm.jaccard import jaccard_components
 from pagequarry.llm.licenses import scan_licenses
 from pagequarry.llm.mixing import mix
 from pagequarry.llm.neardup import near_duplicates
@@ -70,6 +73,21 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(_table(spark, d, "documents")).drop("source")
 
 
+def op11_source_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit(_table(spark, d, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the cut documents, and of the texts put together again from them."""
+    cut = restored(fill_in_middle(_table(spark, d, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{'restored' if c == 'text' else c}_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("text"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_components(_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_markov_scores": op9_markov_scores,
     "op10_source_mix": op10_source_mix,
+    "op11_source_audit": op11_source_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 _MIX_SQL = r"""
@@ -167,9 +188,67 @@ SELECT doc_id, item_id, n::BIGINT AS n_item_shingles, count(*) AS n_shared
 FROM doc_rows JOIN item_rows USING (width, x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n
 """
 
+_AUDIT_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS g FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(g)::HUGEINT AS n FROM counts GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(g, 0) AS g, 1 + (1000000000::HUGEINT * (coalesce(g, 0) + 5)) // (coalesce(s.n, 0) + 5 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (c + 5)) // (l.n + 5 * l.v) AS q
+  FROM groups JOIN kept USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(t.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) t
+  ON t.lang = a.lang AND t.source = a.source AND t.item = b.source),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE g > 0 AND p > q))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+_MIDDLE_SQL = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in [0, 1, 2, 3]] AS d FROM hashed),
+cut AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 90 THEN 'plain'
+      WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+_JACCARD_SQL = f"""
+WITH RECURSIVE docs AS ({_SHINGLES_SQL.format(id="doc_id", table="documents").replace(">= 5", ">= 4").replace("- 3)", "- 2)").replace("i + 4", "i + 3")}),
+sets AS (SELECT min(doc_id) AS rep, s FROM (SELECT doc_id, list_sort(s) AS s FROM docs WHERE len(s) > 0) GROUP BY s),
+one AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.x = b.x AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+comp AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM docs d LEFT JOIN sets t ON list_sort(d.s) = t.s LEFT JOIN comp c ON c.rep = t.rep
+"""
+
 ORACLE: dict[str, str] = {
     "op2_chat_format": _CHAT_SQL,
     "op4_near_duplicates": _NEAR_SQL,
     "op6_benchmark_leaks": _LEAKS_SQL,
     "op10_source_mix": _MIX_SQL,
+    "op11_source_audit": _AUDIT_SQL,
+    "op12_fill_in_middle": _MIDDLE_SQL,
+    "op13_ngram_jaccard": _JACCARD_SQL,
 }
