@@ -95,7 +95,8 @@ def strings_at(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array
 class Tally:
     """Occurrences and documents per group and term of the texts of a task, given out in parts of bounded size."""
 
-    def __init__(self):
+    def __init__(self, most: int = TALLY_ROWS):
+        self.most = most
         self.names: dict[tuple[str, str], int] = {}
         self.parts: list[tuple] = []
         self.size = 0
@@ -115,9 +116,9 @@ class Tally:
         at_term = first[at]
         self.parts.append((keys, of[at], g, docs, strings_at(data, begin[at_term], end[at_term])))
         self.size += len(keys)
-        if self.size > TALLY_ROWS:
+        if self.size > self.most:
             self._merge()
-            if 2 * self.size > TALLY_ROWS:
+            if 2 * self.size > self.most:
                 yield from self.rest()
 
     def _merge(self) -> None:
@@ -153,7 +154,10 @@ _COUNTED = "lang string, source string, term string, g long, docs long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
+    yield from _counted(batches, Tally())
+
+
+def _counted(batches: Iterator[pa.RecordBatch], tally: Tally) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, starts = utf8(batch.column(2))
         for lo, hi in slices(starts):

@@ -19,10 +19,11 @@ Equal sets are one class, and only classes sign.  In each bucket of a signature
 the least class, the hub, is compared with the others, all by their full sets, each set
 moved once per hub; many buckets have the same members, and each pair is compared once.
 Members of a bucket that are connected already need no comparison.  Buckets which still hold
-several components get a second and a third hub; the rest goes to blocks of bounded size:
-the largest component of the bucket in blocks of its own, each moved once per block of
-the others, and the others among themselves.  So no bucket is expanded into pairs,
-and a large group of near copies with some odd members costs in proportion to its size.
+several components are compared in blocks of bounded size, those that hang together as
+one family if that moves less: the largest component in blocks of its own, each moved once per block of
+the others, and the others among themselves.  If blocks would move too much, buckets
+get further hubs first.  So no bucket is expanded into pairs, and a large group of near
+copies with some odd members costs in proportion to its size.
 
 Links inside a component are not counted one by one: a group of n near copies has up to
 n^2/2 of them.  The component of each document is exact.
@@ -55,8 +56,10 @@ from pagequarry.sources.lineage import new_folder, remove_folder, written
 WIDTH, LEAST_PERCENT = 4, 85
 #: A band of sizes covers so many factors of 100 / percent.
 FACTORS = 5
-#: Rounds of signing for sets that run out of parts; hubs per bucket before blocks.
-ROUNDS, HUBS = 3, 3
+#: Rounds of signing for sets that run out of parts.
+ROUNDS = 3
+#: Hubs per bucket at most, before blocks; these come as soon as they move no set more often than this, on average.
+HUBS, COPIES = 4, 4
 #: Members of a hub compared in one task; sets and shingles of a block.
 HUB_MEMBERS, BLOCK_SETS, BLOCK_SHINGLES = 2048, 1024, 1 << 19
 #: Rows of places that may be sent to every executor: some 10 MB.
@@ -360,11 +363,11 @@ class _Join:
         self.met = written(buckets.mapInArrow(_met, "bucket long, cls long, hub long"))
         remove_folder(self.spark, folder)
 
-    def dealt(self, places: DataFrame) -> DataFrame:
-        """The sets at their places, each group sorted and whole in a task."""
-        places = written(places.join(self.kinds.select("cls", "rep"), "cls"))
+    def dealt(self, places: DataFrame, n: int) -> DataFrame:
+        """The sets at their ``n`` places, each group sorted and whole in a task."""
+        places = places.join(self.kinds.select("cls", "rep"), "cls")
         by_doc = places.groupBy("rep").agg(F.collect_list(F.struct("cls", "a", "b", "c", "side", "node")).alias("places"))
-        if places.count() <= PLACES_TO_SEND:
+        if n <= PLACES_TO_SEND:
             by_doc = F.broadcast(by_doc)
         texts = self.docs.join(by_doc, self.docs["doc_id"] == by_doc["rep"]).select("text", "places")
         key = ["a", "b", "c"]
@@ -381,11 +384,25 @@ class _Join:
         every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("b")
         own = hubs.select(F.col("hub").alias("cls"), F.col("hub").alias("a"), every, zero, F.lit(0).alias("side"))
         places = members.unionByName(own).join(self.kinds.select("cls", F.col("rep").alias("node")), "cls")
-        return written(self.dealt(places).mapInArrow(_against_hub(self.percent), "a long, b long"))
-
-    def joined(self, labels: DataFrame, edges: DataFrame) -> DataFrame:
-        known = labels.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        return written(connected(known.unionByName(edges)))
+        # a hub has as many places as salts, no more than members
+        return written(self.dealt(places, 2 * pairs.count()).mapInArrow(_against_hub(self.percent), "a long, b long"))
+
+    def near_labels(self, edges: DataFrame) -> DataFrame:
+        """``node, comp``: of each node with edges the least node within four steps, enough to tell most that are connected."""
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        near = both.join(least.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        near = near.select(F.col("a").alias("node"), F.least("a", "m").alias("at"))
+        return written(near.join(near.select(F.col("node").alias("at"), F.col("at").alias("comp")), "at").select("node", "comp"))
+
+    def components(self, edges: DataFrame) -> DataFrame:
+        """``node, comp`` of all nodes with edges: what near labels leave apart is connected by the steps of ``connected``."""
+        labels = self.near_labels(edges)
+        end = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        apart = edges.join(end("a"), "a").join(end("b"), "b").where("a_comp <> b_comp")
+        above = connected(apart.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+        above = above.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        return labels.join(above, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
 
     def members(self, rest: DataFrame, labels: DataFrame) -> DataFrame:
         """``bucket, cls, n, comp``."""
@@ -393,59 +410,89 @@ class _Join:
         own = own.join(labels, "node", "left").select("cls", "n", F.coalesce("comp", "node").alias("comp"))
         return rest.join(own, "cls").select("bucket", "cls", "n", "comp")
 
-    def labels(self, sure: DataFrame) -> DataFrame:
-        """``node, comp`` over all nodes that are linked."""
+    def edges(self, sure: DataFrame) -> DataFrame:
+        """Edges ``a, b`` of nodes that connect all that are linked, from the first ``sure`` ones."""
         named = self.kinds.select("cls", "n")
         pairs = self.met.select("hub", "cls").distinct().join(named, "cls")
         pairs = pairs.join(named.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n")), "hub")
-        edges = self.hub_edges(pairs.where(self._sizes("n", "hub_n")).select("hub", "cls"))
-        labels = written(connected(sure.unionByName(edges)))
+        edges = sure.unionByName(self.hub_edges(pairs.where(self._sizes("n", "hub_n")).select("hub", "cls")))
         rest = self.met.select("bucket", "cls")
         for turn in range(1, HUBS + 1):
-            rest = self.members(rest, labels)
+            rest = self.members(rest, self.near_labels(edges))
             open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cls").alias("hub"))
             open_ = open_.where("lo <> hi").select("bucket", "hub")
             rest = written(rest.join(open_, "bucket"))
             if rest.isEmpty():
-                return labels
-            if turn == HUBS:
-                return self.joined(labels, self.block_edges(rest))
+                return edges
+            groups, blocks = self.groups(rest)
+            moved, places = blocks.agg(F.sum("copies"), F.sum("places")).first()
+            if turn == HUBS or moved <= COPIES * groups.agg(F.sum("n")).first()[0]:
+                return edges.unionByName(self.block_edges(groups, blocks, places))
             hub = rest.where("cls = hub").select("bucket", F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
             pairs = rest.where("cls <> hub").join(hub, "bucket").where("comp <> hub_comp").where(self._sizes("n", "hub_n"))
-            labels = self.joined(labels, self.hub_edges(pairs.select("hub", "cls").distinct()))
+            edges = edges.unionByName(self.hub_edges(pairs.select("hub", "cls").distinct()))
             rest = rest.where("cls <> hub").select("bucket", "cls")
-        return labels
+        return edges
 
     def _sizes(self, a: str, b: str) -> str:
         return f"100L * least({a}, {b}) >= {self.percent}L * greatest({a}, {b})"
 
-    def block_edges(self, rest: DataFrame) -> DataFrame:
-        """Edges of components between the members of each bucket, compared in blocks."""
-        sums = rest.groupBy("bucket", "comp").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
-        sums = written(sums)
-        large = sums.groupBy("bucket").agg(F.max(F.struct("sets", "comp"))["comp"].alias("large"), (F.count("*") - 1).alias("comps"))
-        blocks = F.ceil(F.greatest(F.sum("shingles") / BLOCK_SHINGLES, F.sum("sets") / BLOCK_SETS)).cast("int")
+    def blocks(self, rows: DataFrame, *by: str) -> DataFrame:
+        """For each group of ``bucket, cls, n, comp``: its largest component, blocks of that and of the others, shingles and sets to move."""
+        by = [*by, "bucket"]
+        sums = rows.groupBy(*by, "comp").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+        large = sums.groupBy(*by).agg(F.max(F.struct("sets", "comp"))["comp"].alias("large"), (F.count("*") - 1).alias("comps"))
+        sums = sums.join(large, by).withColumn("is_large", F.col("comp") == F.col("large"))
+        of = lambda c, large: F.sum(F.when(F.col("is_large") == large, F.col(c)))
+        number = lambda large: F.ceil(F.greatest(of("shingles", large) / BLOCK_SHINGLES, of("sets", large) / BLOCK_SETS)).cast("int")
+        sizes = [of(c, large).alias(f"{c}_{large}") for c in ("shingles", "sets") for large in (True, False)]
+        out = sums.groupBy(*by, "large", "comps").agg(number(True).alias("many"), number(False).alias("few"), *sizes)
+        among = F.when(F.col("comps") > 1, F.col("few")).otherwise(0)
+        moved = [
+            (F.col(f"{c}_True") * F.col("few") + F.col(f"{c}_False") * (F.col("many") + among)).alias(name)
+            for c, name in (("shingles", "copies"), ("sets", "places"))
+        ]
+        return out.select(*by, "large", "comps", "many", "few", *moved)
+
+    def groups(self, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What is to be compared, ``bucket, cls, n, comp``, and its blocks.
+
+        Near copies meet in many buckets, each time others of them.  A bucket belongs to the family of the least
+        class among those that its members meet anywhere, and a small family needs its sets only once; of a
+        family and its buckets that counts which moves less.
+        """
+        family = F.min("family").alias("family")
+        of_bucket = rest.groupBy("bucket").agg(F.min("cls").alias("family"))
+        of_cls = rest.join(of_bucket, "bucket").groupBy("cls").agg(family)
+        of_bucket = rest.join(of_cls, "cls").groupBy("bucket").agg(family)
+        apart = written(rest.select("bucket", "cls", "n", "comp").join(of_bucket, "bucket").withColumn("whole", F.lit(False)))
+        whole = apart.select(F.col("family").alias("bucket"), "cls", "n", "comp", "family", F.lit(True).alias("whole")).distinct()
+        rows = written(apart.unionByName(whole))
+        blocks = written(self.blocks(rows, "family", "whole"))
+        copies = [F.coalesce(F.sum(F.when(F.col("whole") == w, F.col("copies"))), F.lit(0)) for w in (True, False)]
+        better = blocks.groupBy("family").agg((copies[0] <= copies[1]).alias("whole"))
+        key = ["family", "whole"]
+        return rows.join(better, key, "left_semi").drop(*key), written(blocks.join(better, key, "left_semi").drop(*key))
+
+    def block_edges(self, rows: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+        """Edges of components between the members of each group, compared in blocks."""
+        rows = rows.select("bucket", "cls", "comp").join(blocks, "bucket")
         is_large = F.col("comp") == F.col("large")
-        sides = sums.join(large, "bucket").groupBy("bucket", "large", "comps", is_large.alias("is_large")).agg(blocks.alias("blocks"))
-        of = sides.groupBy("bucket", "large", "comps").agg(
-            F.max(F.when(F.col("is_large"), F.col("blocks"))).alias("many"), F.max(F.when(~F.col("is_large"), F.col("blocks"))).alias("few")
-        )
-        rows = rest.select("bucket", "cls", "comp").join(of, "bucket")
         mix = F.xxhash64("cls")
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         common = [F.col("cls"), F.col("bucket").alias("a")]
         node = F.col("comp").alias("node")
         most = rows.where(is_large).withColumn("b", F.pmod(mix, F.col("many")).cast("int"))
         most = most.select(*common, "b", F.explode(upto("few")).alias("c"), F.lit(0).alias("side"), node)
-        rest = rows.where(~is_large).withColumn("own", F.pmod(mix, F.col("few")).cast("int"))
-        with_most = rest.select(*common, F.explode(upto("many")).alias("b"), F.col("own").alias("c"), F.lit(1).alias("side"), node)
+        others = rows.where(~is_large).withColumn("own", F.pmod(mix, F.col("few")).cast("int"))
+        with_most = others.select(*common, F.explode(upto("many")).alias("b"), F.col("own").alias("c"), F.lit(1).alias("side"), node)
         # blocks of the others with each other: numbered from -1 downwards
-        among = rest.where("comps > 1").select("*", F.explode(upto("few")).alias("other"))
+        among = others.where("comps > 1").select("*", F.explode(upto("few")).alias("other"))
         one, two = F.least("own", "other"), F.greatest("own", "other")
         side = F.when((F.col("own") < F.col("other")), 0).otherwise(1).alias("side")
         among = among.select(*common, (F.lit(-1) - one).alias("b"), two.alias("c"), side, node)
         places = most.unionByName(with_most).unionByName(among)
-        return written(self.dealt(places).mapInArrow(_in_blocks(self.percent), "a long, b long"))
+        return written(self.dealt(places, n).mapInArrow(_in_blocks(self.percent), "a long, b long"))
 
     def result(self) -> DataFrame:
         self.classes()
@@ -453,7 +500,7 @@ class _Join:
         of_doc = written(of_doc)
         several = of_doc.where("lo <> hi").select("doc_id", "lo")
         sure = self.rows.where("rep is not null").join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-        labels = self.labels(sure).select(F.col("node").alias("lo"), "comp")
+        labels = self.components(self.edges(sure)).select(F.col("node").alias("lo"), "comp")
         out = self.rows.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc.select("doc_id", "lo"), "doc_id", "left")
         out = out.join(labels, "lo", "left")
         return out.select("doc_id", "n_shingles", F.coalesce("comp", "lo", "doc_id").alias("component_id"))
