@@ -570,15 +570,25 @@ def _start(spark: SparkSession, d: str, groups: int = 1) -> DataFrame:
     return seed.select(F.explode(ids).alias("group_id"), "seed_pos", "base_url")
 
 
+_CRAWLED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _crawled_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Written once, since a crawl reads its pages for links and for articles."""
+    """What was fetched, written once per session: all crawls read the same pages, for links and for articles."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CRAWLED:
+        _CRAWLED[key] = _fetched(spark, d)
+    return _CRAWLED[key]
+
+
+def _fetched(spark: SparkSession, d: str) -> DataFrame:
     return written(_pages(spark, d).select("page_id", "url", "html").unionByName(_linked_pages(spark, d)))
 
 
 def _crawl(spark: SparkSession, d: str, spec: Spec | None = None, pages: DataFrame | None = None, **kw) -> DataFrame:
     spec = spec or Spec.from_dict(SPEC)
     pages = _crawled_pages(spark, d) if pages is None else pages
-    return scrape(spec, pages, as_of=AS_OF, start=_start(spark, d, 2), write_links=True, **kw)
+    return scrape(spec, pages, as_of=AS_OF, start=_start(spark, d, 2), **kw)
 
 
 def crawl_repeated_pages(spark: SparkSession, d: str) -> DataFrame:

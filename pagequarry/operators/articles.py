@@ -13,27 +13,22 @@ from ..functions.time import instant
 from ..functions.urls import netloc
 from ..plans.spec import Spec
 from .extract import components_json, shred_for
-from .links import latest_copy, packed, per_tree
+from ..sources.lineage import written
+from .fetch import latest_copy
+from .links import packed, per_tree
 
-# a broadcast of this many URLs stays within some megabytes
-BROADCAST_LINKS = 10_000
 
-
-def fetch_join(links: DataFrame, pages: DataFrame, at_most: int | None = None) -> DataFrame:
+def fetch_join(links: DataFrame, pages: DataFrame) -> DataFrame:
     """``(abs_url, html, wanted_by)``: the page of each link; links without a page drop out.
 
     Links are gathered per URL first (at most one per group of the spec), so a
-    page moves, and is later parsed, once.  URLs are then unique on both sides
-    of the join; of a page that was stored twice the copy with the greatest
-    ``page_id`` counts (without that column, one of them).  ``at_most`` is a bound on the number of links; only a small
-    one makes this a broadcast.  For pages saved with ``save_bucketed`` only
-    the links are shuffled.
+    page moves, and is later parsed, once.  Which copy of a page counts, and how
+    it is found, says ``latest_copy``.  For pages saved with ``save_bucketed``
+    only the links are shuffled.
     """
     place = F.struct("group_id", "seed_pos", "link_pos")
     wanted = links.groupBy("abs_url").agg(F.collect_list(place).alias("wanted_by"))
-    if at_most is not None and at_most <= BROADCAST_LINKS:
-        wanted = F.broadcast(wanted)
-    return latest_copy(wanted, "abs_url", pages)
+    return latest_copy(written(wanted), "abs_url", pages)
 
 
 def article_id(url: Column, components_json: Column) -> Column:

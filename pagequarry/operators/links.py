@@ -13,6 +13,7 @@ from ..functions.urls import absolute_url, is_malformed, is_valid_url
 from ..plans.spec import PageGroup, Selector, Spec
 from ..sources.lineage import written
 from .extract import components, shred_for, value_shape
+from .fetch import latest_copy
 from .seen import unseen
 
 
@@ -106,18 +107,6 @@ def _links_of(dom: str, selector: Selector) -> Column:
     )
 
 
-def latest_copy(wanted: DataFrame, url: str, pages: DataFrame) -> DataFrame:
-    """Join unique URLs with their pages; of a page stored twice the copy with the greatest ``page_id`` counts.
-
-    Only pages that are wanted are compared; without ``page_id`` one of them counts.
-    """
-    copy = F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
-    html = pages.select(F.col("url").alias("_url"), "html", copy.alias("_copy"))
-    found = wanted.join(html, wanted[url] == html["_url"])
-    place = F.row_number().over(W.partitionBy(url).orderBy(F.col("_copy").desc_nulls_last()))
-    return found.withColumn("_place", place).where("_place = 1").drop("_url", "_copy", "_place")
-
-
 def page_links(listing: DataFrame, spec: Spec) -> DataFrame:
     """All links of listing pages ``(base_url, html, wanted_by)``, one row each and group.
 
@@ -150,14 +139,17 @@ def absolute_links(links: DataFrame, strict: bool = True) -> DataFrame:
     return full.filter(_valid("abs_url", strict))
 
 
-def packed(seed_pos: str, link_pos: str, group_id: str | None = None) -> Column:
-    """A place in discovery order as one number of 38 digits, of which minima and maxima hash.
+#: A page has fewer links than this, and a run fewer than 5 * 10^8 groups; more are refused by an overflow.
+_LINKS, _SEEDS = 10**10, 2 * 10**29
 
-    9 digits for the group, 19 for the seed (any 64-bit position), 10 for the link.
-    """
-    group = F.lit("0" * 9) if group_id is None else F.lpad(F.col(group_id).cast("string"), 9, "0")
-    seed, link = (F.lpad(F.col(c).cast("string"), n, "0") for c, n in ((seed_pos, 19), (link_pos, 10)))
-    return F.concat(group, seed, link).cast("decimal(38,0)")
+
+def packed(seed_pos: str, link_pos: str, group_id: str | None = None) -> Column:
+    """A place in discovery order as one number, of which minima and maxima hash; seeds may have any 64-bit position."""
+    number = lambda c: F.col(c).cast("decimal(20,0)")
+    place = (number(seed_pos) * F.lit(_LINKS).cast("decimal(11,0)")).cast("decimal(30,0)") + number(link_pos)
+    if group_id is not None:
+        place = place + (F.col(group_id).cast("decimal(10,0)") * F.expr(f"cast({_SEEDS} as decimal(30,0))")).cast("decimal(38,0)")
+    return place.cast("decimal(38,0)")
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
@@ -168,11 +160,12 @@ def distinct_links(links: DataFrame) -> DataFrame:
     shuffle.
     """
     first = links.groupBy("group_id", "abs_url").agg(F.min(packed("seed_pos", "link_pos")).alias("place"))
-    digits = F.lpad(F.col("place").cast("string"), 38, "0")
+    size = F.lit(_LINKS).cast("decimal(11,0)")
+    link = F.pmod("place", size)
     return first.select(
         "group_id",
-        F.substring(digits, 10, 19).cast("bigint").alias("seed_pos"),
-        F.substring(digits, 29, 10).cast("int").alias("link_pos"),
+        ((F.col("place") - link) / size).cast("bigint").alias("seed_pos"),
+        link.cast("int").alias("link_pos"),
         "abs_url",
     )
 
@@ -198,7 +191,7 @@ def cap_links(links: DataFrame, limit: int | None, bucket: int = 4096) -> DataFr
     counts = (
         links.groupBy("group_id", "seed_pos")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.expr(f"seed_pos div {bucket}"))
+        .withColumn("bucket", F.expr(f"(seed_pos - pmod(seed_pos, {bucket})) div {bucket}"))
     )
     buckets = (
         counts.groupBy("group_id", "bucket")
@@ -238,13 +231,9 @@ def discover(
     before anything touches an article page.  ``start`` replaces the seed URLs
     of the spec by a table ``(group_id, seed_pos, base_url)``.
     """
-    if start is None:
-        # they come from the driver, so they are few; without the hint the planner, which
-        # does not know their size, would shuffle or broadcast the HTML
-        start = F.broadcast(seeds(pages.sparkSession, spec, strict))
-    else:
-        # written, so that the planner knows the size of the seeds
-        start = written(group_seeds(start.filter(_valid("base_url", strict))))
+    start = seeds(pages.sparkSession, spec, strict) if start is None else group_seeds(start.filter(_valid("base_url", strict)))
+    # written, since they are read several times
+    start = written(start)
     listing = latest_copy(start, "base_url", pages)
     links = distinct_links(absolute_links(page_links(listing, spec), strict))
     return cap_links(unseen(links, seen, as_of), limit)

@@ -24,20 +24,15 @@ def scrape(
     as_of: datetime | None = None,
     strict: bool = True,
     start: DataFrame | None = None,
-    write_links: bool = False,
 ) -> DataFrame:
     """The articles of a spec.
 
-    One lazy plan, unless ``write_links``: then the links are found first and
-    written down.  They are small next to the pages, and the planner, knowing
-    their size, does not shuffle the HTML to fetch a few of them.
+    The links are found first and written down: they are small next to the
+    pages, and knowing them, only the HTML they ask for is moved.
     """
     now = as_of or datetime.now()
     links = discover(pages, spec, seen, limit, now, strict, start)
-    if write_links and limit is None:  # a limit has them written already
-        links = written(links)
-    at_most = None if limit is None else max(limit, 1) * len(spec.groups)
-    found = extract_groups(fetch_join(links, pages, at_most), spec, now)
+    found = extract_groups(fetch_join(links, pages), spec, now)
     return articles(found, spec, now)
 
 
@@ -57,7 +52,7 @@ def run_all(
     as_of: datetime | None = None,
 ) -> DataFrame:
     """The articles of several specs, one per id."""
-    return unique_ids(written(scrape(merged(specs), pages, seen, limit, as_of, write_links=True)))
+    return unique_ids(written(scrape(merged(specs), pages, seen, limit, as_of)))
 
 
 @dataclass
@@ -119,7 +114,7 @@ def run(
         seen = seen_store.read(spark, run_id)
     # written once: sinks, notice and seen table all read it
     one = spec if isinstance(spec, Spec) else merged(spec)
-    found = written(scrape(one, pages, seen, limit, now, strict, write_links=True))
+    found = written(scrape(one, pages, seen, limit, now, strict))
     if one is not spec:
         found = written(unique_ids(found))
     stored = deliver(found, run_id, sinks or [("noop", {})], notify, seen_store, ttl, now)

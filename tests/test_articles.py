@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators.articles import domain_counts, done_message, fetch_join, unique_ids
+from pagequarry.operators.fetch import latest_copy
+from pagequarry.sources.lineage import written
 from pagequarry.operators.links import seeds
 from pagequarry.plans.runs import merged, run, run_all, scrape
 from pagequarry.plans.spec import Spec
@@ -249,7 +251,7 @@ def test_several_specs_in_one_pass(spark, pages, tmp_path):
     r = run(spark, [spec, spec], pages, as_of=NOW, sinks=[("log", {"path": f"{tmp_path}/log"})])
     assert r.articles.count() == r.stored.count() == 3
     plans = [scrape(s, pages, as_of=NOW)._jdf.queryExecution().executedPlan().toString() for s in (spec, merged([spec] * 3))]
-    assert plans[0].count("Scan ExistingRDD") == plans[1].count("Scan ExistingRDD")
+    assert plans[0].count("Scan parquet") == plans[1].count("Scan parquet")
 
 
 def test_latest_copy_of_a_page_counts(spark, pages):
@@ -266,8 +268,7 @@ def test_seeds_of_a_spec_do_not_shuffle_the_html(spark, pages, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/pages")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
     try:
-        start = F.broadcast(seeds(spark, Spec.from_dict(SPEC)))
-        plan = start.join(stored, start["base_url"] == stored["url"])._jdf.queryExecution().executedPlan().toString()
+        plan = latest_copy(written(seeds(spark, Spec.from_dict(SPEC))), "base_url", stored)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -310,17 +311,3 @@ def test_seen_store(spark, pages, tmp_path, kind):
     fresh = store.compact(spark, f"{tmp_path}/compact", NOW + timedelta(days=15))
     assert fresh.read(spark).count() == 0
     assert SEEN_STORES["noop"]().read(spark) is None
-
-
-def test_bucketed_pages_are_not_shuffled(spark, pages, tmp_path):
-    save_bucketed(pages, "bucketed_pages", 4, f"{tmp_path}/pages")
-    links = spark.createDataFrame([(0, 0, i, u) for i, u, _ in PAGES], "group_id int, seed_pos int, link_pos int, abs_url string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = fetch_join(links, spark.table("bucketed_pages"))
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
-        assert joined.count() == 4
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP TABLE bucketed_pages")
