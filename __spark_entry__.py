@@ -38,6 +38,7 @@ from pagequarry.operators.quality import broken_rules
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
 from pagequarry.plans.runs import merged, scrape
 from pagequarry.plans.spec import Spec, parse_selector
+from pagequarry.sources.generations import SeenGenerations
 from pagequarry.sources.lineage import new_folder, written
 from pagequarry.sources.pages import decode_pages, read_pages, spread
 from pagequarry.sources.seen_store import SeenFiles
@@ -516,6 +517,16 @@ def seen_two_runs(spark: SparkSession, d: str) -> DataFrame:
     return store.read(spark)
 
 
+def seen_generations(spark: SparkSession, d: str) -> DataFrame:
+    """A seen store of merged generations after five runs, a day apart: pages divisible by 2, then by 3, and so on."""
+    store, pages = SeenGenerations(new_folder(spark, "seen"), ratio=2), _pages(spark, d)
+    for k in range(5):
+        at = AS_OF + timedelta(days=k)
+        some = pages.filter(F.col("page_id") % (k + 2) == 0).select("url")
+        store.add(mark_seen(None, some, timedelta(days=30), at), str(k), at)
+    return store.read(spark)
+
+
 def _down(df: DataFrame, run_id: str | None = None) -> DataFrame:
     raise RuntimeError("down")
 
@@ -768,6 +779,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "keyed_two_runs": keyed_two_runs,
     "seen_two_runs": seen_two_runs,
+    "seen_generations": seen_generations,
     "done_after_failures": done_after_failures,
 }
 

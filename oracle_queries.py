@@ -218,6 +218,9 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
     "keyed_two_runs": f"WITH {HEAD} SELECT id, url FROM ident QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id % 3 <> 0, page_id) = 1",
     "seen_two_runs": "SELECT url, max(CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-23' ELSE TIMESTAMP '2024-01-22' END) AS expiration_date "
     "FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 GROUP BY url",
+    "seen_generations": "SELECT url, max(CASE WHEN page_id % 6 = 0 THEN TIMESTAMP '2024-02-23' WHEN page_id % 5 = 0 THEN TIMESTAMP '2024-02-22' "
+    "WHEN page_id % 4 = 0 THEN TIMESTAMP '2024-02-21' WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-02-20' ELSE TIMESTAMP '2024-02-19' END) AS expiration_date "
+    "FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0 GROUP BY url",
     "per_domain_counts": f"WITH {HEAD} SELECT host AS domain, count(DISTINCT id) AS n_articles FROM ident GROUP BY host",
     "total_count": f"WITH {HEAD} SELECT count(DISTINCT id) AS n_articles FROM ident",
     "stream_headlines": f"WITH {HEAD} SELECT page_id, components FROM art",

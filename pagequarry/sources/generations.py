@@ -2,8 +2,9 @@
 
 Every run adds a folder of its own entries, one per URL.  Whenever enough runs of
 one generation have gathered, they are merged into one of the next, which keeps
-the latest entry per URL and drops what has expired; so the number of folders to
-read grows with the logarithm of the number of runs.  What counts is listed in a
+the latest entry per URL; so the number of folders to read grows with the
+logarithm of the number of runs.  What has expired is dropped by merges that no
+older entries lie below: elsewhere an expired entry still hides an earlier one.  What counts is listed in a
 manifest.  A manifest is a new file, ``manifest/<version>``, moved into place
 whole: a reader sees the folders before a merge or after it, and a merge that ends
 half-way leaves nothing but folders that no manifest lists.
@@ -42,11 +43,7 @@ class Part:
 
 
 class SeenGenerations:
-    """Entries below ``path`` as Parquet, in generations; a ``SeenStore``.
-
-    ``horizon`` bounds nothing that is asked for: entries that have expired when a
-    merge happens are dropped, since no later moment can see them as live.
-    """
+    """Entries below ``path`` as Parquet, in generations; a ``SeenStore``."""
 
     def __init__(self, path: str, ratio: int = RATIO):
         if ratio < 2:
@@ -148,9 +145,11 @@ class SeenGenerations:
 
     def _merge(self, spark: SparkSession, parts: list[Part], due: list[Part], generation: int, as_of: datetime | None) -> None:
         folder = f"g{generation}-{uuid.uuid4().hex}"
-        live = self._latest(self._rows(spark, due)).where(F.col("expiration_date") > moment(as_of))
-        live.select("url", "expiration_date", "stored").write.parquet(f"{self.path}/parts/{folder}")
+        rest = [p for p in parts if p not in due]
+        latest = self._latest(self._rows(spark, due))
+        if not any(p.generation >= generation for p in rest):
+            latest = latest.where(F.col("expiration_date") > moment(as_of))
+        latest.select("url", "expiration_date", "stored").write.parquet(f"{self.path}/parts/{folder}")
         runs = tuple(r for p in due for r in p.runs)
         at = parts.index(due[0])
-        rest = [p for p in parts if p not in due]
         self._switch(spark, [*rest[:at], Part(folder, generation, runs), *rest[at:]])

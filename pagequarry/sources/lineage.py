@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def _file_system(spark: SparkSession, folder: str):
+def file_system(spark: SparkSession, folder: str):
+    """The file system of a folder, and its path there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
@@ -33,7 +34,7 @@ def _file_system(spark: SparkSession, folder: str):
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A place for a new table below the shared folder; it is removed when the session's JVM ends."""
     folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    system, path = _file_system(spark, folder)
+    system, path = file_system(spark, folder)
     system.mkdirs(path)
     system.deleteOnExit(path)
     for made in _MADE:
@@ -58,7 +59,7 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
 
 def remove_folder(spark: SparkSession, table: str) -> None:
     """Remove what ``new_folder`` named, when nothing reads it any more."""
-    system, path = _file_system(spark, table.removesuffix("/rows"))
+    system, path = file_system(spark, table.removesuffix("/rows"))
     system.delete(path, True)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.time import moment
 from ..operators.seen import prune
+from .generations import SeenGenerations
 from .pages import SEEN
 
 
@@ -81,4 +82,5 @@ SEEN_STORES = {
     "noop": NoSeen,
     "file": lambda path: SeenFiles(path, "json"),
     "table": lambda path: SeenFiles(path, "parquet"),
+    "generations": SeenGenerations,
 }
