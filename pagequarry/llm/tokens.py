@@ -18,9 +18,9 @@ Every document ends with the end id.  Defined cases: a null or empty text has th
 end id only; rows without ``doc_id`` come first; rows that share one are in the
 order of their texts; an empty table gives an empty file and no rows.
 
-Differs from the library's default: a text that spells a special token, such as
-``<|endoftext|>``, is encoded like any other text (``encode_special_tokens``), so that
-the end id stands only at ends of documents; ids, checksum and later starts differ then.
+A text that spells a special token, such as ``<|endoftext|>``, gets the id of that token,
+as the library has it; documents are told apart by the boundaries, not by an id.  Other
+columns are not looked at; a text is encoded whole, however long it is.
 """
 
 from __future__ import annotations
@@ -104,7 +104,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}

@@ -311,7 +311,6 @@ def library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     return path, lambda t: plain.encode(t or "", add_special_tokens=False).ids
 
 
@@ -321,13 +320,17 @@ def test_pieces_are_encoded_like_whole_texts():
     path, encode = library()
     coder, rng = Encoder(path), random.Random(3)
     some = [" ", " ,", "  ", "\n", "\t", "a", "B", "é", "1", "23", "'s", "'", "!!", "\x1c", "\x85", "\xa0", "　", "日本", "😀", "Ġ", "don't", "\r\n"]
+    some += ["<|endoftext|>", "<|endoftext|", "|>"]
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     for t, blob in zip(texts, coder.encode(texts)):
         assert np.frombuffer(blob, coder.dtype).tolist() == encode(t)
 
 
-def test_token_files(docs, no_docs, rows):
+def test_token_files(spark, docs, no_docs, rows):
     _, encode = library()
+    spelled = [(20, "a <|endoftext|> b", None, None, None), (21, "<|endoftext|><|endoftext|>", None, None, None)]
+    rows = rows + spelled
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(spelled, DOCS).select("doc_id", "text"))
     start, want = 0, []
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = encode(text) + [0]
