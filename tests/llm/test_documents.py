@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import lower, shingles, words
+from cases import DOCS, lower, shingles, words
 from pyspark.sql import functions as F
 
 from pagequarry.llm import hmm, neardup, repeats
