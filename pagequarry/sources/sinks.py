@@ -96,17 +96,20 @@ def write_files(df: DataFrame, path: str, run_id: str | None = None) -> DataFram
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file_key, article)``: what each file holds after all runs.
 
-    The latest article of a file counts; of equal times the one stored last.
+    The latest article of a file counts; of equal times the one stored last, and of
+    those the one of the greatest run id, which is the later run unless ids were given.
     """
     rows = spark.read.schema(
         "file_key string, article string, scrape_time timestamp, stored timestamp, run string"
     ).json(path)
-    when = F.struct(F.unix_micros("scrape_time").alias("scraped"), F.unix_micros("stored").alias("stored"))
-    # 19 digits each, so that the maximum is of a number and hashes
-    digits = [F.lpad(when[c].cast("string"), 19, "0") for c in ("scraped", "stored")]
-    rows = rows.withColumn("_at", F.concat(*digits).cast("decimal(38,0)"))
+    # microseconds have 19 digits at most, so the two make one number, whose maximum hashes
+    scraped, stored = (F.coalesce(F.unix_micros(c), F.lit(0)).cast("decimal(19,0)") for c in ("scrape_time", "stored"))
+    rows = rows.withColumn("_at", (scraped * F.expr("cast(10000000000000000000 as decimal(20,0))")).cast("decimal(38,0)") + stored)
     last = rows.groupBy("file_key").agg(F.max("_at").alias("_at"))
-    return rows.join(last, ["file_key", "_at"]).dropDuplicates(["file_key"]).select("file_key", "article")
+    tied = rows.join(last, ["file_key", "_at"])
+    # a run stores a file once, so the run decides
+    run = tied.groupBy("file_key").agg(F.max("run").alias("run"))
+    return tied.join(run, ["file_key", "run"]).select("file_key", "article")
 
 
 @register_sink("keyed")
