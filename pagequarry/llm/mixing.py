@@ -128,9 +128,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 
 def mixed_documents(
-    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, whole_texts: bool = False
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; at a cut, the first words of a text.
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    At a cut, the first words of a text; with ``whole_texts`` no text is cut: a row at the cut is taken or left by a
+    hash of its text, with the share of its words that are due, so a source's words differ from its budget by less
+    than that document (all rows of it, if an id is shared).  Copies of a row are then decided alike.
 
     Rows without words are kept once, since they cost nothing.  A repeated
     ``text`` keeps its white space; ``n_chars``, if there is one, follows a cut text.
@@ -148,6 +152,11 @@ def mixed_documents(
     rows = rows.withColumn("_taken", _taken(F.col("_size"), _key(row["doc_id"]), row["doc_id"]))
     whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(1)
     left = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
+    if whole_texts:
+        at_cut = (_key(row["doc_id"]) == F.col("cut_key")) & row["doc_id"].eqNullSafe(F.col("cut_id"))
+        due = F.pmod(F.xxhash64(row["text"]), F.col("cut_size")) < F.col("cut_words")
+        whole = F.when((F.col("_size") > 0) & at_cut, F.col("epochs") + due.cast("long")).otherwise(whole)
+        left = F.lit(0).cast("long")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.filter(F.array(left), lambda n: n > 0))
     rows = rows.select("_row", F.explode(copies).alias("_words"))
     chunks = F.split(row["text"], r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")

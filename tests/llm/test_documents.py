@@ -443,3 +443,23 @@ def test_mixed_documents_hold_the_words_taken(docs, no_docs):
     held = {r.source: r.n for r in rows.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("n")).collect()}
     assert held == taken
     assert mixed_documents(no_docs).collect() == []
+
+
+def test_mixed_documents_take_whole_texts(docs, no_docs, rows):
+    plan = {r.source: r for r in mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = mixed_documents(docs, whole_texts=True)
+    assert got.columns == docs.columns
+    texts = {r[1] for r in rows}
+    held, by_id = Counter(), defaultdict(list)
+    for r in got.collect():
+        assert r.text in texts
+        held[r.source] += len(words(r.text))
+        by_id[r.source, r.doc_id].append(len(words(r.text)))
+    units = Counter()
+    for doc_id, text, *_ in rows:
+        units[doc_id] += len(words(text))
+    for source, r in plan.items():
+        assert abs(held[source] - r.n) <= max(units.values())
+    again = mixed_documents(docs.repartition(5), whole_texts=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    assert mixed_documents(no_docs, whole_texts=True).collect() == []
