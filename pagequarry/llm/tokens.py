@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from pagequarry.sources.lineage import new_folder, written
 
 SEGMENT_IDS = 1 << 20
-#: Encoded pieces a worker remembers.
-MEMORY = 1_000_000
+#: Bytes of encoded pieces a worker remembers, and what one takes besides its text and ids.
+MEMORY_BYTES = 1 << 26
+PIECE_BYTES = 180
 
 FILE_SCHEMA = (
     "part int, seg long, n_ids long, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary"
@@ -107,6 +108,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         # ids whose text begins with a space, in the vocabulary's spelling
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
@@ -137,9 +139,12 @@ class Encoder:
         split = list(map(_PIECES.split, texts))
         firsts = [p.pop(0) for p in split]
         known = self.known
-        if len(known) > MEMORY:
+        if self.known_bytes > MEMORY_BYTES:
             known.clear()
-        self.learn(list(set().union(*split).difference(known)))
+            self.known_bytes = 0
+        new = list(set().union(*split).difference(known))
+        self.learn(new)
+        self.known_bytes += len(new) * PIECE_BYTES + sum(map(len, new)) + sum(map(len, map(known.__getitem__, new)))
         get = known.__getitem__
         return [a + b"".join(map(get, p)) for a, p in zip(self._ids(firsts), split)]
 
