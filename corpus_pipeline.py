@@ -1,4 +1,9 @@
-"""A corpus of documents, ready for training: filtered, without near copies and benchmark items, mixed, encoded."""
+"""A corpus of documents, ready for training: filtered, without near copies and benchmark items, mixed, encoded.
+
+Null and empty texts fail the quality rules; repeated rows are one group of near copies, of which one row stays; equal
+keys at a source's cut are decided by a hash of the text; an empty table passes every stage and gives no rows; other
+columns go along up to the token files, which have their own. Texts of any length go through whole.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +33,8 @@ def without_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixed_documents(docs)
+    """Documents as often as the mix of sources takes them, each text whole."""
+    return mixed_documents(docs, whole_texts=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
