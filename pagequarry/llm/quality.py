@@ -43,23 +43,42 @@ def words_of(text: Column) -> Column:
 
 
 def _windows(words: Column) -> Column:
-    """Three-word windows by hash, then by place."""
+    """Hashes of the three-word windows, in order."""
+    places = F.sequence(F.lit(0), F.size(words) - 3)
+    window = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(3)]))
+    return F.when(F.size(words) > 2, window)
 
-    def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(3)]).alias("h"), i.alias("i"))
 
-    places = F.sequence(F.lit(0), F.size(words) - 3)
-    return F.when(F.size(words) > 2, F.sort_array(F.transform(places, window)))
+#: Bits of a window's place beside the high bits of its hash.
+PLACE_BITS = 31
 
 
-def _repeated(windows: Column) -> Column:
-    """Places of the windows found twice, ascending: those with an equal neighbour."""
+def _neighbours(sorted_: Column, value) -> Column:
+    """The elements with a neighbour of equal value."""
 
     def twice(w: Column, k: Column) -> Column:
-        after, before = F.get(windows, k + 1)["h"] == w["h"], F.get(windows, k - 1)["h"] == w["h"]
+        after, before = value(F.get(sorted_, k + 1)) == value(w), value(F.get(sorted_, k - 1)) == value(w)
         return F.coalesce(after, F.lit(False)) | F.coalesce(before, F.lit(False))
 
-    return F.sort_array(F.transform(F.filter(windows, twice), lambda w: w["i"]))
+    return F.filter(sorted_, twice)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``_places``: places of the ``_windows`` found twice, ascending.
+
+    Texts without an equal hash are done.  In others half of each hash and the place are sorted as one number; only
+    what has an equal neighbour there is sorted by its whole hash.
+    """
+    windows, none = F.col("_windows"), F.array().cast("array<bigint>")
+    packed = F.transform(windows, lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long")))
+    some = F.size(F.array_distinct(windows)) < F.size(windows)
+    rows = with_once(rows, "_packed", F.when(some, F.sort_array(packed)).otherwise(none))
+    near = _neighbours(F.col("_packed"), lambda w: F.shiftright(w, PLACE_BITS))
+    place = lambda w: w.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    whole = F.transform(near, lambda w: F.struct(F.get(windows, place(w)).alias("h"), place(w).alias("i")))
+    rows = with_once(rows, "_near", F.sort_array(whole))
+    places = F.transform(_neighbours(F.col("_near"), lambda w: w["h"]), lambda w: w["i"])
+    return with_once(rows, "_places", F.sort_array(places))
 
 
 def _covered(places: Column) -> Column:
@@ -117,20 +136,19 @@ def _constant(ratio: DataFrame) -> Column:
 def _measured(rows: DataFrame, text: Column, ratio: Column) -> DataFrame:
     """``rows`` with ``_words`` and the columns of ``quality``, named with a leading underscore."""
     rows = with_once(rows, "_words", words_of(text))
-    rows = with_once(rows, "_windows", _windows(F.col("_words")))
+    rows = _repeated(with_once(rows, "_windows", _windows(F.col("_words"))))
     rows = with_once(rows, "_grams", _grams(F.col("_words")))
     words, grams = F.col("_words"), F.col("_grams")
     blank = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(blank, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-    zero = F.lit(0).cast("long")
     rows = with_once(rows, "_lines", lines)
     rows = rows.select(
         "*",
         F.size(words).cast("long").alias("_n_words"),
-        F.aggregate(words, zero, lambda n, w: n + F.length(w)).alias("_word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("_word_chars"),
         (F.length(blank) - F.length(F.regexp_replace(blank, SYMBOLS, ""))).cast("long").alias("_n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
-        _covered(_repeated(F.col("_windows"))).alias("_n_repeat_words"),
+        _covered(F.col("_places")).alias("_n_repeat_words"),
         F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(ratio, b)).alias("_sum"),
         F.size(grams).alias("_n_grams"),
     )
