@@ -2,7 +2,9 @@
 
 A page is parsed into blocks of text.  Menus, headers, footers, sidebars, adverts,
 notices, forms, comments, lists of links outside an article or main element, and
-anything invisible are hidden; the markup is only a hint for these.
+anything invisible are hidden; the markup is only a hint for these.  A form, or a menu
+left open, that holds the page's only article hides nothing, nor does one that holds
+all text of a page without an article, if a block has ``WRAPPED_WORDS`` words.
 
 All text of the pages, hidden or not, is laid end to end, host by host, and a suffix
 array finds the strings of ``LENGTH`` bytes, from the beginning of a word or up to the
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -69,6 +72,10 @@ HIDDEN = frozenset(
     "head script style noscript template nav footer aside form button select option textarea iframe svg object embed"
     " canvas audio video dialog menu datalist map".split()
 )
+#: Elements that hide their text but may hold a whole page, by design or because they were not closed.
+WRAPPERS = frozenset("form nav".split())
+#: Words of a block that shows that a wrapper holds a page, where there is no article.
+WRAPPED_WORDS = 20
 HIDDEN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class names and ids.
 HIDDEN_WORDS = frozenset(
@@ -95,6 +102,11 @@ class Blocks(HTMLParser):
         self.own = 0
         self.soft: set[int] = set()  # reasons that are only names
         self.void: set[int] = set()  # of these, such that hold the page's own part
+        self.wraps: set[int] = set()  # reasons that are wrappers
+        self.menus: set[int] = set()  # of these, menus: only an article in them is shown
+        self.wrapped: frozenset[int] = frozenset()  # reasons around the first own part that only names and wrappers hide
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag among the open elements
+        self.solid: list[int] = []  # places of open elements that are not inline
         self.last_reason = 0
         self.found_own = False
 
@@ -144,6 +156,8 @@ class Blocks(HTMLParser):
             # a name like "has-sidebar" on what holds the article says nothing
             self.found_own = True
             self.void |= self.reasons
+        elif own and not self.wrapped and not (self.reasons - self.soft - self.wraps):
+            self.wrapped = self.reasons
         reason = 0
         if hard or soft:
             self.last_reason += 1
@@ -151,29 +165,48 @@ class Blocks(HTMLParser):
             self.reasons |= {reason}
             if soft:
                 self.soft.add(reason)
+            elif tag in WRAPPERS:
+                self.wraps.add(reason)
+                if tag == "nav":
+                    self.menus.add(reason)
         self.own += own
         self.links += tag == "a"
+        self.places[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.solid.append(len(self.open))
         self.open.append((tag, reason, own))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in VOID or not any(o[0] == tag for o in reversed(self.open)):
+        if tag in VOID or not self.places[tag]:
             if tag == "br":
                 self.pieces.append(" ")
             return
-        if tag in INLINE and any(o[0] not in INLINE for o in self.open[self._place(tag) + 1 :]):
+        if tag in INLINE and self.solid and self.solid[-1] > self.places[tag][-1]:
             return  # an inline element does not end the blocks inside it
         if tag not in INLINE:
             self.end_block()
         while True:
             closed, reason, own = self.open.pop()
+            self.places[closed].pop()
+            if closed not in INLINE:
+                self.solid.pop()
             self.reasons -= {reason}
             self.own -= own
             self.links -= closed == "a"
             if closed == tag:
                 return
 
-    def _place(self, tag: str) -> int:
-        return max(i for i, o in enumerate(self.open) if o[0] == tag)
+    def lift(self) -> None:
+        """Let wrappers hide nothing if the page's article, or without one all of its text, is inside."""
+        if self.found_own:
+            return
+        if self.wrapped:
+            self.void |= self.wrapped - self.menus
+        elif self.blocks and all(b[2] - self.void for b in self.blocks):
+            inside = [b for b in self.blocks if not (b[2] - self.wraps) and not b[3]]
+            text, _, reasons, _ = max(inside, key=lambda b: len(b[0]), default=("", False, frozenset(), False))
+            if len(text.split()) >= WRAPPED_WORDS:
+                self.void |= reasons
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
@@ -185,9 +218,10 @@ def parse(html: str | None) -> list[tuple[str, bool, bool]]:
     p.feed(html or "")
     p.close()
     p.end_block()
+    p.lift()
     out = []
     for text, own, reasons, linked in p.blocks:
-        hidden = bool(reasons - p.void)
+        hidden = bool(reasons - p.void - (p.wrapped if own and not p.found_own else frozenset()))
         out.append((text, own and not hidden, not own and not hidden and not linked))
     return out
 

@@ -4,6 +4,7 @@ import hashlib
 import html as markup
 import random
 import re
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -71,6 +72,27 @@ def test_parse():
     assert parse(None) == [] and parse("<![if x]><p>y") == [("y", False, True)]
 
 
+def test_wrappers_of_whole_pages_hide_nothing():
+    def shown(page):
+        return [b[0] for b in parse(page) if b[1] or b[2]]
+
+    form = "<body><form><header>top</header>{}<button>Send</button></form><footer>end</footer></body>"
+    assert shown(form.format("<main><h1>T</h1><p>text</p><form>mail</form></main>")) == ["T", "text"]
+    assert shown("<nav><ul><li>Home</ul><article><p>text</p></article>") == ["text"]
+    long = " ".join(f"word{i}" for i in range(30))
+    assert shown(form.format(f"<div>{long}</div>")) == [long]
+    assert shown(form.format("<label>Name</label>")) == []
+    assert shown(f"<form><article>card</article></form><article>{long}</article>") == [long]
+    assert shown(f"<form><p>{long}</p></form><p>text</p>") == ["text"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "x" + "</p>" * 100_000, "<b>" * 20_000 + "<div>x</b></div>" * 20_000])
+def test_end_tags_without_a_match_cost_little(page):
+    begin = time.perf_counter()
+    assert {b[0] for b in parse(page)} == {"x"}
+    assert time.perf_counter() - begin < 20
+
+
 def test_repeated_strings_go_from_open_pages(spark):
     common = "All rights reserved by the example company of this site in the year of writing."
     pages = [
