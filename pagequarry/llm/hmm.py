@@ -224,15 +224,16 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each sequence, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]), reverse=True)
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     done = 0
     for group in _batches(sequences):
         symbols, running = _padded(group)
         logs = np.zeros(len(group))
-        alpha = np.broadcast_to(model.start, (len(group), STATES))
+        alpha = np.broadcast_to(model.start[:, None], (STATES, len(group)))
         for t, n in enumerate(running):
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ model.move) * model.emit[symbols[t, :n]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
+            alpha = (alpha[:, :n] if t == 0 else move @ alpha[:, :n]) * emit.take(symbols[t, :n], axis=1)
+            scale = alpha.sum(0)
+            alpha /= scale
             logs[:n] += np.log10(scale)
         out[order[done : done + len(group)]] = logs
         done += len(group)
@@ -240,41 +241,50 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 class Expected:
-    """Expected counts of starts, moves and emissions."""
+    """Expected counts of starts, moves and emissions.
+
+    Arrays have the states in front and the sequences last, so that each operation runs
+    over long rows.  Within a batch numbers have single precision, each is scaled to
+    the sequence's position; sums over tokens have double precision.
+    """
 
     def __init__(self):
         self.start, self.move, self.emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
 
     def add(self, model: Model, sequences: list[np.ndarray]) -> None:
+        one = np.float32
+        emit = np.ascontiguousarray(model.emit.T, one)
+        onward, back = np.ascontiguousarray(model.move.T, one), np.ascontiguousarray(model.move, one)
         for group in _batches(sequences):
             symbols, running = _padded(group)
             steps, width = symbols.shape
-            emitted = model.emit[symbols]
-            alpha, scale = np.zeros((steps, width, STATES)), np.ones((steps, width, 1))
-            now = model.start
+            emitted = np.empty((STATES, steps, width), one)
+            for s in range(STATES):
+                emit[s].take(symbols, out=emitted[s], mode="clip")
+            alpha, over = np.zeros((steps, STATES, width), one), np.ones((steps, width), one)
+            now = np.broadcast_to(model.start.astype(one)[:, None], (STATES, width))
             for t, n in enumerate(running):
-                now = (now if t == 0 else now[:n] @ model.move) * emitted[t, :n]
-                scale[t, :n, 0] = total = now.sum(1)
-                now /= total[:, None]
-                alpha[t, :n] = now
-            # beta times emission over scale, of the running sequences only
-            ahead = np.zeros((steps, width, STATES))
-            beta, back = np.ones((width, STATES)), model.move.T.copy()
+                now = (now if t == 0 else onward @ now[:, :n]) * emitted[:, t, :n]
+                over[t, :n] = 1 / now.sum(0)
+                now *= over[t, :n]
+                alpha[t, :, :n] = now
+            # ahead: beta times emission over scale, of the running sequences only
+            beta, ahead, moves = np.ones((STATES, width), one), None, np.zeros((STATES, STATES))
             for t in range(steps - 1, -1, -1):
                 n = running[t]
-                if t + 1 < steps:
-                    m = running[t + 1]
-                    beta[:m] = ahead[t + 1, :m] @ back
-                np.multiply(emitted[t, :n], beta[:n] / scale[t, :n], out=ahead[t, :n])
-                alpha_beta = alpha[t, :n] * beta[:n]
-                emitted[t, :n] = alpha_beta  # from here on the posterior
-            self.start += emitted[0].sum(0)
-            if steps > 1:
-                self.move += model.move * (alpha[:-1].reshape(-1, STATES).T @ ahead[1:].reshape(-1, STATES))
-            mask = np.arange(width) < running[:, None]
-            flat, posterior = symbols[mask], emitted[mask]
+                if ahead is not None:
+                    m = ahead.shape[1]
+                    moves += alpha[t, :, :m] @ ahead.T
+                    beta[:, :m] = back @ ahead
+                ahead = emitted[:, t, :n] * beta[:, :n]
+                ahead *= over[t, :n]
+                np.multiply(alpha[t, :, :n], beta[:, :n], out=emitted[:, t, :n])  # from here on the posterior
+                emitted[:, t, n:] = 0
+            self.start += emitted[:, 0].sum(1, dtype=np.float64)
+            self.move += model.move * moves
+            flat = symbols.ravel()
             for s in range(STATES):
-                self.emit[:, s] += np.bincount(flat, posterior[:, s], SYMBOLS)
+                self.emit[:, s] += np.bincount(flat, emitted[s].ravel(), SYMBOLS)
 
 
 def _training(sent):

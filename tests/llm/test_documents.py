@@ -382,6 +382,30 @@ def test_forward_recursion_is_exact():
     assert expected.start.sum() == pytest.approx(len(sequences))
 
 
+def test_expected_counts_against_all_paths():
+    """The posterior of each state and move, summed over every path of states of short sequences."""
+    import itertools
+
+    rng = np.random.default_rng(9)
+    start, move, emit = rng.random(hmm.STATES), rng.random((hmm.STATES, hmm.STATES)), rng.random((hmm.SYMBOLS, hmm.STATES))
+    model = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    sequences = [rng.integers(0, 5, n) for n in (4, 1, 3, 3, 2)]
+    want = hmm.Expected()
+    for s in sequences:
+        paths = np.array(list(itertools.product(range(hmm.STATES), repeat=len(s))))
+        p = model.start[paths[:, 0]] * model.emit[s, paths].prod(1) * model.move[paths[:, :-1], paths[:, 1:]].prod(1)
+        p /= p.sum()
+        np.add.at(want.start, paths[:, 0], p)
+        for t, x in enumerate(s):
+            np.add.at(want.emit[x], paths[:, t], p)
+            if t:
+                np.add.at(want.move, (paths[:, t - 1], paths[:, t]), p)
+    got = hmm.Expected()
+    got.add(model, sequences)
+    for name in ("start", "move", "emit"):
+        assert getattr(got, name) == pytest.approx(getattr(want, name), rel=1e-4, abs=1e-6), name
+
+
 def test_scores(spark, docs, no_docs, rows):
     got = hmm.score(docs).collect()
     counts = Counter()
