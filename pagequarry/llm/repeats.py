@@ -91,29 +91,36 @@ def samples(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     grams = mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
     keys = (grams >> U(_POSITION) << U(_POSITION)) | np.arange(len(grams), dtype=U)
     least = (_window_minima(keys, LENGTH - GRAM + 1) & U((1 << _POSITION) - 1)).astype(np.int64)
-    row = np.searchsorted(starts, np.arange(len(least)), "right") - 1
-    inside = np.flatnonzero(np.arange(len(least)) + LENGTH <= starts[row + 1])
-    if not len(inside):
+    # strings of one text lie together: a stretch ends where the sample changes, or with the text's last string
+    room = np.maximum(np.diff(starts) - LENGTH + 1, 0)
+    rows = np.flatnonzero(room)
+    if not len(rows):
         return empty, empty, empty, np.zeros(0, U)
-    least, row = least[inside], row[inside]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(least) != 0) | (np.diff(row) != 0))))
-    count = np.diff(np.append(new, len(inside)))
-    return row[new], inside[new] - starts[row[new]], count, grams[least[new]]
-
-
-def _each_sampled(column) -> Iterator[tuple]:
-    """Row, place, strings, sample and a hash of the bytes of all stretches, a part of the texts at a time."""
+    fresh = np.concatenate(([True], least[1:] != least[:-1]))
+    fresh[starts[rows]] = True
+    past = starts[rows] + room[rows]
+    fresh[past[past < len(fresh)]] = True
+    new = np.flatnonzero(fresh)
+    count = np.diff(np.append(new, len(fresh)))
+    row = np.searchsorted(starts, new, "right") - 1
+    keep = np.flatnonzero(new < starts[row] + room[row])
+    new, row, count = new[keep], row[keep], count[keep]
+    return row, new - starts[row], count, grams[least[new]]
+
+
+def _each_sampled(column, hashed: bool = True) -> Iterator[tuple]:
+    """Row, place, strings, sample and a hash of the bytes (if wanted) of all stretches, a part of the texts at a time."""
     data, starts = utf8(column)
     for rows, offsets, ends in _parts(starts):
         part, at_0 = data[ends[0] : ends[-1]], ends - ends[0]
         row, at, count, sample = samples(part, at_0)
-        same = Prefixes(part)(at_0[row] + at, count + (LENGTH - 1)) if len(row) else sample
+        same = Prefixes(part)(at_0[row] + at, count + (LENGTH - 1)) if hashed and len(row) else sample
         yield np.array(rows, np.int64)[row], at + np.array(offsets, np.int64)[row], count, sample, same
 
 
 def _only_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, _, sample, _ in _each_sampled(batch.column(0)):
+        for _, _, _, sample, _ in _each_sampled(batch.column(0), hashed=False):
             yield pa.RecordBatch.from_arrays([pa.array(sample.view(np.int64))], names=["sample"])
 
 

@@ -21,18 +21,27 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 5)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the factor and of its inverse; they are kept, up to those of the longest text so far."""
+    if len(_POWERS[0]) < n:
+        for k, factor in enumerate((_P, _P_INVERSE)):
+            steps = np.full(1 << (n - 1).bit_length(), factor, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
 class Prefixes:
     """Polynomial hashes of any substring of ``s``."""
 
     def __init__(self, s: np.ndarray):
-        steps = np.full(len(s) + 1, _P, np.uint64)
-        steps[0] = 1
-        power = np.multiply.accumulate(steps)
-        steps[1:] = _P_INVERSE
-        self.inverse = np.multiply.accumulate(steps)
+        power, self.inverse = _powers(len(s) + 1)
         value = (s.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53)
         value ^= value >> np.uint64(31)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * power[:-1], dtype=np.uint64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * power[: len(s)], dtype=np.uint64)))
 
     def __call__(self, at: np.ndarray, length) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
