@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions.arrays import with_once
-from pagequarry.functions.dates import epoch_iso, iso_date
+from pagequarry.functions.dates import ZONE_MINUTES, epoch_iso, iso_date
 from pagequarry.functions.jsonpath import json_matches
 from pagequarry.functions.modifiers import regex_modifier
 from pagequarry.functions.text import strip
@@ -349,21 +349,33 @@ def epoch_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _date_text():
-    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
-
-    def fmt(pattern: str):
-        return F.date_format(day, pattern)
-
-    clock = F.format_string("%d:%02d", F.col("o_orderkey") % 12 + 1, F.col("o_orderkey") % 60)
-    return (
-        F.when(k == 0, F.concat(fmt("MMMM d, yyyy"), F.lit(", "), clock, F.lit(" PM")))
-        .when(k == 1, F.concat(fmt("yyyy-MM-dd'T'"), F.lit("05:38:21.000Z")))
-        .when(k == 2, F.concat(fmt("yyyy-MM-dd'T'"), F.lit("22:14:09+05:30")))
-        .when(k == 3, F.concat(F.lit("Changed "), clock, F.lit(" AM EST, "), fmt("EEE MMMM d, yyyy")))
-        .when(k == 4, F.concat(clock, F.lit(" PM GMT+2, "), fmt("MMM d, yyyy")))
-        .when(k == 5, F.concat(F.lit("posted on "), fmt("d MMM yyyy")))
-        .otherwise(fmt("MM/dd/yyyy"))
-    )
+    """The order's day in one of 14 forms, with a time of day and one of the 19 zones made from its key."""
+    key = F.col("o_orderkey")
+    hour, minute = key % 24, key % 60
+    minutes = F.make_dt_interval(hours=hour.cast("int"), mins=minute.cast("int"))
+    at = F.to_timestamp_ntz(F.col("o_orderdate").cast("date").cast("string")) + minutes
+    zone = F.get(F.array(*[F.lit(z) for z in sorted(ZONE_MINUTES)]), (key % len(ZONE_MINUTES)).cast("int"))
+    forms = [
+        ("", "d MMM yyyy HH:mm", True),
+        ("", "EEE, d MMM yyyy HH:mm:ss 'GMT'", False),
+        ("", "yyyy-MM-dd HH:mm", False),
+        ("", "yyyy/MM/dd", False),
+        ("", "yyyyMMdd", False),
+        ("", "MMMM d yyyy 'at' h:mm a", True),
+        ("", "yyyy-MM-dd'T'HH:mm'+03:00'", False),
+        ("", "yyyy-MMM-dd", False),
+        ("", "EEE MMM d HH:mm:ss yyyy", False),
+        ("", "yyyyMMdd'T'HHmmss'Z'", False),
+        ("", "EEE MMM dd HH:mm:ss '+0000' yyyy", False),
+        ("seen ", "MMMM d, yyyy 'by a guest'", False),
+        ("", "d MMMM yyyy, h:mm a 'UTC-3'", False),
+        ("", "MM/dd/yyyy HH:mm", False),
+    ]
+    out = None
+    for i, (before, pattern, with_zone) in enumerate(forms):
+        parts = [F.lit(before), F.date_format(at, pattern), *([F.lit(" "), zone] if with_zone else [])]
+        out = (F if out is None else out).when(key % len(forms) == i, F.concat(*parts))
+    return out
 
 
 def text_dates(spark: SparkSession, d: str) -> DataFrame:

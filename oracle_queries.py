@@ -88,7 +88,11 @@ NO_MARKUP = (
 )
 OPEN_TAGS = f"regexp_extract_all({NO_MARKUP}, '<([a-z][a-z0-9]*)[^>]*>', 1)"
 ARTICLE = "regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's')"
-CLOCK = "(o_orderkey % 12 + 1)"
+#: Offsets of the zones, in the order of their names: ACDT, ACST, AEDT, AEST, AWST, BST, CDT, CEST, CET, CST, EDT, EST, GMT, IST, MDT, MST, PDT, PST, UTC.
+ZONES = (
+    "['+10:30', '+09:30', '+11:00', '+10:00', '+08:00', '+01:00', '-05:00', '+02:00', '+01:00', '-06:00', '-04:00', '-05:00', "
+    "'+00:00', '+05:30', '-06:00', '-07:00', '-07:00', '-08:00', '+00:00']"
+)
 CRAWL = f"""
 WITH {NAV}, {HEAD}, alias AS (
   SELECT abs_url, min(page_id) AS page_id FROM abs WHERE pos = 0 GROUP BY abs_url
@@ -180,12 +184,10 @@ ORACLE = {
     "FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9.]+@[a-z.]+|[0-9]+|[A-Z][a-z]+')",
     "epoch_dates": "SELECT o_orderkey, CASE WHEN epoch(o_orderdate) >= 1000000000 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS iso FROM orders",
     "text_dates": f"""
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT') || CASE o_orderkey % 7
-  WHEN 0 THEN format('{{:02d}}:{{:02d}}:00', CASE WHEN {CLOCK} = 12 THEN 12 ELSE {CLOCK} + 12 END, o_orderkey % 60)
-  WHEN 1 THEN '05:38:21+00:00' WHEN 2 THEN '22:14:09+05:30'
-  WHEN 3 THEN format('{{:02d}}:{{:02d}}:00-05:00', {CLOCK} % 12, o_orderkey % 60)
-  WHEN 4 THEN format('{{:02d}}:{{:02d}}:00-02:00', CASE WHEN {CLOCK} = 12 THEN 12 ELSE {CLOCK} + 12 END, o_orderkey % 60)
-  ELSE '00:00:00' END AS iso FROM orders""",
+WITH o AS (SELECT o_orderkey, o_orderkey % 14 AS form, strftime(o_orderdate, '%Y-%m-%dT') AS day,
+  format('{{:02d}}:{{:02d}}:00', o_orderkey % 24, o_orderkey % 60) AS clock, {ZONES}[o_orderkey % 19 + 1] AS zone FROM orders)
+SELECT o_orderkey, day || CASE WHEN form IN (3, 4, 7, 11) THEN '00:00:00' ELSE clock END
+  || CASE WHEN form IN (0, 5) THEN zone WHEN form IN (1, 9, 10) THEN '+00:00' WHEN form IN (6, 12) THEN '+03:00' ELSE '' END AS iso FROM o""",
     "json_scalar": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "json_recursive": "SELECT event_id, json_extract_string(props, '$.k') || ',' || event_type || ',' || event_id AS ks FROM events",
     "json_repeated_keys": "SELECT event_id, event_type AS a FROM events",

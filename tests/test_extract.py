@@ -1,6 +1,7 @@
-"""Selector trees: the golden cases, CSS, extractors, modifiers and edge values."""
+"""Selector trees, CSS, extractors, modifiers and edge values."""
 
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pagequarry.functions.jsonpath import json_matches
@@ -9,165 +10,99 @@ from pagequarry.operators.extract import components, extract, shred_for
 from pagequarry.plans.spec import SpecError, parse_selector, resolve
 from pyspark.sql import functions as F
 
-PS = "<html><p>red</p><p>green</p><p>blue</p></html>"
-DIVS = "<html><div><h4>shop</h4><p>red</p><p>green</p></div><div><p>red</p><p>green</p><p>blue</p></div></html>"
-MIXED = (
-    "<html>\n<div><p>red</p> <p>green</p></div>\n<main><span>k1</span><span>k2</span></main>"
-    "<div><p>blue</p></div></html>"
-)
-SELF = "<html><div> <p>red</p><span>k1</span><p>green</p><span>k2</span></div></html>"
-NESTED = (
-    "<html><div><main><span>k1</span><span>k2</span></main><p>red</p><p>green</p></div>"
-    "<div><main><span>k1</span><p>blue</p></main><main><span>k2</span></main></div></html>"
-)
-RE = "<html><p>wind7 oak wind8</p><p>just elm there</p><p>wind3 text</p></html>"
-DATES = """<html>
-<p id="1">October 5, 2021, 8:41 AM</p><p id="2">2021-10-05T19:23:56.000Z</p>
-<p id="3">2021-10-05T06:02:37+00:00</p>
-<p id="4">Changed\n        10:58 AM EST, Tue October 5, 2021</p>
-<p id="5">Changed 3:27 PM GMT+2, October 5, 2021</p>
-<p id="6">1633430465000</p><p id="7">1633430465</p></html>"""
-JSON = """<html><script type="application/json">
-{"site": {"rows": [{"name": "ash"}, {"name": "fir"}], "size": 9317}, "x": 42, "t": true,
- "n": null, "f": 1.50, "s": "q\\"\\u00e9", "list": [1, 2, 3], "deep": [[{"name": 7}]],
- "items": [{"k": 1, "p": 5.5}, {"k": 2, "p": 9}], "big": 1e30, "o": {"a": [1, {"b": 2}]}}
-</script></html>"""
-
-
 def leaf(key, css=None, **kw):
     return {"key": key, **({"selector": css} if css else {}), **kw}
 
 
 ALL = {"select": "all"}
 DATE = {"modifiers": [{"type": "iso_date_parser"}]}
-CUT = {"type": "regex", "return": "first", "regex": ["[0-9]+:[0-9]{2}.*"]}
 
 
 def jp(key, path, **kw):
-    return leaf(key, "script", extract={"type": "jsonpath", "path": path}, **kw)
+    return leaf(key, "pre", extract={"type": "jsonpath", "path": path}, **kw)
 
 
-def date(i, cut=False):
-    mods = ([CUT] if cut else []) + DATE["modifiers"]
-    return leaf(str(i), f"[id='{i}']", modifiers=mods)
+def regex(*patterns, **kw):
+    return {"type": "regex", "regex": list(patterns), **kw}
 
 
-CASES = {
-    "first": (PS, leaf("k", "p", select="first"), {"k": "red"}),
-    "default first": (PS, leaf("k", "p"), {"k": "red"}),
-    "default any": (PS, leaf("k", **ALL), {"k": ["red", "green", "blue"]}),
-    "all": (PS, leaf("k", "p", **ALL), {"k": ["red", "green", "blue"]}),
-    "first/first": (DIVS, leaf("d", "div", child=leaf("p", "p")), {"d": {"p": "red"}}),
-    "first/all": (DIVS, leaf("d", "div", child=leaf("p", "p", **ALL)), {"d": {"p": ["red", "green"]}}),
-    "all/first": (
-        DIVS,
-        leaf("d", "div", **ALL, child=leaf("p", "p")),
-        {"d": [{"p": "red"}, {"p": "red"}]},
-    ),
-    "all/all": (
-        DIVS,
-        leaf("d", "div", **ALL, child=leaf("p", "p", **ALL)),
-        {"d": [{"p": ["red", "green"]}, {"p": ["red", "green", "blue"]}]},
-    ),
-    "document order": (
-        MIXED,
-        leaf("o", "div, main", **ALL, children=[leaf("p", "p", **ALL), leaf("s", "span", **ALL)]),
-        {"o": [{"p": ["red", "green"]}, {"s": ["k1", "k2"]}, {"p": ["blue"]}]},
-    ),
-    "include self": (
-        SELF,
-        leaf("i", "div p", child=leaf("p", "p", include_self="true")),
-        {"i": {"p": "red"}},
-    ),
-    "include self, container": (
-        SELF,
-        leaf("i", "div p", child=leaf("p", "div p", include_self=True)),
-        {"i": {"p": "red"}},
-    ),
-    "include self, no outside": (
-        SELF,
-        leaf("i", "div p", child=leaf("p", "html p", include_self=True)),
-        None,
-    ),
-    "ordered filter": (
-        SELF,
-        leaf(
-            "o", "div p, div span", **ALL,
-            children=[leaf("p", "p", include_self="true"), leaf("s", "span", include_self="true")],
-        ),
-        {"o": [{"p": "red"}, {"s": "k1"}, {"p": "green"}, {"s": "k2"}]},
-    ),
-    "nested multi": (
-        NESTED,
-        leaf(
-            "d", "div", **ALL,
-            children=[
-                leaf("p", "p", **ALL),
-                leaf("m", "main", **ALL, children=[leaf("s", "span", **ALL)]),
-            ],
-        ),
-        {"d": [
-            {"p": ["red", "green"]}, {"m": [{"s": ["k1", "k2"]}]},
-            {"p": ["blue"]}, {"m": [{"s": ["k1"]}, {"s": ["k2"]}]},
-        ]},
-    ),
-    "regex original": (
-        RE,
-        leaf("r", **ALL, modifiers=[{"type": "regex", "regex": [".*oak.*"]}]),
-        {"r": ["wind7 oak wind8"]},
-    ),
-    "regex first": (
-        RE,
-        leaf("r", **ALL, modifiers=[{"type": "regex", "return": "first", "regex": ["wind."]}]),
-        {"r": ["wind7", "wind3"]},
+FIRST = {"return": "first"}
+
+#: A recipe: lists in sections, one section inside another.
+RECIPE = """<html><body><h1>Flat <i>bread</i></h1>
+<section class="steps"><ol><li>Mix <b>flour</b> and water</li><li>Rest 20 min</li></ol><aside>Serves 4</aside></section>
+<section class="tips"><ul><li>Keeps 3 days</li></ul><section><ol><li>Bake at 240</li></ol></section></section>
+</body></html>"""
+RECIPE_TREES = [
+    (leaf("title", "h1"), "Flat bread"),
+    (leaf("step", "ol li", **ALL), ["Mix flour and water", "Rest 20 min", "Bake at 240"]),
+    (leaf("part", "section", child=leaf("line", "li")), {"line": "Mix flour and water"}),
+    # a section's lines hold those of the section in it
+    (
+        leaf("part", "section", **ALL, child=leaf("line", "li", **ALL)),
+        [{"line": ["Mix flour and water", "Rest 20 min"]}, {"line": ["Keeps 3 days", "Bake at 240"]}, {"line": ["Bake at 240"]}],
     ),
-    "regex order, invalid pattern": (
-        RE,
-        leaf("r", "p", modifiers=[{"type": "regex", "return": "first", "regex": ["(", "zzz", "oak", "wind7"]}]),
-        {"r": "oak"},
+    # parts without a find leave nothing behind
+    (leaf("part", "section", **ALL, child=leaf("bold", "b")), [{"bold": "flour"}]),
+    (leaf("part", "section", **ALL, child=leaf("image", "img")), None),
+    # blocks in page order, whatever the order in the selector; an element is below itself only with include_self
+    (
+        leaf("block", "aside, ol", **ALL, children=[leaf("last", "li:last-child"), leaf("note", "aside", include_self=True)]),
+        [{"last": "Rest 20 min"}, {"note": "Serves 4"}, {"last": "Bake at 240"}],
     ),
-    "regex dialect": (
-        "<html><p>a[b é1 x</p></html>",
-        leaf("r", "p", modifiers=[{"type": "regex", "return": "first", "regex": [r"(?P<q>[[])\w \w(?P=q)?\d"]}]),
-        {"r": "[b é1"},
+    (leaf("block", "aside", **ALL, children=[leaf("note", "aside")]), None),
+    # the wrapper is a div of its own, the element's ancestors are out of sight
+    (leaf("bold", "li b", child=leaf("word", "div > b", include_self="true")), {"word": "flour"}),
+    (leaf("bold", "li b", child=leaf("word", "ol b", include_self=True)), None),
+    (
+        leaf("tips", ".tips", **ALL, children=[leaf("tip", "ul li"), leaf("inner", "section", **ALL, children=[leaf("heat", "li", **ALL)])]),
+        [{"tip": "Keeps 3 days"}, {"inner": [{"heat": ["Bake at 240"]}]}],
     ),
-    "dates": (
-        DATES,
-        leaf("d", children=[date(1), date(2), date(3), date(4, True), date(5, True), date(6), date(7)]),
-        {"d": [
-            {"1": "2021-10-05T08:41:00"}, {"2": "2021-10-05T19:23:56+00:00"},
-            {"3": "2021-10-05T06:02:37+00:00"}, {"4": "2021-10-05T10:58:00-05:00"},
-            {"5": "2021-10-05T15:27:00-02:00"}, {"6": "2021-10-05T12:41:05"},
-            {"7": "2021-10-05T12:41:05"},
-        ]},
-    ),
-    "jsonpath": (
-        JSON,
-        leaf("j", children=[jp("one", "$.site.size"), jp("many", "$.site..name")]),
-        {"j": [{"one": "9317"}, {"many": ["ash", "fir"]}]},
-    ),
-    "jsonpath steps": (
-        JSON,
-        leaf("j", children=[
-            jp("deep", "$..name"), jp("idx", "$.list[1]"), jp("neg", "$.list[-1]"), jp("star", "$.list[*]"),
-            jp("cut", "$.list[0:2]"), jp("name", "$['site']['size']"), jp("bool", "$.t"), jp("none", "$.n"),
-            jp("float", "$.f"), jp("str", "$.s"), jp("fields", "$.site.rows[*].*"), jp("missing", "$.nope"),
-            jp("filter", "$.items[?(@.k > 1)].p"), jp("filter2", "$.items[?(@.k >= 1 & @.p < 6)].k"),
-            jp("big", "$.big"), jp("bare", "x"), jp("obj", "$.o.a[1]"),
-        ]),
-        {"j": [
-            {"deep": ["ash", "fir", "7"]}, {"idx": "2"}, {"neg": "3"}, {"star": ["1", "2", "3"]},
-            {"cut": ["1", "2"]}, {"name": "9317"}, {"bool": "True"}, {"none": "None"},
-            {"float": "1.5"}, {"str": 'q"é'}, {"fields": ["ash", "fir"]},
-            {"filter": "9"}, {"filter2": "1"}, {"big": "1e+30"}, {"bare": "42"}, {"obj": '{"b":2}'},
-        ]},
-    ),
-    "jsonpath, modifier keeps list": (
-        JSON,
-        jp("m", "$.site..name", modifiers=[{"type": "regex", "regex": ["h"]}]),
-        {"m": ["ash"]},
-    ),
-    "jsonpath on bad json": ("<html><script>{a:</script></html>", jp("m", "$.a"), None),
+    # children of a first selector look at the whole page, if it has a match
+    (leaf("tips", ".tips", children=[leaf("line", "section li", **ALL), leaf("title", "h1")]),
+     [{"line": ["Mix flour and water", "Rest 20 min", "Keeps 3 days", "Bake at 240"]}, {"title": "Flat bread"}]),
+    (leaf("tips", ".tricks", children=[leaf("title", "h1")]), None),
+    (leaf("twice", "ol", children=[leaf("li", "ul li"), leaf("li", "aside")]), [{"li": "Keeps 3 days"}, {"li": "Serves 4"}]),
+]
+
+LEDGER = """<html><table><tr><td>INV-0042 paid</td><td>12,50 EUR</td></tr><tr><td>INV-77 open</td><td>n/a</td></tr>
+<tr><td>credit [note] é1</td><td>-3 EUR</td></tr></table></html>"""
+LEDGER_TREES = [
+    # without a selector: every element; without a result mode: the first of them, the table
+    (leaf("any"), "INV-0042 paid12,50 EURINV-77 openn/a\ncredit [note] é1-3 EUR"),
+    (leaf("no", "td:first-child", **ALL, modifiers=[regex(r"^INV-\d+")]), ["INV-0042 paid", "INV-77 open"]),
+    (leaf("no", "td:first-child", **ALL, modifiers=[regex(r"\d{3,}", r"\d+", **FIRST)]), ["0042", "77", "1"]),
+    # patterns count in the order of the list, not of the text; what is no pattern is passed over
+    (leaf("sum", "td + td", modifiers=[regex("*x", "(", "EUR$", r"\d+", **FIRST)]), "EUR"),
+    (leaf("no", "td:first-child", **ALL, modifiers=[regex(r"INV-\d+", **FIRST), regex("7")]), ["INV-77"]),
+    (leaf("no", "td", **ALL, modifiers=[regex("USD")]), None),
+    (leaf("note", "tr:last-child td", modifiers=[regex(r"(?P<open>[[])\w+\] \w(?P=open)?\d", **FIRST)]), "[note] é1"),
+]
+
+HARBOUR = r"""<html><pre>{"berths": [{"ship": {"name": "Ida", "t": 310.50}, "free": false}, {"ship": null, "free": true},
+ {"ship": {"name": "Q\"\u00fc", "t": 1e21, "crew": [{"name": 4}]}}], "tide": [5, 8, 13, 21], "port": {"code": "NOR"}}</pre></html>"""
+HARBOUR_TREES = [
+    (jp("code", "$.port.code"), "NOR"),
+    (jp("code", "$['port']['code']"), "NOR"),
+    (jp("name", "$..name"), ["Ida", 'Q"ü', "4"]),
+    (jp("name", "$.berths[*].ship.name"), ["Ida", 'Q"ü']),
+    (jp("name", "$.berths..name", modifiers=[regex("^I")]), ["Ida"]),
+    (jp("tide", "$.tide[2]"), "13"),
+    (jp("tide", "$.tide[-1]"), "21"),
+    (jp("tide", "$.tide[1:3]"), ["8", "13"]),
+    (jp("tide", "tide[*]"), ["5", "8", "13", "21"]),
+    (jp("free", "$.berths[*].free"), ["False", "True"]),
+    (jp("ship", "$.berths[1].ship"), "None"),
+    (jp("load", "$.berths[?(@.free = false)].ship.t"), "310.5"),
+    (jp("load", "$.berths[2].ship.t"), "1e+21"),
+    (jp("port", "$.port"), '{"code":"NOR"}'),
+    (jp("none", "$.berths[7]"), None),
+]
+
+PAGES_OF_TREES = {"recipe": (RECIPE, RECIPE_TREES), "ledger": (LEDGER, LEDGER_TREES), "harbour": (HARBOUR, HARBOUR_TREES)}
+
+CASES = {
+    "jsonpath on bad json": ("<html><pre>{a:</pre></html>", jp("m", "$.a"), None),
     "attribute": (
         "<html><a href=' /x ' rel='a b' class=' c  d '>t</a><b rel='a b'>u</b><i class=''>v</i></html>",
         leaf("k", children=[
@@ -196,18 +131,6 @@ CASES = {
     ),
     "empty text stays": ("<html><p> </p><p>x</p></html>", leaf("k", "p", **ALL), {"k": ["", "x"]}),
     "no html element": ("<p>x</p>", leaf("k", "p"), None),
-    "multi first looks outside": (
-        DIVS,
-        leaf("d", "div", children=[leaf("p", "div p", **ALL)]),
-        {"d": [{"p": ["red", "green", "red", "green", "blue"]}]},
-    ),
-    "multi first needs a match": (DIVS, leaf("d", "h9", children=[leaf("p", "p")]), None),
-    "repeated keys": (
-        PS,
-        leaf("r", children=[leaf("p", "p"), leaf("p", "p:nth-of-type(2)")]),
-        {"r": [{"p": "red"}, {"p": "green"}]},
-    ),
-    "nothing in child": (DIVS, leaf("d", "div", **ALL, child=leaf("h", "h1")), None),
     "unicode blanks": ("<html><p>   a  b　</p></html>", leaf("k", "p"), {"k": "a  b"}),
     "script text on its own": ("<html><div>a<script>b</script>c</div></html>", leaf("k", "div"), {"k": "ac"}),
 }
@@ -223,9 +146,33 @@ def run(spark, html, raw):
 @pytest.mark.parametrize("name", CASES)
 def test_case(spark, name):
     html, raw, want = CASES[name]
-    spark.conf.set("spark.sql.session.timeZone", "Etc/GMT-2" if name == "dates" else "UTC")
+    assert run(spark, html, raw) == want
+
+
+@pytest.mark.parametrize("name", PAGES_OF_TREES)
+def test_trees_of_a_page(spark, name):
+    html, trees = PAGES_OF_TREES[name]
+    for raw, want in trees:
+        assert run(spark, html, raw) == (None if want is None else {raw["key"]: want}), raw
+
+
+def test_date_modifiers(spark):
+    """Times of a page in several forms, cut out by a pattern first; numbers are in the session's zone."""
+    at = datetime(2019, 3, 9, 17, 45, 30)
+    texts = {
+        "iso": (at.isoformat() + "+03:00", "2019-03-09T17:45:30+03:00"),
+        "words": (f"{at:%d %B %Y %H:%M}", "2019-03-09T17:45:00"),
+        "zone": (f"{at:%d %b %Y %H:%M} PST", "2019-03-09T17:45:00-08:00"),
+        "short": (str(int(at.replace(tzinfo=timezone.utc).timestamp())), "2019-03-09T20:45:30"),
+        "long": (f"{int(at.replace(tzinfo=timezone.utc).timestamp())}999", "2019-03-09T20:45:30"),
+        "none": ("soon", None),
+    }
+    html = "<html>" + "".join(f"<b class='{k}'>No. 7 | {t}</b>" for k, (t, _) in texts.items()) + "</html>"
+    mods = [regex("(?<=[|] ).*", **FIRST), {"type": "iso_date_parser"}]
+    raw = leaf("at", "b", children=[leaf(k, f".{k}", modifiers=mods) for k in texts])
+    spark.conf.set("spark.sql.session.timeZone", "Etc/GMT-3")
     try:
-        assert run(spark, html, raw) == want
+        assert run(spark, html, raw) == {"at": [{k: want} for k, (_, want) in texts.items() if want]}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -294,11 +241,11 @@ def test_css(spark):
 
 
 def test_typed_result(spark):
-    s = parse_selector(CASES["all/first"][1])
-    df = spark.createDataFrame([(1, DIVS)], "page_id int, html string")
+    s = parse_selector(leaf("part", "section", **ALL, child=leaf("line", "li")))
+    df = spark.createDataFrame([(1, RECIPE)], "page_id int, html string")
     out = extract(df, s)
     assert out.schema["components"].dataType.simpleString() == "array<struct<c0:string>>"
-    assert [r.c0 for r in out.collect()[0].components] == ["red", "red"]
+    assert [r.c0 for r in out.collect()[0].components] == ["Mix flour and water", "Keeps 3 days", "Bake at 240"]
 
 
 def test_common_selector(spark):
