@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm import hmm, neardup, repeats
 from pagequarry.llm.decontam import contaminated, decontaminated
-from pagequarry.llm.licenses import TEMPLATES, scan_licenses
+from pagequarry.llm.licenses import _PLAIN, TEMPLATES, Passages, Templates, scan_licenses
 from pagequarry.llm.mixing import mix, mixed_documents, n_words
 from pagequarry.llm.neardup import near_duplicates, without_near_duplicates
 from pagequarry.llm.quality import BUCKETS, SMOOTHING, THRESHOLD, good_documents, quality
 from pagequarry.llm.repeats import LENGTH, without_repeats
 from pagequarry.llm.suffixes import Prefixes, permuted_common_prefixes, suffix_array
 from pagequarry.llm.tokens import EliasFano, Encoder, tokenized
+from pagequarry.llm.words import utf8
 
 LABELS = "doc_id long, quality int, toxic int, text string, kept int"
 
@@ -360,6 +362,74 @@ def test_licences(spark, docs, no_docs):
     assert scan_licenses(docs).collect() == [] and scan_licenses(no_docs).collect() == []
 
 
+def best_passages(text, templates, least):
+    """All runs of sentences of a text against all templates, the best ones that do not overlap."""
+
+    def bigrams(t):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(t))
+        return set(zip(w, w[1:]))
+
+    sentences = [m.group() for m in re.finditer(r".*?(?:[.!?:;](?=[ \t\r\n]|$)|\n|$)", text, re.S) if m.group()]
+    known = [(name, bigrams(t)) for name in sorted(templates) for t in templates[name]]
+    runs = []
+    for i in range(len(sentences)):
+        for j in range(i, len(sentences)):
+            own = bigrams("".join(sentences[i : j + 1]))
+            for k, (name, want) in enumerate(known):
+                if 200 * len(own & want) >= least * (len(own) + len(want)):
+                    runs.append((-2 * len(own & want) / (len(own) + len(want)), j - i, i, k, j, name))
+    taken = []
+    for r in sorted(runs):
+        if all(r[4] < a or r[2] > b for a, b, *_ in taken):
+            taken.append((r[2], r[4], r[5], -r[0]))
+    return sorted(("".join(sentences[:a]).count("\n"), name, round(d, 9)) for a, _, name, d in taken)
+
+
+def test_passages_against_all_runs_of_sentences():
+    rng = random.Random(12)
+    vocabulary = "use of this work is free for all. any copy must keep notice; no warranty is given! ask us: first".split()
+    templates = {n: tuple(" ".join(rng.choices(vocabulary, k=k)) for k in sizes) for n, sizes in (("A", (4, 30)), ("B", (12,)), ("C", (60, 7)))}
+    known = Templates(templates, 80)
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            w = rng.choice(rng.choice(list(templates.values()))).split() if rng.random() < 0.6 else rng.choices([*vocabulary, "x.", "y"], k=rng.randrange(9))
+            w = [x for x in w if rng.random() > 0.03]
+            parts += [" ".join(w[: len(w) // 2]), rng.choice([" ", "\n", "\n\n", ". "]), " ".join(w[len(w) // 2 :]), rng.choice([" ", "\n", ".\n\n", "... "])]
+        texts.append("".join(parts))
+    data, starts = utf8(pa.array(texts))
+    got = defaultdict(list)
+    for row, w, begin, _, d in Passages(known, data, _PLAIN[data], starts).found():
+        line = bytes(data[starts[row] : begin]).count(b"\n")
+        got[row].append((line, known.names[w], round(d, 9)))
+    for row, text in enumerate(texts):
+        assert sorted(got[row]) == best_passages(text, templates, 80), text
+    assert sum(map(len, got.values())) > 100
+
+
+def test_licences_inside_longer_texts(spark):
+    mit, apache, bsd = TEMPLATES["MIT"][1], TEMPLATES["Apache-2.0"][1], TEMPLATES["BSD-3-Clause"][1]
+    own = [" ".join(f"word{i}x{k}" for k in range(40)) + "." for i in range(60)]
+
+    def between(text, n):
+        w = text.split(" ")
+        cuts = [len(w) * k // n for k in range(n + 1)]
+        return "\n\n".join(own[:3] + [" ".join(w[a:b]) for a, b in zip(cuts, cuts[1:])] + own[3:])
+
+    texts = [
+        between(mit, 3), between(apache, 3), "This module is part of the parser. Licensed under the Apache License, Version 2.0.",
+        "\n\n".join(own), own[0] + "\n" + bsd.replace(". ", ".\n") + "\n" + " ".join(own), (mit.replace("sell", "lend") + " ") * 300 + mit,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r)[:4] for r in scan_licenses(df).collect()]
+    assert sorted(got)[:4] == [
+        (0, "MIT", "passage", 6), (1, "Apache-2.0", "passage", 6), (2, "Apache-2.0", "passage", 0), (4, "BSD-3-Clause", "passage", 1),
+    ]
+    assert {r[:3] for r in sorted(got)[4:]} == {(5, "MIT", "line")}
+    assert scan_licenses(df, {}).collect() == []
+
+
 # ---------------------------------------------------------------- language model
 
 
