@@ -42,11 +42,16 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, SPACES)).otherwise(F.array().cast("array<string>"))
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of the three-word windows, in order."""
-    places = F.sequence(F.lit(0), F.size(words) - 3)
-    window = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(3)]))
-    return F.when(F.size(words) > 2, window)
+def _pairs(words: Column) -> Column:
+    """Hashes of pairs of neighbours, in order."""
+    rest = F.when(F.size(words) > 1, F.slice(words, 2, F.size(words))).otherwise(F.array().cast("array<string>"))
+    return F.transform(rest, lambda w, i: F.xxhash64(F.get(words, i), w))
+
+
+def _windows(pairs: Column) -> Column:
+    """Hashes of the three-word windows, in order, each made of its two pairs."""
+    rest = F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1)))
+    return F.when(F.size(pairs) > 1, F.transform(rest, lambda p, i: F.xxhash64(F.get(pairs, i), p)))
 
 
 #: Bits of a window's place beside the high bits of its hash.
@@ -91,12 +96,10 @@ def _covered(places: Column) -> Column:
     return F.coalesce(F.aggregate(places, start, add, lambda acc: acc["n"]), F.lit(0).cast("long"))
 
 
-def _grams(words: Column) -> Column:
+def _grams(words: Column, pairs: Column) -> Column:
     """Buckets of all words and pairs of neighbours."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    rest = F.when(F.size(words) > 1, F.slice(words, 2, F.size(words))).otherwise(F.array().cast("array<string>"))
-    pairs = F.transform(rest, lambda w, i: F.pmod(F.xxhash64(F.get(words, i), w), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, pairs)
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return F.concat(F.transform(words, lambda w: bucket(F.xxhash64(w))), F.transform(pairs, bucket))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -111,7 +114,7 @@ def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = F.broadcast(trusted_ids(labels).select(F.col("doc_id").alias("_trusted")))
     rows = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
     rows = with_once(rows.select("_trusted", "text"), "_words", words_of(F.col("text")))
-    grams = rows.select("_trusted", F.explode(_grams(F.col("_words"))).alias("bucket"))
+    grams = rows.select("_trusted", F.explode(_grams(F.col("_words"), _pairs(F.col("_words")))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(counts, "bucket", "left").na.fill(0)
@@ -136,8 +139,9 @@ def _constant(ratio: DataFrame) -> Column:
 def _measured(rows: DataFrame, text: Column, ratio: Column) -> DataFrame:
     """``rows`` with ``_words`` and the columns of ``quality``, named with a leading underscore."""
     rows = with_once(rows, "_words", words_of(text))
-    rows = _repeated(with_once(rows, "_windows", _windows(F.col("_words"))))
-    rows = with_once(rows, "_grams", _grams(F.col("_words")))
+    rows = with_once(rows, "_pairs", _pairs(F.col("_words")))
+    rows = _repeated(with_once(rows, "_windows", _windows(F.col("_pairs"))))
+    rows = with_once(rows, "_grams", _grams(F.col("_words"), F.col("_pairs")))
     words, grams = F.col("_words"), F.col("_grams")
     blank = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(blank, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
