@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import scan
 from ..functions.time import MAX_MOMENT, moment
-from ..sources.lineage import checkpointed
+from ..sources.lineage import checkpointed, written
 
 DEFAULT_TTL = timedelta(weeks=1)
 
+#: Rows of a large key's visits that one task sorts or joins.
+TASK_ROWS = 250_000
+
 
 def unseen(
     links: DataFrame,
@@ -80,24 +83,25 @@ def ttl_admit(
     admitted ``(key, ts)``.
 
     Keys with up to ``fold_limit`` distinct times are folded as one array.
-    Larger keys are never gathered: every visit learns its successor (the first
-    visit after its TTL) from windows over cells of a second, and the chain from
-    the first visit is found by pointer doubling, so the number of rounds is
-    the logarithm of the chain length and all joins are on unique keys.
+    Larger keys are never gathered.  Their visits meet in cells as long as the TTL:
+    a cell's first visit is admitted if the cell before has no visit less than a
+    TTL earlier, and nothing else is where the next cell does not follow as closely.
+    Only in the runs of cells that remain, every visit learns its successor (the first
+    visit after its TTL) from windows over cells of a second, and the chains from the
+    first visits are found by pointer doubling, so the number of rounds is the
+    logarithm of the longest run and all joins are on unique keys.  The number of tasks
+    grows with the visits, so a task sorts about ``TASK_ROWS`` of them.
     """
     v = visits.select(F.col(key).alias("k"), _micros(visits, ts).alias("t")).distinct()
     width = int(ttl / timedelta(microseconds=1))
     if width <= 0:
         return _named(v, key, ts, visits)
-    sizes = v.groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    sizes = v.groupBy("k").agg(F.count("*").alias("n"))
     hot = checkpointed(sizes.filter(F.col("n") > fold_limit))
     out = _fold(v.join(hot, "k", "left_anti"), width)
-    # a chain has no more links than its span has TTLs, and than there are visits
-    span = F.least((F.col("t1") - F.col("t0")) / width, F.col("n"))
-    longest = hot.agg(F.max(span)).first()[0]
-    if longest is not None:
-        chain = _chain(v.join(hot.select("k"), "k", "left_semi"), width, int(longest) + 2)
-        out = out.unionByName(chain)
+    rows = hot.agg(F.sum("n")).first()[0]
+    if rows is not None:
+        out = out.unionByName(_chain(v.join(hot.select("k"), "k", "left_semi"), width, rows))
     return _named(out, key, ts, visits)
 
 
@@ -135,22 +139,63 @@ def _fold(v: DataFrame, width: int) -> DataFrame:
     return once.select("k", F.explode(admitted).alias("t"))
 
 
-def _chain(v: DataFrame, width: int, longest: int) -> DataFrame:
-    jump = checkpointed(_successors(v, width))
-    reached = v.groupBy("k").agg(F.min("t").alias("t"))
-    span = 1
-    while span < longest:
-        further = reached.join(jump, ["k", "t"]).select("k", F.col("nxt").alias("t"))
-        reached = checkpointed(reached.unionByName(further).distinct())
+def _dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` by its key, in more partitions than the session's if these would get too many rows."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _cells(v: DataFrame, width: int, rows: int) -> DataFrame:
+    """``(k, c, t, begins, followed)`` for each cell of a TTL: its first time, whether no visit of the
+    cell before is less than a TTL earlier, and whether a visit of the next cell is less than a TTL later."""
+    none = F.lit(None).cast("bigint")
+
+    def seen_from(step: int) -> Column:
+        as_ = {0: "t", 1: "before", -1: "after"}[step]
+        times = [(F.col("t") if n == as_ else none).alias(n) for n in ("t", "before", "after")]
+        return F.struct((F.col("c") + step).alias("c"), *times)
+
+    near = v.select("k", _cell("t", width).alias("c"), "t")
+    near = near.select("k", F.inline(F.array(seen_from(0), seen_from(1), seen_from(-1))))
+    cells = _dealt(near, 3 * rows, "k", "c").groupBy("k", "c").agg(
+        F.min("t").alias("t"), F.max("t").alias("last"), F.max("before").alias("before"), F.min("after").alias("after")
+    )
+    return cells.filter(F.col("t").isNotNull()).select(
+        "k",
+        "c",
+        "t",
+        F.coalesce(F.col("before") + width <= F.col("t"), F.lit(True)).alias("begins"),
+        F.coalesce(F.col("last") + width > F.col("after"), F.lit(False)).alias("followed"),
+    )
+
+
+def _cell(time: str, width: int) -> Column:
+    """Rounded down, also below zero."""
+    return F.expr(f"({time} - pmod({time}, {width}L)) div {width}L")
+
+
+def _chain(v: DataFrame, width: int, rows: int) -> DataFrame:
+    cells = written(_cells(v, width, rows))
+    reached = cells.filter("begins").select("k", "t")
+    runs = cells.filter(F.col("followed") | ~F.col("begins")).select("k", "c")
+    if runs.isEmpty():
+        return reached
+    left = v.withColumn("c", _cell("t", width))
+    left = _dealt(left, rows, "k", "c").join(runs, ["k", "c"], "left_semi").drop("c")
+    # what is two TTLs later begins a run, or is in another one
+    near = F.col("nxt") - width < F.col("t") + width
+    jump = checkpointed(_successors(checkpointed(left), width, rows).filter(near))
+    while not jump.isEmpty():
+        further = _dealt(reached, rows, "k", "t").join(_dealt(jump, rows, "k", "t"), ["k", "t"])
+        further = further.select("k", F.col("nxt").alias("t"))
+        reached = checkpointed(_dealt(reached.unionByName(further), rows, "k", "t").distinct())
         second = jump.select("k", F.col("t").alias("nxt"), F.col("nxt").alias("nxt2"))
-        jump = checkpointed(
-            jump.join(second, ["k", "nxt"]).select("k", "t", F.col("nxt2").alias("nxt"))
-        )
-        span *= 2
+        twice = _dealt(jump, rows, "k", "nxt").join(_dealt(second, rows, "k", "nxt"), ["k", "nxt"])
+        jump = checkpointed(twice.select("k", "t", F.col("nxt2").alias("nxt")))
     return reached
 
 
-def _successors(v: DataFrame, width: int) -> DataFrame:
+def _successors(v: DataFrame, width: int, rows: int) -> DataFrame:
     """``(k, t, nxt)``: for each time the first time of the key at least ``width`` later.
 
     Times and the moments asked for meet in cells of at most a second, the cells
@@ -171,6 +216,7 @@ def _successors(v: DataFrame, width: int) -> DataFrame:
         width_i = F.lit(step * 4096**i).cast("bigint")
         # rounded down, also below zero
         both = both.withColumn(f"c{i}", ((F.col("x") - F.pmod(F.col("x"), width_i)) / width_i).cast("bigint"))
+    both = _dealt(both, 2 * rows, "k", "c0")
 
     def first_later(by: list[str], order: str) -> Column:
         rows = W.partitionBy(*by).orderBy(F.col(order).desc())

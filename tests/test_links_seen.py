@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pagequarry.operators import seen
 from pagequarry.operators.links import cap_links, discover, seeds
 from pagequarry.operators.seen import mark_seen, prune, ttl_admit, unseen
 from pagequarry.plans.spec import Spec
@@ -159,3 +160,21 @@ def test_raw_pages(spark, tmp_path):
     (tmp_path / "b.html").write_bytes(b"<p>\xff</p>")
     got = decode_pages(read_raw_files(spark, str(tmp_path))).collect()
     assert [r.html for r in got] == ["<p>é</p>"] and got[0].url.endswith("a.html")
+
+
+@pytest.mark.parametrize("ttl", [1, 7, 40, 1000])
+def test_ttl_runs_of_cells(spark, monkeypatch, ttl):
+    """Only visits less than a TTL apart meet in chains, at times before 1970 too, in as many tasks as they need."""
+    rnd = random.Random(ttl)
+    start = datetime(1969, 12, 31, 23, 59, 59)
+    rows = [(f"k{i % 3}", start + timedelta(microseconds=rnd.randint(0, 3_000_000) // 25 * 25)) for i in range(400)]
+    rows += [("k0", start + timedelta(microseconds=i * ttl * 1000)) for i in range(40)]
+    chained, real = [], seen._successors
+    monkeypatch.setattr(seen, "_successors", lambda v, *a: chained.append(v.count()) or real(v, *a))
+    monkeypatch.setattr(seen, "TASK_ROWS", 100)
+    width = timedelta(milliseconds=ttl)
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    got = sorted((r.k, r.ts) for r in ttl_admit(df, "k", "ts", width, 1).collect())
+    assert got == sorted((k, t) for k in {k for k, _ in rows} for t in admitted([x for y, x in rows if y == k], width))
+    if ttl == 1:
+        assert sum(chained) < len(rows) / 2
