@@ -40,7 +40,7 @@ from pagequarry.plans.runs import merged, scrape
 from pagequarry.plans.spec import Spec, parse_selector
 from pagequarry.sources.generations import SeenGenerations
 from pagequarry.sources.lineage import new_folder, written
-from pagequarry.sources.pages import decode_pages, read_pages, spread
+from pagequarry.sources.pages import dealt, decode_pages, read_pages, spread
 from pagequarry.sources.seen_store import SeenFiles
 from pagequarry.sources.sinks import absent, fan_out, last_per_file, log_entries, new_run_id, register_sink
 from pagequarry.streaming.continuous import run_stream, stream_pages
@@ -93,6 +93,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
+@lru_cache(maxsize=8)
+def _json_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events in tasks of bounded size: taking JSON apart costs far more than reading it."""
+    return dealt(spark.read.parquet(f"{d}/events.parquet"), "event_id")
+
+
 def _values(spark: SparkSession, d: str, **selectors: dict) -> DataFrame:
     """``page_id`` and one typed column per selector, one parse per page."""
     trees = {name: parse_selector({"key": "k", **s}) for name, s in selectors.items()}
@@ -385,7 +391,7 @@ def text_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def json_scalar(spark: SparkSession, d: str) -> DataFrame:
     found = json_matches(F.col("props"), "$.k")
-    return _table(spark, d, "events").select("event_id", F.get(found, F.lit(0)).alias("k"))
+    return _json_events(spark, d).select("event_id", F.get(found, F.lit(0)).alias("k"))
 
 
 def json_recursive(spark: SparkSession, d: str) -> DataFrame:
@@ -394,14 +400,14 @@ def json_recursive(spark: SparkSession, d: str) -> DataFrame:
         F.lit('{"a": '), "props", F.lit(', "b": [{"k": "'), "event_type",
         F.lit('"}, {"c": {"k": '), "event_id", F.lit("}}]}"),
     )
-    return _table(spark, d, "events").select(
+    return _json_events(spark, d).select(
         "event_id", F.array_join(json_matches(doc, "$..k"), ",").alias("ks")
     )
 
 
 def json_repeated_keys(spark: SparkSession, d: str) -> DataFrame:
     """Of a repeated key the last value counts; numbers that JSON does not have stand beside it."""
-    events = _table(spark, d, "events")
+    events = _json_events(spark, d)
     text = F.concat(F.lit('{"a":1,"x":NaN,"a":"'), "event_type", F.lit('","y":-Infinity}'))
     return events.select("event_id", F.get(json_matches(text, "$.a"), 0).alias("a"))
 
@@ -409,7 +415,7 @@ def json_repeated_keys(spark: SparkSession, d: str) -> DataFrame:
 def json_bad_text(spark: SparkSession, d: str) -> DataFrame:
     """Every third text is cut."""
     cut = F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
-    return _table(spark, d, "events").select("event_id", F.get(json_matches(cut, "$.k"), 0).alias("k"))
+    return _json_events(spark, d).select("event_id", F.get(json_matches(cut, "$.k"), 0).alias("k"))
 
 
 def regex_braces(spark: SparkSession, d: str) -> DataFrame:

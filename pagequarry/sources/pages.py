@@ -20,6 +20,16 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
 
 
+def dealt(scan: DataFrame, *by: str, rows: int = 50_000) -> DataFrame:
+    """Tasks of about ``rows`` rows each, however large the input, for work that costs far more than moving a row.
+
+    A scan has as many tasks as its files allow, so on the same cores its longest task grows with
+    the input.  Counting a Parquet scan reads footers only.
+    """
+    n = -(-scan.count() // rows)
+    return scan.repartition(n, *by) if n > scan.rdd.getNumPartitions() else spread(scan)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages as Parquet: ``url``, ``html`` and whatever else there is."""
     return spread(spark.read.parquet(path))
