@@ -89,6 +89,14 @@ OWN_WORDS = (frozenset("article post entry story".split()), frozenset("body cont
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+_NO_NAMES: frozenset[str] = frozenset()
+
+
+@lru_cache(1 << 14)
+def _names(text: str) -> frozenset[str]:
+    return frozenset(w.lower() for w in _WORD.findall(text))
+
+
 class Blocks(HTMLParser):
     """Blocks of a page: ``(text, own, hidden)`` in order."""
 
@@ -111,6 +119,8 @@ class Blocks(HTMLParser):
         self.found_own = False
 
     def end_block(self) -> None:
+        if not self.pieces:
+            return
         text = " ".join("".join(self.pieces).split())
         if text:
             linked = self.linked > LINKED_SHARE * max(1, self.length)
@@ -137,7 +147,7 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         values = {k: v or "" for k, v in reversed(attrs)}
-        words = {w.lower() for w in _WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")}
+        words = _names(f"{values.get('class', '')} {values.get('id', '')}") if attrs else _NO_NAMES
         role = values.get("role", "").lower()
         own = tag in ("article", "main") or role in ("main", "article") or values.get("itemprop") == "articleBody"
         hard = (
@@ -190,7 +200,8 @@ class Blocks(HTMLParser):
             self.places[closed].pop()
             if closed not in INLINE:
                 self.solid.pop()
-            self.reasons -= {reason}
+            if reason:
+                self.reasons -= {reason}
             self.own -= own
             self.links -= closed == "a"
             if closed == tag:
@@ -261,12 +272,16 @@ def _laid_out(pages: list[bytes]) -> np.ndarray:
 
 def _windows(text: np.ndarray) -> np.ndarray:
     """Places of the strings of ``LENGTH`` bytes that begin or end with a word, within a page or part."""
-    gaps = np.flatnonzero(text == 0)
-    space = (text == 33) | (text == 11) | (text == 0)
-    begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1 - LENGTH
-    at = np.union1d(begins, ends[ends >= 0])
-    return at[at + LENGTH <= gaps[np.searchsorted(gaps, at)]]
+    gap = text == 0
+    space = (text == 33) | (text == 11) | gap
+    at = ~space
+    at[1:] &= space[:-1]
+    last = ~space[:-1] & space[1:]
+    if len(text) > LENGTH:
+        at[:-LENGTH] |= last[LENGTH - 1 :]
+    at = np.flatnonzero(at[: max(0, len(text) - LENGTH + 1)])
+    gaps = np.concatenate((np.zeros(1, np.int32), np.cumsum(gap, dtype=np.int32)))
+    return at[gaps[at] == gaps[at + LENGTH]]
 
 
 @lru_cache(1 << 16)
@@ -300,7 +315,7 @@ def _slot(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (bucket << (_FILTER_BITS - _BUCKETS - 3)) + (inside >> 3), inside & 7
 
 
-def _each_page(batches: Iterator[pa.RecordBatch], bytes_held: int = 1 << 20) -> Iterator[tuple]:
+def _each_page(batches: Iterator[pa.RecordBatch], bytes_held: int = 1 << 18) -> Iterator[tuple]:
     """Some rows at a time as lists of columns; the last column, a text, as bytes."""
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
@@ -491,30 +506,38 @@ def _occurrences(sent):
     return run
 
 
-def unique_runs(stream: str, wanted: list[int], covered: list[int] | None) -> str:
-    """The wanted lines of a stream without what the strings beginning at ``covered`` cover."""
-    if not covered:
+def unique_runs(stream: str, wanted: list[int], covered: np.ndarray | list[int] | None) -> str:
+    """The wanted lines of a stream without what the strings beginning at ``covered`` cover.
+
+    Words of a stream stand between single spaces or line ends.
+    """
+    if covered is None or not len(covered):
         lines = stream.split("\n")
         return " ".join([lines[i] for i in wanted])
-    text = stream.encode()
-    gone = np.zeros(len(text) + 1, np.int64)
-    at = np.array(covered, np.int64)
-    np.add.at(gone, at, 1)
-    np.add.at(gone, np.minimum(at + LENGTH, len(text)), -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    out, begin, lines = [], 0, set(wanted)
-    for i, line in enumerate(text.split(b"\n")):
-        if i in lines:
-            # a word goes if all of it is covered
-            words = [m for m in re.finditer(rb"\S+", line) if not gone[begin + m.start() : begin + m.end()].all()]
-            out += [m.group().decode() for m in words]
-        begin += len(line) + 1
-    return " ".join(out)
+    text = np.frombuffer(stream.encode(), np.uint8)
+    at = np.asarray(covered, np.int64)
+    edges = np.bincount(at, minlength=len(text) + 1)
+    edges -= np.bincount(np.minimum(at + LENGTH, len(text)), minlength=len(text) + 1)
+    gone = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.cumsum(edges[:-1]) > 0)))
+    line = text == 10
+    ends = np.append(np.flatnonzero(line | (text == 32)), len(text))
+    begins = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
+    shown = np.zeros(np.count_nonzero(line) + 1, bool)
+    shown[wanted] = True
+    lines = np.concatenate((np.zeros(1, np.int64), np.cumsum(line[ends[:-1]])))
+    # a word goes if all of it is covered
+    keep = shown[lines] & (gone[ends] - gone[begins] < ends - begins)
+    # a word takes the space or line end behind it along
+    left = np.append(text, np.uint8(32))[np.repeat(keep, ends + 1 - begins)]
+    left[left == 10] = 32
+    return left[:-1].tobytes().decode()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [unique_runs(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(2, 5)))]
+        streams, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        covered = (c.values.to_numpy(zero_copy_only=False) if c.is_valid else None for c in batch.column(4))
+        texts = [unique_runs(*r) for r in zip(streams, wanted, covered)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

@@ -557,3 +557,29 @@ def test_mixed_documents_take_whole_texts(docs, no_docs, rows):
     again = mixed_documents(docs.repartition(5), whole_texts=True)
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
     assert mixed_documents(no_docs, whole_texts=True).collect() == []
+
+
+def test_unique_runs_of_long_page():
+    """A word goes if all its bytes are covered; half a million words, in 20,000 lines, take no call for each."""
+    import time
+
+    from pagequarry.llm.pages import LENGTH, unique_runs
+
+    words = [f"é{i % 977}" + "x" * (i % 7) for i in range(500_000)]
+    stream = "\n".join(" ".join(words[i : i + 25]) for i in range(0, len(words), 25))
+    covered = list(range(0, len(stream.encode()) - LENGTH, 150))
+    wanted = list(range(0, 20_000, 2))
+    begin = time.process_time()
+    got = unique_runs(stream, wanted, covered)
+    assert time.process_time() - begin < 1.0
+    gone, want, at = bytearray(len(stream.encode())), [], 0
+    for c in covered:
+        gone[c : c + LENGTH] = b"\1" * LENGTH
+    for i, line in enumerate(stream.split("\n")):
+        for word in line.split(" "):
+            n = len(word.encode())
+            if i % 2 == 0 and not all(gone[at : at + n]):
+                want.append(word)
+            at += n + 1
+    assert got == " ".join(want)
+    assert unique_runs("a b\nc", [1], None) == "c" and unique_runs("a b\nc", [], [0]) == ""
