@@ -25,6 +25,7 @@ columns are not looked at; a text is encoded whole, however long it is.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -96,6 +97,12 @@ class EliasFano:
 #: A space between two other characters always begins a new piece of byte-level BPE, whatever follows.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = re.compile(r"\s")
+#: Letters in every version of Unicode that libraries use, and ASCII marks; no apostrophe, which takes letters along.
+_LETTERS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
+#: A word, marks, and what follows a line end: each of them is cut off by the pattern of byte-level BPE.
+_PARTS = re.compile(f"({_LETTERS}+)({_MARKS}*)(?:(\n\n?)({_LETTERS}+)({_MARKS}*))?").fullmatch
+_MARK_BEFORE_LETTER = re.compile(_MARKS + _LETTERS)
 
 
 class Encoder:
@@ -107,46 +114,116 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        #: Pieces behind a space, words at the beginning of a line, marks behind a word.
         self.known: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.known_bytes = 0
         # ids whose text begins with a space, in the vocabulary's spelling
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.line_end = self._ids(["\n"])[0]
+        self.ends_line = np.zeros(len(self.opens), bool)
+        self.ends_line[np.frombuffer(self.line_end, self.dtype)] = True
+        spec = json.loads(self.tokenizer.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        #: Whether words, marks and lines are cut by the usual pattern, and no special token has the form of ``_PARTS``.
+        self.parts = (
+            (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
+            and spec["normalizer"] is None
+            and len(self.line_end) == self.dtype.itemsize
+            and all(_MARK_BEFORE_LETTER.search(t["content"]) for t in spec["added_tokens"])
+        )
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in encoded]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each behind a space: many as one text, cut where an id begins with a space.
+    def _many(self, pieces: list[str], before: str, first: np.ndarray, skip: int, out: dict[str, bytes]) -> None:
+        """Encode pieces, each behind ``before``: many as one text, cut at the ids in ``first``, of which ``skip`` go.
 
-        A piece with white space inside, or a text that is not cut into as many parts, is encoded piece by piece.
+        If a text is not cut into as many parts, its pieces are encoded one by one.
         """
         width = self.dtype.itemsize
-        plain = [x for x in pieces if not _SPACE.search(x)]
-        single = [x for x in pieces if _SPACE.search(x)]
-        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for part, blob in zip(parts, self._ids([" " + " ".join(part) for part in parts])):
-            at = np.flatnonzero(self.opens[np.frombuffer(blob, self.dtype)])
+        parts = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        single = []
+        for part, blob in zip(parts, self._ids([before + before.join(part) for part in parts])):
+            at = np.flatnonzero(first[np.frombuffer(blob, self.dtype)])
             if len(at) == len(part) and at[0] == 0:
                 ends = [*(at[1:] * width).tolist(), len(blob)]
-                self.known.update(zip(part, (blob[a:b] for a, b in zip((at * width).tolist(), ends))))
+                out.update(zip(part, (blob[a:b] for a, b in zip(((at + skip) * width).tolist(), ends))))
+                self.known_bytes += len(blob)
             else:
                 single += part
-        self.known.update(zip(single, self._ids([" " + x for x in single])))
+        blobs = self._ids([before + x for x in single])
+        out.update((x, b[skip * width :]) for x, b in zip(single, blobs))
+        self.known_bytes += len(pieces) * PIECE_BYTES + sum(map(len, pieces)) + sum(map(len, blobs))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, each behind a space.
+
+        Words, marks behind them and words behind a line end are encoded once each and put together.  Other pieces
+        with white space inside are encoded one by one.
+        """
+        known, marks, lines = self.known, self.marks, self.lines
+        plain, single, made = [x for x in pieces if x.isalpha()], [], []
+        for x in pieces:
+            if x.isalpha():
+                continue
+            if self.parts and (m := _PARTS(x)):
+                made.append((x, *m.groups()))
+            elif _SPACE.search(x):
+                single.append(x)
+            else:
+                plain.append(x)
+        self._many([*{m[1] for m in made}.difference(known).union(plain)], " ", self.opens, 0, known)
+        self._many([*{m[4] for m in made if m[3]}.difference(lines)], "\n", self.ends_line, 1, lines)
+        new = [*{y for m in made for y in (m[2], m[5] or "")}.difference(marks)]
+        for out, some, before in ((known, single, " "), (marks, new, "")):
+            blobs = self._ids([before + x for x in some])
+            out.update(zip(some, blobs))
+            self.known_bytes += len(some) * PIECE_BYTES + sum(map(len, some)) + sum(map(len, blobs))
+        size = 0
+        for x, word, mark, line, next_word, next_mark in made:
+            ids = known[word] + marks[mark]
+            if line:
+                ids += self.line_end * len(line) + lines[next_word] + marks[next_mark]
+            known[x] = ids
+            size += len(x) + len(ids)
+        self.known_bytes += len(made) * PIECE_BYTES + size
+
+    def _looked_up(self, texts: list[list[str]]) -> tuple[list[list[bytes | None]], set[str]]:
+        get = self.known.get
+        found = [list(map(get, p)) for p in texts]
+        return found, {x for p, ids in zip(texts, found) if None in ids for x, b in zip(p, ids) if b is None}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = list(map(_PIECES.split, texts))
+        split = [t.split(" ") for t in texts]
         firsts = [p.pop(0) for p in split]
+        found, new = self._looked_up(split)
+        # a space beside other white space does not begin a piece
+        odd = {x for x in new if not x or x.strip() != x}
+        new -= odd
+        for i, (first, p) in enumerate(zip(firsts, split)):
+            if p and (not first or first[-1].isspace()) or odd and not odd.isdisjoint(p):
+                split[i] = _PIECES.split(texts[i])
+                firsts[i] = split[i].pop(0)
+                found[i : i + 1], more = self._looked_up(split[i : i + 1])
+                new |= more
+        self.learn(list(new))
         known = self.known
+        out = [
+            a + b"".join([known[x] if b is None else b for x, b in zip(p, ids)] if None in ids else ids)
+            for a, p, ids in zip(self._ids(firsts), split, found)
+        ]
         if self.known_bytes > MEMORY_BYTES:
-            known.clear()
-            self.known_bytes = 0
-        new = list(set().union(*split).difference(known))
-        self.learn(new)
-        self.known_bytes += len(new) * PIECE_BYTES + sum(map(len, new)) + sum(map(len, map(known.__getitem__, new)))
-        get = known.__getitem__
-        return [a + b"".join(map(get, p)) for a, p in zip(self._ids(firsts), split)]
+            # what these texts have is likely to come again
+            self.known = {x: b for p, ids in zip(split, found) for x, b in zip(p, ids) if b is not None}
+            self.lines, self.marks = {}, {}
+            self.known_bytes = len(self.known) * PIECE_BYTES + sum(map(len, self.known)) + sum(map(len, self.known.values()))
+            if self.known_bytes > MEMORY_BYTES // 2:
+                self.known, self.known_bytes = {}, 0
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -328,6 +328,33 @@ def test_pieces_are_encoded_like_whole_texts():
         assert np.frombuffer(blob, coder.dtype).tolist() == encode(t)
 
 
+def test_words_with_marks_and_at_line_ends_are_put_together(monkeypatch):
+    import random
+
+    monkeypatch.setattr("pagequarry.llm.tokens.MEMORY_BYTES", 20_000)
+    path, encode = library()
+    coder, rng, sent = Encoder(path), random.Random(5), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    plain, coder.tokenizer = coder.tokenizer, Counted()
+    assert coder.parts
+    words = ["unbelievable", "Straßen", "ÉTÉ", "it's", "µm", "a", "ωα", "naïveté"]
+    coder.encode(["first " + " ".join(words) + " x, y.\nunbelievable z"])
+    sent.clear()
+    texts = ["first unbelievable, Straßen. ÉTÉ, a.\nunbelievable. µm"]
+    assert np.frombuffer(coder.encode(texts)[0], coder.dtype).tolist() == encode(texts[0])
+    assert not any(w in t for w in words[:3] for t in sent)
+    ends = ["", "", ",", ".", "...", ".\n", "\n", "\n\n", "!)\n\n", "\n\n\n", "\r\n", "'", "'s", "\u0301", "²", "7", "_", "\n ", " \n", " ", "-", "<|", "|>"]
+    texts = ["".join(rng.choice(words) + rng.choice(ends) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    for at in range(0, len(texts), 100):
+        for t, blob in zip(texts[at : at + 100], coder.encode(texts[at : at + 100])):
+            assert np.frombuffer(blob, coder.dtype).tolist() == encode(t)
+
+
 def test_token_files(spark, docs, no_docs, rows):
     _, encode = library()
     spelled = [(20, "a <|endoftext|> b", None, None, None), (21, "<|endoftext|><|endoftext|>", None, None, None)]
