@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,7 +46,7 @@ from pagequarry.llm.repeats import _window_minima
 from pagequarry.llm.suffixes import Prefixes, permuted_common_prefixes, suffix_array
 from pagequarry.llm.tables import ids_for_join
 from pagequarry.llm.words import U, mixed
-from pagequarry.sources.lineage import written
+from pagequarry.sources.lineage import new_folder, remove_folder, shuffles_freed, written
 
 #: Bytes of a repeated string; the common prefix is told up to the next power of two.
 LENGTH = 48
@@ -54,6 +55,8 @@ LEAST_PAGES = 3
 #: Bytes of a substring whose hash can be a sample.
 GRAM = 20
 SHARD_BYTES = 1 << 21
+#: Text of pages that are cut together at the end.
+PART_BYTES = 1 << 22
 #: Samples that a task gathers before it sends them, in 4,096 buckets.
 SAMPLES_HELD = 1 << 22
 _BUCKETS = 12
@@ -237,12 +240,16 @@ def parse(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-_PARSED = "row long, page_id long, url string, host string, stream string, first boolean, wanted array<int>"
+_PARSED = "part long, row long, page_id long, url string, host string, stream string, first boolean, wanted array<int>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks, one in each line, whether no earlier page of the task has the same, and which lines are not hidden."""
+    """The blocks, one in each line, whether no earlier page of the task has the same, and which lines are not hidden.
+
+    Parts are pages of a task one after the other, of ``PART_BYTES`` characters or one lot of 256 pages.
+    """
     row, seen = TaskContext.get().partitionId() << 40, set()
+    part, size = TaskContext.get().partitionId() << 24, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
@@ -256,8 +263,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(page)
             n = some.num_rows
             columns = [*some.columns[:3], pa.array(streams, pa.string()), pa.array(first, pa.bool_()), pa.array(wanted, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), *columns], names=[c.split()[0] for c in _PARSED.split(", ")])
+            columns = [pa.array(np.full(n, part)), pa.array(np.arange(row, row + n)), *columns]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PARSED.split(", ")])
             row += n
+            size += sum(map(len, streams))
+            if size >= PART_BYTES:
+                part, size = part + 1, 0
 
 
 # ---------------------------------------------------------------- strings
@@ -480,7 +491,7 @@ def _occurrences(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for rows, hosts, wanted, pages in _each_page(batches):
+        for parts, rows, hosts, wanted, pages in _each_page(batches):
             begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pages])))
             text = _laid_out(pages)
             at = _windows(text)
@@ -499,8 +510,13 @@ def _occurrences(sent):
             first, last = np.searchsorted(ends, at[keep]), np.searchsorted(ends, at[keep] + LENGTH - 1)
             keep = keep[shown[last + 1] > shown[first]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(rows)[owner[keep]], pa.int64()), pa.array(at[keep] - begins[owner[keep]]), pa.array(string[keep].view(np.int64))],
-                names=["row", "at", "string"],
+                [
+                    pa.array(np.array(parts)[owner[keep]], pa.int64()),
+                    pa.array(np.array(rows)[owner[keep]], pa.int64()),
+                    pa.array((at[keep] - begins[owner[keep]]).astype(np.int32)),
+                    pa.array(string[keep].view(np.int64)),
+                ],
+                names=["part", "row", "at", "string"],
             )
 
     return run
@@ -533,12 +549,32 @@ def unique_runs(stream: str, wanted: list[int], covered: np.ndarray | list[int]
     return left[:-1].tobytes().decode()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        streams, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        covered = (c.values.to_numpy(zero_copy_only=False) if c.is_valid else None for c in batch.column(4))
-        texts = [unique_runs(*r) for r in zip(streams, wanted, covered)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+def _texts(pages: pa.Table, found: pa.Table) -> pa.Table:
+    """The texts of the pages of a part, and where repeated strings begin on them."""
+    covered: dict[int, np.ndarray] = {}
+    if found.num_rows:
+        row, at = found.column("row").to_numpy(), found.column("at").to_numpy()
+        order = np.argsort(row, kind="stable")
+        some, first = np.unique(row[order], return_index=True)
+        covered = dict(zip(some.tolist(), np.split(at[order], first[1:])))
+    columns = (pages.column(c).to_pylist() for c in ("row", "stream", "wanted"))
+    texts = [unique_runs(stream, wanted, covered.get(row)) for row, stream, wanted in zip(*columns)]
+    return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string())})
+
+
+def _kept(parsed: DataFrame) -> DataFrame:
+    """Parsed pages in buckets of ``part``: each task writes its own, so that what is found comes to them.
+
+    The table is named only until it is read; its files stay.
+    """
+    spark = parsed.sparkSession
+    path, name = new_folder(spark, "stage"), f"parsed_pages_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parsed.write.bucketBy(buckets, "part").option("compression", "zstd").option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -550,11 +586,23 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.coalesce(host, F.lit("")).alias("host"),
         F.col("html").cast("string").alias("html"),
     )
-    parsed = written(rows.mapInArrow(_parsed, _PARSED))
-    context = pages.sparkSession.sparkContext
+    spark = pages.sparkSession
+    with shuffles_freed(spark):
+        parsed = _kept(rows.mapInArrow(_parsed, _PARSED))
+        found = _found(parsed)
+    texts = parsed.select("part", "row", "page_id", "url", "stream", "wanted").groupBy("part").cogroup(found.groupBy("part"))
+    texts = texts.applyInArrow(_texts, "page_id long, url string, text string")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _found(parsed: DataFrame) -> DataFrame:
+    """``part, row, at``: where the strings begin that enough pages of a host have, if a line that is not hidden has them."""
+    spark = parsed.sparkSession
+    context = spark.sparkContext
     distinct = parsed.where("first and stream <> ''").select("host", "stream")
     sent = context.broadcast(_sample_filter(distinct))
-    parts = written(distinct.mapInArrow(_repeated_parts(sent), _PARTS))
+    folder = new_folder(spark, "stage")
+    parts = written(distinct.mapInArrow(_repeated_parts(sent), _PARTS), folder)
     hosts = written(parts.groupBy("host").agg(F.sum(F.octet_length("parts")).alias("bytes")))
     shard = F.pmod(F.xxhash64("page"), F.ceil((F.col("bytes") + 1) / SHARD_BYTES)).cast("long")
     parts = parts.join(hosts, "host").select("host", shard.alias("shard"), "page", "parts")
@@ -562,16 +610,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     strings = parts.mapInArrow(_shards, "string long, pages long")
     strings = strings.groupBy("string").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     strings = written(strings.select("string"))
+    remove_folder(spark, folder)
 
-    open_ = parsed.where("size(wanted) > 0").select("row", "host", "wanted", "stream")
+    open_ = parsed.where("size(wanted) > 0").select("part", "row", "host", "wanted", "stream")
     sent = context.broadcast(_string_filter(strings))
-    found = open_.mapInArrow(_occurrences(sent), "row long, at long, string long")
-    found = found.join(ids_for_join(strings), "string").groupBy("row").agg(F.collect_list("at").alias("covered"))
-    found = written(found)
-    # pages that repeat nothing stay where they are
-    touched = ids_for_join(found.select("row"))
-    columns = ["page_id", "url", "stream", "wanted"]
-    some = parsed.join(touched, "row", "left_semi").join(found, "row").select(*columns, "covered")
-    rest = parsed.join(touched, "row", "left_anti").select(*columns, F.lit(None).cast("array<bigint>").alias("covered"))
-    texts = some.unionByName(rest).mapInArrow(_texts, "page_id long, url string, text string")
-    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = open_.mapInArrow(_occurrences(sent), "part long, row long, at int, string long")
+    return written(found.join(ids_for_join(strings), "string").select("part", "row", "at"))

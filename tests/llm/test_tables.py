@@ -154,6 +154,21 @@ def test_strings_of_hosts_in_shards_against_brute_force(spark, monkeypatch):
     assert len({len(t) for t in got.values()}) > 3
 
 
+def test_pages_stay_where_they_were_parsed(spark):
+    notice = "This section of the paper is brought to you by the friends of the old town library."
+    own = [" ".join(f"w{i}x{k}" for k in range(3000)) for i in range(520)]  # three parts in one task
+    pages = [(i, f"http://h{i % 2}.org/{i}", f"<p>{t}</p><p>{notice}</p>") for i, t in enumerate(own)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tables = spark.conf.get(name, None), spark.catalog.listTables()
+    texts = main_text(df)
+    assert (spark.conf.get(name, None), spark.catalog.listTables()) == (before, tables)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # only what was found moves
+    for _ in range(2):
+        assert {r.page_id: r.text for r in texts.collect()} == dict(enumerate(own))
+
+
 def test_articles_of_given_pages(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in main_text(df).collect()}
